@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding
+from . import embdedup, mixing, neardup, secrets, sharding
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_minhash_dedup": neardup.op2_minhash_dedup,
     "op5_shard": sharding.op5_shard,
+    "op7_embedding_dedup": embdedup.op7_embedding_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES = {"op1_mix_sources": mixing.SQL, "op10_secret_scan": secrets.SQL}
+ORACLES = {
+    "op1_mix_sources": mixing.SQL,
+    "op7_embedding_dedup": embdedup.SQL,
+    "op10_secret_scan": secrets.SQL,
+}
