@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import embdedup, mixing, neardup, secrets, sharding
+from . import embdedup, mixing, neardup, repeats, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_minhash_dedup": neardup.op2_minhash_dedup,
     "op5_shard": sharding.op5_shard,
     "op7_embedding_dedup": embdedup.op7_embedding_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES = {
