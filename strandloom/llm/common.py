@@ -130,9 +130,11 @@ def chunks(texts: pa.Array, limit: int = 1 << 21):
         at = to
 
 
-def words(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and for each text the index of its first word (one more at the end)."""
-    inside = ~SPACE[flat]
+def words(flat: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are not in space), and for each text the index of its first word.
+
+    The last of these indices is the number of words."""
+    inside = ~space[flat]
     edge = np.zeros(len(flat) + 1, bool)
     edge[offs] = True
     starts = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1])) if len(flat) else np.zeros(0, np.int64)
@@ -140,11 +142,11 @@ def words(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def shingles(flat: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(flat: np.ndarray, offs: np.ndarray, k: int, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles in order, lower-cased in A-Z; of a text with fewer words, one of the whole sequence.
 
     Also each text's first shingle (one more at the end) and the word index at which each shingle starts."""
-    starts, ends, first = words(flat, offs)
+    starts, ends, first = words(flat, offs, space)
     h = gram_hash(rolling(flat, True), starts, ends)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)

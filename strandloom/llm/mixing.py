@@ -7,8 +7,7 @@ once more where a draw seeded by its doc_id falls under the fraction.
 
 Defined cases: a null or empty text has size 0 and is emitted like any other document of its source; a null source is a
 source of its own; documents with equal doc_id, and all with a null one, share a draw; a source of size 0 has target 0; an
-empty table gives an empty result; other columns pass through, so that names used here must not be among them except
-those this operator replaces (size, source_size, target, copies, taken).
+empty table gives an empty result; other columns pass through, whatever their names (those added begin with _).
 """
 
 from __future__ import annotations
@@ -59,31 +58,31 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (size * copies)."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    plan = materialize(source_targets(sized.select("source", "size")), "mix")
-    plan = plan.withColumnRenamed("source", "_source")
+    """docs with _size, _source_size, _target, _copies and _taken (size * copies)."""
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    plan = materialize(source_targets(sized.select("source", F.col("_size").alias("size"))), "mix")
+    plan = plan.toDF("_source", "_source_size", "_target")
     if plan.count() <= BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
     else:
         salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("_salt_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
-            salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt_of") == F.col("_salt"))
-        ).drop("_salt", "_salt_of")
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(CAP), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+        joined = sized.withColumn("_own_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own_salt") == F.col("_salt"))).drop("_salt", "_own_salt")
+    rate = F.when(F.col("_source_size") > 0, F.least(F.lit(CAP), F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = (whole + F.when(unit_draw(F.col("doc_id"), SEED) < rate - whole, 1).otherwise(0)).cast("long")
-    return joined.drop("_source").withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.drop("_source").withColumn("_copies", copies).withColumn("_taken", F.col("_size") * F.col("_copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with the columns of docs."""
-    return plan_mix(docs).where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
+    return plan_mix(docs).where("_copies > 0").withColumn("_copy", copies).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    x = plan_mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return x.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 SQL = r"""

@@ -189,5 +189,13 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return x.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).select("a", "b")
 
 
+def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates, with the columns of docs: the one of the smallest doc_id.
+
+    A doc_id stays if any of its rows does; of rows that agree in doc_id and text one stays."""
+    ids = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)

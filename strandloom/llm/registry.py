@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import embdedup, mixing, neardup, repeats, secrets, sharding, toxicity
+from . import decontamination, embdedup, extraction, mixing, neardup, repeats, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_minhash_dedup": neardup.op2_minhash_dedup,
+    "op3_decontaminate": decontamination.op3_decontaminate,
+    "op4_extract_html": extraction.op4_extract_html,
     "op5_shard": sharding.op5_shard,
+    "op6_warc": warc.op6_warc,
     "op7_embedding_dedup": embdedup.op7_embedding_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
@@ -15,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op6_warc": warc.SQL,
     "op7_embedding_dedup": embdedup.SQL,
     "op10_secret_scan": secrets.SQL,
 }

@@ -272,6 +272,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_scores(model), schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below 0.5, with the columns of docs."""
+    return score(docs, fit(docs, labels)).where("_score < 0.5").drop("_score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs, read_table(spark, sf_dir, "labels"))
