@@ -1,11 +1,54 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of documents;
+the last one returns the place of every row. Rows are written as Parquet between stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.llm import decontamination, mixing, neardup, sharding, toxicity
+from strandloom.llm.common import materialize, read_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.unique(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("_item_ids") == 0).drop("_item_ids", "_similarity")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: A learned grammar and sketches are in it, which SQL cannot express; tests hold it against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs
