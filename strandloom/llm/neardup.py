@@ -8,11 +8,13 @@ of leading zeros (6 bits) and the 10 bits after the first one. Four registers ma
 bucket key. At a similarity of 0.8 a pair shares no band with a probability of 5e-8; bands without any shingle are no evidence
 and are left out.
 
-Pairs within a bucket are never expanded as such. First each class is held against the smallest class of each of its buckets,
-by sketch, and the best one is confirmed on the full sets; that joins a group of copies with about one confirmation each. Then
-the other smallest classes are tried where the two are still apart; then, in buckets that still hold several components, the
-pairs across components. A pair within one component is not needed, as it changes nothing. Sketches rule out a pair only if the
-collision-corrected estimate is six standard deviations below the threshold.
+Pairs within a large bucket are never expanded. First each class is held against the smallest class of each of its buckets, by
+sketch, and the best one is confirmed on the full sets; that joins most of a group of copies with one confirmation each. What
+may still be missing are links between components. A bucket that holds several of them is compared by sketches in tiles of
+bounded size, which return (class, component) where some member of the component may be close enough; a class is then held
+against that whole component on full sets, again in tiles, until a link is found. Pairs within one component change nothing
+and are left out. Buckets and components of up to SMALL members go by plain joins instead. Sketches rule out a pair only if
+the collision-corrected estimate is six standard deviations below the threshold.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is its own component; a null
 doc_id never becomes a component's id unless the component has no other (then it is null), and is kept if its component's id is
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from .common import chunks, connected_components, discard, materialize, mix64, r
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 _REST = 57  # bits below the register's number
+SMALL = 12  # members up to which a bucket or a component is joined
+TILE_ROWS, SET_ROWS, SET_BYTES = 2048, 512, 8 << 20  # bounds of a tile's side
 
 
 def sketch(mixed: np.ndarray) -> np.ndarray:
@@ -110,6 +115,62 @@ def _estimator(least: float):
     return run
 
 
+def _plausible(least: float):
+    """Of a bucket's tile: (fp, root) where fp may be linked to a member of the component root, which has as many members here."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        block, n = pdf["block"].to_numpy(), pdf["n_shingles"].to_numpy()
+        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
+        names, own = np.unique(np.array([r.hex() for r in pdf["root"]]), return_inverse=True)
+        size = np.bincount(own)
+        order = np.empty(len(names), np.int64)
+        order[np.lexsort((np.arange(len(names)), size))] = np.arange(len(names))
+        place = order[own]
+        out = set()
+        rows = np.flatnonzero(place < len(names) - 1)
+        for at in range(0, len(rows), 32):
+            x = rows[at : at + 32]
+            ok = place[x][:, None] < place[None, :]
+            ok &= np.minimum(n[x][:, None], n[None]) >= least * np.maximum(n[x][:, None], n[None]) - 1e-9
+            if i != j:
+                ok &= block[x][:, None] != block[None, :]
+            p, q = np.nonzero(ok)
+            for k in range(0, len(p), 1 << 15):
+                u, v = x[p[k : k + (1 << 15)]], q[k : k + (1 << 15)]
+                est, used = estimate(regs[u], regs[v], n[u], n[v])
+                good = est >= least - 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+                out.update(zip(u[good].tolist(), own[v[good]].tolist()))
+        fps, first = pdf["fp"].tolist(), dict(zip(own.tolist(), pdf["root"].tolist()))
+        return pd.DataFrame({"fp": [fps[u] for u, _ in out], "root": [first[r] for _, r in out]})
+
+    return run
+
+
+def _linked(percent: int):
+    """Of a component's tile: a link of each candidate (side 1) to a member (side 0), where there is one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        member = pdf[pdf["side"] == 0].sort_values("fp")
+        fps = member["fp"].tolist()
+        if not fps:
+            return pd.DataFrame({"a": [], "b": []})
+        size = np.array([len(g) for g in member["grams"]])
+        flat, ends = np.concatenate(member["grams"].tolist()).view(np.uint64), np.cumsum(size)  # they are sorted as unsigned
+        out = []
+        for fp, grams in zip(*(pdf.loc[pdf["side"] == 1, c] for c in ("fp", "grams"))):
+            own = np.ascontiguousarray(grams).view(np.uint64)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            run_ = np.concatenate(([0], np.cumsum(own[at] == flat)))
+            both = run_[ends] - run_[ends - size]
+            hit = np.flatnonzero(both * 100 >= (size + len(own) - both) * percent)
+            if len(hit):
+                out.append((fps[hit[0]], fp))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
 class _Linker:
     """Confirms links between classes. nodes: fp, rep, n_shingles, regs."""
 
@@ -123,13 +184,52 @@ class _Linker:
         x = x.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
         return x.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_estimator(self.percent / 100), "a binary, b binary, est double")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """fp and grams, the sorted hashes, of the classes in wanted (fp)."""
+        reps = self.nodes.join(wanted.distinct(), "fp", "left_semi").select(F.col("rep").alias("doc_id"))
+        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
+        return materialize(texts.mapInArrow(_setter(self.k), "fp binary, grams array<bigint>").dropDuplicates(["fp"]), "sets", self.keep)
+
+    def across(self, every: DataFrame) -> DataFrame:
+        """Links (a, b) between components, for classes in buckets: key, fp, root."""
+        least, keep = self.percent / 100, self.keep
+        mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
+        open_ = materialize(every.join(mixed, "key"), "open", keep)
+        little = open_.where(F.col("m") <= SMALL).select("key", "fp", "root")
+        pairs = little.toDF("key", "a", "root_a").join(little.toDF("key", "b", "root_b"), "key").where("root_a < root_b").select("a", "b", F.col("root_b").alias("root")).distinct()
+        near = self.possible(pairs.select("a", "b")).select("a", "b").join(pairs, ["a", "b"]).select(F.col("a").alias("fp"), "root")
+        big = open_.where(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / TILE_ROWS).cast("int"))
+        big = big.join(self.nodes.select("fp", "n_shingles", "regs"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        big = big.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root", "n_shingles", "regs")
+        far = big.groupBy("key", "i", "j").applyInPandas(_plausible(least), "fp binary, root binary")
+        cand = materialize(near.union(far).distinct(), "candidates", keep)
+
+        roots = every.select("fp", "root").distinct()
+        inside = roots.join(cand.select("root").distinct(), "root", "left_semi").join(self.nodes.select("fp", "n_shingles"), "fp")
+        inside = materialize(inside, "inside", keep)
+        size = inside.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+        of_small = cand.join(size.where(F.col("m") <= SMALL).select("root"), "root").withColumnRenamed("fp", "b").join(inside.select("root", F.col("fp").alias("a")), "root")
+        found = self.confirm(of_small.select("a", "b").distinct())
+
+        large = size.where(F.col("m") > SMALL).select("root", F.greatest(F.ceil(F.col("m") / SET_ROWS), F.ceil(F.col("w") * 8 / SET_BYTES)).cast("int").alias("na"))
+        wanted = cand.join(large, "root").join(self.nodes.select("fp", "n_shingles"), "fp")
+        parts = wanted.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SET_ROWS), F.ceil(F.sum("n_shingles") * 8 / SET_BYTES)).cast("int").alias("nb"))
+        tiles = large.join(parts, "root")
+        deal = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+        every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = inside.select("root", "fp").join(tiles, "root").withColumn("i", deal("na")).withColumn("j", every_of("nb")).withColumn("side", F.lit(0))
+        right = cand.join(tiles, "root").withColumn("j", deal("nb")).withColumn("i", every_of("na")).withColumn("side", F.lit(1))
+        cols = ["root", "i", "j", "side", "fp"]
+        both = materialize(left.select(cols).union(right.select(cols)), "sides", keep)
+        filled = both.join(self.sets(both.select("fp")), "fp")
+        links = filled.groupBy("root", "i", "j").applyInPandas(_linked(self.percent), "a binary, b binary")
+        return materialize(found.union(links), "links", keep)
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that the full sets confirm."""
         pairs = pairs.select("a", "b")
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        reps = self.nodes.join(wanted, "fp", "left_semi").select(F.col("rep").alias("doc_id"))
-        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
-        sets = materialize(texts.mapInArrow(_setter(self.k), "fp binary, grams array<bigint>").dropDuplicates(["fp"]), "sets", self.keep)
+        sets = self.sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")))
         x = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
         both = F.size(F.array_intersect("grams_a", "grams_b"))
         return x.where(both * 100 >= (F.size("grams_a") + F.size("grams_b") - both) * self.percent).select("a", "b")
@@ -152,24 +252,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = materialize(banded.join(leaders, "key").where("fp != leader"), "members", keep)  # key, fp, leader
 
     linker = _Linker(docs, nodes, k, percent, keep)
-    stars = materialize(linker.possible(members.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()), "stars", keep)
+    stars = linker.possible(members.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct())
     best = stars.groupBy("b").agg(F.max_by("a", "est").alias("a"))
     links = materialize(linker.confirm(best), "links", keep)
     roots = materialize(connected_components(links, keep), "roots", keep)
 
-    rest = _apart(stars.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), roots)
-    links = materialize(links.union(linker.confirm(rest)), "links", keep)
-    roots = materialize(connected_components(links, keep), "roots", keep)
-
     every = members.select("key", "fp").union(members.select("key", "leader").distinct())
     every = every.join(roots, every["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_ = materialize(every.join(mixed, "key", "left_semi").join(nodes.select("fp", "n_shingles"), "fp"), "open", keep)
-    other = open_.toDF(*[f"{c}_b" for c in open_.columns])
-    across = open_.join(other, (F.col("key") == F.col("key_b")) & (F.col("root") < F.col("root_b")) & (F.least("n_shingles", "n_shingles_b") * 100 >= F.greatest("n_shingles", "n_shingles_b") * percent))
-    across = across.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct()
-    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(linker.confirm(materialize(linker.possible(across), "across", keep)), "links", keep)
+    more = linker.across(materialize(every, "every", keep))
     if not more.isEmpty():
         roots = materialize(connected_components(links.union(more), keep), "roots", keep)
 
@@ -183,12 +273,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
-    x = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
-    return x.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).select("a", "b")
-
-
 def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, with the columns of docs: the one of the smallest doc_id.
 
