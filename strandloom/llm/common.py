@@ -107,7 +107,7 @@ def gram_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 21):
+def chunks(texts: pa.Array, limit: int = 1 << 19):
     """Splits an Arrow string array into (first row, flat bytes, offsets) of about limit bytes; a longer text comes alone.
 
     Nulls come as empty texts."""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, discard, gram_hash, materialize, mix64, read_table, rolling
 
-LENGTH, GRAM, GROUP = 400, 128, 4096
+LENGTH, GRAM, GROUP = 400, 128, 16_384
 _POS = np.uint64(2**34 - 1)  # low bits hold a position, so that the leftmost wins among equal hashes
 
 
@@ -73,6 +73,13 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def _rows(batch: pa.RecordBatch, *names: str, size: int = 64):
+    """Rows as tuples, a few at a time as Python objects."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        yield from zip(*[part.column(c).to_pylist() for c in names])
+
+
 def _context_rows(length: int, gram: int):
     reach = length - gram
 
@@ -80,7 +87,7 @@ def _context_rows(length: int, gram: int):
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("ctx", "key", "left", "right", "sha", "pos")}
             held = 0
-            for sha, text, marks in zip(batch.column("sha").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
+            for sha, text, marks in _rows(batch, "sha", "text", "marks"):
                 raw = text.encode()
                 for m in marks:
                     p = m["pos"]
@@ -169,7 +176,7 @@ def _scan_groups(length: int):
     def run(batches):
         key, rows, out = None, [], []
         for batch in batches:
-            for k, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "ctx", "left", "right", "n")]):
+            for k, *row in _rows(batch, "key", "ctx", "left", "right", "n"):
                 if k != key:
                     if rows:
                         done(rows, out)
@@ -191,9 +198,11 @@ def _cover_batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _window_rows(length: int):
+    """Two hashes of each window of a context, and numbers that stand for where its first and its last member have it."""
+
     def run(batches):
         for batch in batches:
-            for ctx, left, right, lo, hi in zip(*[batch.column(c).to_pylist() for c in ("ctx", "left", "right", "lo", "hi")]):
+            for ctx, left, right, lo, hi in _rows(batch, "ctx", "left", "right", "lo", "hi"):
                 flat = np.frombuffer(left[::-1] + right, np.uint8)
                 n = len(flat) - length + 1
                 if n < 1:
@@ -202,11 +211,9 @@ def _window_rows(length: int):
                 p = rolling(flat, False)
                 half = length // 2
                 h1, h2 = gram_hash(p, at, at + length), mix64(gram_hash(p, at, at + half) * np.uint64(3) + gram_hash(p, at + half, at + length))
-                first = [(lo["sha"], lo["pos"] - len(left)), (hi["sha"], hi["pos"] - len(left))]
-                cols = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([ctx] * n, pa.binary()), pa.array((len(left) - at).astype(np.int32))]
-                for sha, start in first:
-                    cols.append(pa.StructArray.from_arrays([pa.array([sha] * n, pa.binary()), pa.array((start + at).astype(np.int32))], ["sha", "at"]))
-                yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "ctx", "l", "lo", "hi"])
+                where = [np.frombuffer(x["sha"][:8], np.uint64) + mix64((x["pos"] - len(left) + at).astype(np.uint64)) for x in (lo, hi)]
+                cols = [h1.view(np.int64), h2.view(np.int64), np.minimum(*where).view(np.int64), np.maximum(*where).view(np.int64), (len(left) - at).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([ctx] * n, pa.binary())], ["h1", "h2", "lo", "hi", "l", "ctx"])
 
     return run
 
@@ -215,7 +222,7 @@ def _cut(length: int):
     def run(batches):
         for batch in batches:
             out = []
-            for sha, text, marks in zip(*[batch.column(c).to_pylist() for c in ("sha", "text", "marks")]):
+            for sha, text, marks in _rows(batch, "sha", "text", "marks"):
                 raw = text.encode()
                 spans: list[list[int]] = []
                 for a, b in sorted((m["a"], m["b"]) for m in marks):
@@ -262,10 +269,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     ordered = small.repartition("key").sortWithinPartitions("key", "right", F.octet_length("right"))
     cover = ordered.mapInArrow(_scan_groups(length), "ctx binary, l int, r int")
     if not large.isEmpty():
-        place = "struct<sha:binary,at:int>"
-        windows = distinct.join(large, "key", "left_semi").select("ctx", "left", "right", "lo", "hi").mapInArrow(_window_rows(length), f"h1 bigint, h2 bigint, ctx binary, l int, lo {place}, hi {place}")
+        windows = distinct.join(large, "key", "left_semi").select("ctx", "left", "right", "lo", "hi").mapInArrow(_window_rows(length), "h1 bigint, h2 bigint, lo bigint, hi bigint, l int, ctx binary")
         windows = materialize(windows, "windows", keep)
-        again = windows.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("h1", "h2")
+        again = windows.groupBy("h1", "h2").agg(F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")).where("lo != hi").select("h1", "h2")
         hit = windows.join(again, ["h1", "h2"], "left_semi").groupBy("ctx").agg(F.max("l").alias("l"), (F.lit(length) - F.min("l")).alias("r"))
         cover = cover.union(hit.select("ctx", "l", F.col("r").cast("int")))
     cover = materialize(cover, "covers", keep)
