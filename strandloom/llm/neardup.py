@@ -12,7 +12,8 @@ Pairs within a large bucket are never expanded. First each class is held against
 sketch, and the best one is confirmed on the full sets; that joins most of a group of copies with one confirmation each. What
 may still be missing are links between components. A bucket that holds several of them is compared by sketches in tiles of
 bounded size, which return (class, component) where some member of the component may be close enough; a class is then held
-against that whole component on full sets, again in tiles, until a link is found. Pairs within one component change nothing
+against that whole component on full sets, again in tiles, until a link is found. A first pass takes for each class only the
+component of its most similar partner, which joins most of what belongs together; the second takes all that are left. Pairs within one component change nothing
 and are left out. Buckets and components of up to SMALL members go by plain joins instead. Sketches rule out a pair only if
 the collision-corrected estimate is six standard deviations below the threshold.
 
@@ -115,8 +116,9 @@ def _estimator(least: float):
     return run
 
 
-def _plausible(least: float):
-    """Of a bucket's tile: (fp, root) where fp may be linked to a member of the component root, which has as many members here."""
+def _plausible(least: float, best_only: bool):
+    """Of a bucket's tile: (fp, root) where fp may be linked to a member of the component root, which has as many members here;
+    with best_only just one for each fp, the component of its most similar partner."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -128,6 +130,7 @@ def _plausible(least: float):
         order[np.lexsort((np.arange(len(names)), size))] = np.arange(len(names))
         place = order[own]
         out = set()
+        best: dict[int, tuple[float, int]] = {}
         rows = np.flatnonzero(place < len(names) - 1)
         for at in range(0, len(rows), 32):
             x = rows[at : at + 32]
@@ -140,7 +143,12 @@ def _plausible(least: float):
                 u, v = x[p[k : k + (1 << 15)]], q[k : k + (1 << 15)]
                 est, used = estimate(regs[u], regs[v], n[u], n[v])
                 good = est >= least - 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-                out.update(zip(u[good].tolist(), own[v[good]].tolist()))
+                if best_only:
+                    for a, e, r in zip(u[good].tolist(), est[good].tolist(), own[v[good]].tolist()):
+                        best[a] = max(best.get(a, (-1.0, 0)), (e, r))
+                else:
+                    out.update(zip(u[good].tolist(), own[v[good]].tolist()))
+        out.update((a, r) for a, (_, r) in best.items())
         fps, first = pdf["fp"].tolist(), dict(zip(own.tolist(), pdf["root"].tolist()))
         return pd.DataFrame({"fp": [fps[u] for u, _ in out], "root": [first[r] for _, r in out]})
 
@@ -190,8 +198,8 @@ class _Linker:
         texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
         return materialize(texts.mapInArrow(_setter(self.k), "fp binary, grams array<bigint>").dropDuplicates(["fp"]), "sets", self.keep)
 
-    def across(self, every: DataFrame) -> DataFrame:
-        """Links (a, b) between components, for classes in buckets: key, fp, root."""
+    def across(self, every: DataFrame, best_only: bool) -> DataFrame:
+        """Links (a, b) between components, for classes in buckets: key, fp, root. With best_only some may be missing."""
         least, keep = self.percent / 100, self.keep
         mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
         open_ = materialize(every.join(mixed, "key"), "open", keep)
@@ -202,7 +210,7 @@ class _Linker:
         big = big.join(self.nodes.select("fp", "n_shingles", "regs"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         big = big.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root", "n_shingles", "regs")
-        far = big.groupBy("key", "i", "j").applyInPandas(_plausible(least), "fp binary, root binary")
+        far = big.groupBy("key", "i", "j").applyInPandas(_plausible(least, best_only), "fp binary, root binary")
         cand = materialize(near.union(far).distinct(), "candidates", keep)
 
         roots = every.select("fp", "root").distinct()
@@ -257,11 +265,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialize(linker.confirm(best), "links", keep)
     roots = materialize(connected_components(links, keep), "roots", keep)
 
-    every = members.select("key", "fp").union(members.select("key", "leader").distinct())
-    every = every.join(roots, every["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    more = linker.across(materialize(every, "every", keep))
-    if not more.isEmpty():
-        roots = materialize(connected_components(links.union(more), keep), "roots", keep)
+    held = materialize(members.select("key", "fp").union(members.select("key", "leader").distinct()), "held", keep)
+    for best_only in (True, False):  # most components meet in the first pass, so that the second has few left
+        every = held.join(roots, held["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        more = linker.across(materialize(every, "every", keep), best_only)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = materialize(connected_components(links, keep), "roots", keep)
 
     of = nodes.select("fp", "rep").join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("rep").alias("component_id"))
