@@ -19,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only for a single-process master that names none."""
+    """The URI of the folder in spark.checkpoint.dir; a temporary one only for a single-process master that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
     sc = spark.sparkContext
     if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -44,6 +44,8 @@ TILE_ROWS, SET_ROWS, SET_BYTES = 2048, 512, 8 << 20  # bounds of a tile's side
 def sketch(mixed: np.ndarray) -> np.ndarray:
     """Registers of a sorted array of distinct mixed hashes: leading zeros + 1 above the mantissa; 0 if empty."""
     out = np.zeros(REGISTERS, np.uint16)
+    if not len(mixed):
+        return out
     bucket = (mixed >> np.uint64(_REST)).astype(np.int64)
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     rest = mixed[at] & np.uint64(2**_REST - 1)
