@@ -173,20 +173,26 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+#: Rows of an edge table that one task takes; fewer, larger partitions where edges are few.
+EDGE_ROWS = 250_000
+
+
 def connected_components(edges: DataFrame, keep: list[str]) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the smallest node of the component.
 
     Alternates large-star and small-star until nothing changes. Nothing is collected and no neighbour list is built: a hot
-    node costs one partial minimum and a join that adaptive execution can split."""
+    node costs one partial minimum and a join that adaptive execution can split. Partitions follow the number of edges."""
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges", keep)
     was = _fingerprint(e)
     while was[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
+        n = -(-2 * was[0] // EDGE_ROWS)
+        e = e.coalesce(n)
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(n)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).coalesce(n).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").coalesce(n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(n)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(n)
+        small = large.join(low, "u").coalesce(n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).coalesce(n).distinct().coalesce(n)
         e = materialize(small, "edges", keep)
         now = _fingerprint(e)
         if now == was:
