@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The read header of one sequencer family, and the complement.
@@ -18,6 +18,12 @@ def round_to(x: Column, digits: int = 6) -> Column:
     return F.floor(x * scale + F.lit(0.5)) / scale
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row. A filter on a plain projection is pushed below it with copies of what it
+    uses, nested ones many times over; none is pushed below a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 # ---- headers
 
 

@@ -21,11 +21,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "events").select("event_id").withColumn("p", p).withColumn("mate", (e % 2).cast("int"))
     pp = F.col("p")
     key = F.when(pp % 10 < 5, pp % 7).when(pp % 10 < 9, 1000 + pp % 150).when(pp % 40 < 20, 100000 + pp).otherwise(200000 + F.floor(pp / 20).cast("bigint"))
-    x = x.withColumn("vkey", key)
+    x = S.computed(x, {"vkey": key})
     digest = F.concat(*[F.md5(F.concat(F.lit(c), F.col("vkey").cast("string"))) for c in "abcde"])
     frag = F.translate(digest, "0123456789abcdef", "ACGT" * 4)
+    x = S.computed(x, {"frag": frag})
+    frag = F.col("frag")
     clean = F.when(F.col("mate") == 0, F.concat(F.lit("AAGGGCACCACAAGAACG"), F.substring(frag, 1, 133))).otherwise(F.concat(F.lit("CGGTCACGTTCGTTGCCT"), S.reverse_complement(F.substring(frag, 28, 133))))
-    x = x.withColumn("clean", clean)
+    x = S.computed(x, {"clean": clean})
     c = F.col("clean")
     sub = lambda a, n: F.substring(c, a, n)
     seq = (
@@ -33,7 +35,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 211 == 17, F.concat(F.lit("N" * 20), sub(21, 131))).when(e % 307 == 19, F.concat(sub(1, 75), F.lit("N"), sub(77, 75))).when(e % 97 == 23, F.concat(sub(1, 1), F.lit("N"), sub(3, 149)))
         .when(e % 53 == 29, F.lower(c)).otherwise(c)
     )
-    x = x.withColumn("sequence", seq).withColumn("seq_id", F.concat(F.lit("SYN."), pp.cast("string")))
+    x = S.computed(x, {"sequence": seq}).withColumn("seq_id", F.concat(F.lit("SYN."), pp.cast("string")))
     s = lambda v: v.cast("string")
     name = F.concat(F.col("seq_id"), F.lit(" LH:11:FC:5:"), s(1101 + pp % 4), F.lit(":"), s(pp), F.lit(":"), s(pp % 97), F.lit(" length="), s(F.length("sequence")))
     header = F.when(e % 50 == 49, F.concat(F.col("seq_id"), F.lit(" contig len=500"))).otherwise(name)
