@@ -5,7 +5,8 @@ the whole sequence). For each size that an item has, a window of as many shingle
 SimHash sums the signs of its shingles' hash bits, by differences of running sums. Items are indexed by the eight bytes of
 their SimHash: two fingerprints within RADIUS = 23 bits agree in some byte to 2 bits (8 * 3 > 23), so looking up each byte with
 all bytes within 2 bits of it finds every item in the radius. What is found is held to the radius, then verified by the exact
-similarity of the two bags of shingles, sum of the lesser counts / sum of the greater counts.
+similarity of the two bags of shingles, sum of the lesser counts / sum of the greater counts. A document of fewer shingles than
+an item is one window as a whole, if it has at least 0.8 times the item's shingles; with fewer, no similarity of 0.8 is possible.
 
 At a similarity of 0.8 the fingerprints' 64 bits differ in 10 on average with a deviation of 3. A window that shares no shingle
 with any item has similarity 0, so only windows around shared shingles are fingerprinted, which loses nothing.
@@ -51,6 +52,14 @@ def window_prints(h: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(run[size:] - run[:-size] > 0, axis=1)
 
 
+def whole_print(h: np.ndarray) -> np.ndarray:
+    """SimHash bytes (1 x 8) of all shingles as one window, summed in pieces."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        total += _signs(h[at : at + (1 << 14)]).sum(0)
+    return np.packbits(total > 0)[None]
+
+
 def bag_similarity(a: Counter, b: Counter) -> float:
     both = sum((a & b).values())
     return both / (sum(a.values()) + sum(b.values()) - both)
@@ -94,8 +103,17 @@ class Index:
         best: dict[int, float] = {}
         if not len(hit):
             return best
+        whole = None
         for size in self.by_size:
             if size > len(h):
+                if len(h) / size < SIMILARITY:
+                    continue
+                if whole is None:
+                    whole = whole_print(h), Counter(h.tolist())
+                for _, i in self.look_up(whole[0], size):
+                    s = bag_similarity(whole[1], self.bags[i])
+                    if s >= SIMILARITY:
+                        best[i] = s
                 continue
             cuts = np.flatnonzero(np.diff(hit) > 2 * size) + 1
             for group in np.split(hit, cuts):

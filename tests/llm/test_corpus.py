@@ -174,6 +174,30 @@ def test_decontamination_equals_all_windows(spark, docs, rows, none):
     assert decontamination.find_leaks(none, bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).where("_similarity > 0").count() == 0
 
 
+def test_decontamination_finds_shortened_items(spark):
+    rng = random.Random(11)
+    long, other = prose(rng, 50).split(), prose(rng, 23).split()
+    texts = [long[:-3], long[:20] + long[21:], long[4:], long[:41], long[:40], long[:30], long[:20] + ["new"] + long[21:-1], other[:-2], other[3:], other, long[:-3] + other, ["one"], []]
+    bench = {1: long, 2: other, 3: long[:45], 4: "one two".split()}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
+    got = {r["doc_id"]: (set(r["_item_ids"]), r["_similarity"]) for r in decontamination.find_leaks(docs, items).collect()}
+
+    def grams(w):
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+    for d, t in enumerate(texts):
+        g, best = grams(t), {}
+        for i, w in bench.items():
+            h = grams(w)
+            for s in range(max(len(g) - len(h), 0) + 1):
+                a, b = Counter(g[s : s + len(h)]), Counter(h)
+                best[i] = max(best.get(i, 0.0), sum((a & b).values()) / sum((a | b).values()))
+        want = {i: j for i, j in best.items() if j >= 0.8}
+        assert got[d] == (set(want), pytest.approx(max(want.values(), default=0.0))), d
+    assert got[0] == ({1, 3}, 1.0) and got[1][0] >= {1} and got[5][0] == set()
+
+
 PAGES = {
     "": "",
     "<p>hello": "hello",
