@@ -192,7 +192,7 @@ def dereplicate(spark, d):
 
 @query
 def dereplicate_canonical(spark, d):
-    return variants.variant_table(_counts(spark, d, True), top=500, min_count=2).select("variant_id", "sequence", "count", "rank")
+    return variants.variant_table(_counts(spark, d, True), min_count=2).select("variant_id", "sequence", "count", "rank")
 
 
 @query

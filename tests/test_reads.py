@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
 from strandloom.operators import amplicon, kmer, qc, sampling, stats, variants
+from strandloom.plans import queries
 from strandloom.session import load_config, parse_override
 from strandloom.sources import fasta, store, tables
 from strandloom.streaming import ingest
@@ -241,6 +242,15 @@ def test_streams(spark, tmp_path):
     assert sorted(r["count"] for r in spark.table("variants").collect()) == [1, 2]
 
 
+def test_canonical_table_has_all_repeated_variants(spark, tmp_path):
+    spark.range(36_000).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    want = Counter(min(s, s[::-1].translate(str.maketrans("ACGT", "TGCA"))) for s in (r["sequence"] for r in queries._passed(spark, str(tmp_path)).select("sequence").collect()))
+    got = queries.QUERIES["dereplicate_canonical"](spark, str(tmp_path)).collect()
+    repeated = {s: n for s, n in want.items() if n >= 2}
+    assert len(repeated) > 500 and {r["sequence"]: r["count"] for r in got} == repeated
+    assert sorted(r["rank"] for r in got) == list(range(1, len(repeated) + 1)) and all(r["variant_id"] == r["rank"] - 1 for r in got)
+
+
 def test_settings():
     assert parse_override("qc.min_length=5") == ("qc.min_length", 5) and parse_override("a=b") == ("a", "b")
     assert load_config(None, ["qc.min_length=5"])["qc"]["min_length"] == 5 and load_config()["qc"]["min_length"] == 100
