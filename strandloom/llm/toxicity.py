@@ -3,8 +3,9 @@
 A lexicon turns the words of a text into symbols: insult, threat, target, negation, reported speech, quote, end of clause.
 Small transducers rewrite them in turn and are composed into one table: negation marks insults and threats in its reach, then
 reported speech marks those told of others or quoted, then a clause transducer takes a clause's end to its kind: an insult
-with a target or without one, a threat with a target, or one that is negated or reported. A document's features are how many
-clauses of each kind it has and the heaviest insult; a logistic model weighs them. What a modifier is worth is thus learned.
+with a target or without one, a threat with a target, or one that is negated or reported. A clause is read whole, from mark to
+mark, however long. A document's features are how many clauses of each kind it has and the heaviest insult; a logistic model
+weighs them. What a modifier is worth is thus learned.
 
 Insults are learned too: words, and beginnings of words, that are far more frequent in toxic documents than in clean ones, with
 their log odds as weights. Both fits use at most TRAIN_ROWS labelled documents, those with the smallest hash of their
@@ -19,6 +20,7 @@ is none); an empty table gives an empty result; only doc_id and text are read, s
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -140,15 +142,13 @@ class Scorer:
         low = (text or "").lower()
         hits = sorted({end - n + 1 for end, n in self.auto.iter(low) if end - n < 0 or not low[end - n].isalnum()})
         out, done = [], -1
+        marks = [m.span() for m in CLAUSE.finditer(low)] if hits else []
         for at in hits:
             if at < done:
                 continue
-            before = None
-            for before in CLAUSE.finditer(low, max(0, at - 2000), at):
-                pass
-            begin = before.end() if before else max(0, at - 2000)
-            after = CLAUSE.search(low, at)
-            done = after.start() if after else len(low)
+            i = bisect_left(marks, (at,))  # marks before the hit
+            begin = marks[i - 1][1] if i else 0
+            done = marks[i][0] if i < len(marks) else len(low)
             kind, weight = self.clause(low[begin:done])
             if kind != "none":
                 out.append((kind, weight))

@@ -363,6 +363,14 @@ def test_toxicity_learns_and_holds_out(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_reads_long_clauses_whole():
+    s, far = toxicity.Scorer({"grobnik": 5.0}), "word " * 1000
+    assert s.clauses(f"Well. you {far} grobnik. Fine") == [("targeted", 5.0)]
+    assert s.clauses(f"he said {far} grobnik") == [("reported", 5.0)]
+    assert s.clauses(f'x; "{far} grobnik {far}" ! grobnik') == [("reported", 5.0), ("plain", 5.0)]
+    assert s.clauses("s" + "kill" * 499 + "x you " + "skill " * 400) == s.clauses("") == []
+
+
 def test_toxicity_grammar():
     s = toxicity.Scorer({"grobnik": 5.0, "zorp*": 4.0})
     kinds = lambda t: [k for k, _ in s.clauses(t)]
