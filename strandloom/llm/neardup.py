@@ -20,7 +20,7 @@ the collision-corrected estimate is six standard deviations below the threshold.
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is its own component; a null
 doc_id never becomes a component's id unless the component has no other (then it is null), and is kept if its component's id is
 null as well; rows with equal doc_id are judged each by its own text; repeated rows are one class and are all kept if the class
-holds the smallest id; an empty table gives an empty result; only doc_id and text are read, so other columns cannot clash.
+holds the smallest id (unique() keeps one row of a group); an empty table gives an empty result; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -78,12 +78,12 @@ def _sets(texts: pa.Array, k: int):
 def _signer(k: int):
     def run(batches):
         for batch in batches:
-            fps, ns, regs = [], [], []
+            fps, ns, regs, rest = [], [], [], [c for c in batch.schema.names if c != "text"]
             for s in _sets(batch.column("text"), k):
                 ns.append(len(s))
                 fps.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "fp", "n_shingles", "regs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(fps, pa.binary()), pa.array(ns, pa.int64()), pa.array(regs, pa.binary())], [*rest, "fp", "n_shingles", "regs"])
 
     return run
 
@@ -245,13 +245,12 @@ class _Linker:
         return x.where(both * 100 >= (F.size("grams_a") + F.size("grams_b") - both) * self.percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each row of docs (doc_id, text)."""
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): the rows of docs (doc_id, text and others) with fp and n_shingles instead of text; fp, root and component_id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     keep: list[str] = []
-    kind = dict(docs.dtypes)["doc_id"]
-    signed = materialize(docs.mapInArrow(_signer(k), f"doc_id {kind}, fp binary, n_shingles bigint, regs binary"), "signed")
+    rest = "".join(f"{c} {t}, " for c, t in docs.dtypes if c != "text")
+    signed = materialize(docs.mapInArrow(_signer(k), f"{rest}fp binary, n_shingles bigint, regs binary"), "signed")
     nodes = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     nodes = materialize(nodes, "nodes", keep)
 
@@ -277,20 +276,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     of = nodes.select("fp", "rep").join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = materialize(of.join(ids, "root").select("fp", "component_id"), "classes")
+    classes = materialize(of.join(ids, "root").select("fp", "root", "component_id"), "classes")
     discard(spark, keep)
-    slim = signed.select("doc_id", "n_shingles", "fp")
+    return signed.drop("regs"), classes
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row for each row of docs (doc_id, text)."""
+    slim, classes = _classes(docs.select("doc_id", "text"), k, percent)
     out = slim.where(F.col("fp").isNotNull()).join(classes, "fp").select("doc_id", "n_shingles", "component_id")
     out = out.union(slim.where(F.col("fp").isNull()).select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates, with the columns of docs: the one of the smallest doc_id.
-
-    A doc_id stays if any of its rows does; of rows that agree in doc_id and text one stays."""
-    ids = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates, with the columns of docs: the one of the smallest doc_id, nulls last, and
+    of these the one of the smallest MD5 of its text.
+
+    A text without words is a group of its own; of rows that agree in doc_id and text one stays."""
+    rows, classes = _classes(docs.select("doc_id", "text", F.md5("text").alias("key")), k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    firsts = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(first)
+    firsts = firsts.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    kept = firsts.union(rows.where(F.col("fp").isNull()).select("doc_id", "key")).toDF("_kept_id", "_kept_key")
+    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & F.md5(docs["text"]).eqNullSafe(kept["_kept_key"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

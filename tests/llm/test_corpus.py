@@ -130,6 +130,20 @@ def test_near_duplicates_keep_one_document_each(docs, rows, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_keep_one_row_without_ids(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    texts = [(1, a), (None, a + " more"), (None, b), (None, b + " more"), (None, b.upper()), (None, b), (7, c), (7, c + " more"), (7, c.replace(" ", "  ")), (7, b + " again"), (8, prose(rng, 90)), (None, prose(rng, 90)), (None, None), (7, ""), (7, " ")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(texts)], "doc_id long, text string, n long")
+    rows = [(i, t, None) for i, t in texts]
+    got = [(r["doc_id"], r["text"]) for r in neardup.unique(df).collect()]
+    group = {1: [a, a + " more"], 2: [b, b + " more", b.upper(), b + " again"], 3: [c, c + " more", c.replace(" ", "  ")]}
+    assert len(components(rows, 5, 80)) == len(texts) and len(got) == 3 + 5
+    for want, members in zip((1, 7, 7), group.values()):
+        assert [d for d, t in got if t in members] == [want]
+    assert {(8, texts[10][1]), (None, texts[11][1]), (None, None), (7, ""), (7, " ")} <= set(got)
+
+
 def test_sketch_estimates():
     import numpy as np
 
