@@ -99,6 +99,8 @@ class Index:
 
     def matches(self, h: np.ndarray) -> dict[int, float]:
         """Best similarity of each item to a window of the document with these shingles, where it suffices."""
+        if not len(self.vocabulary):  # no item has a word
+            return {}
         hit = np.flatnonzero(self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)] == h)
         best: dict[int, float] = {}
         if not len(hit):

@@ -212,6 +212,12 @@ def test_decontamination_finds_shortened_items(spark):
     assert got[0] == ({1, 3}, 1.0) and got[1][0] >= {1} and got[5][0] == set()
 
 
+def test_decontamination_by_items_without_words(spark, docs):
+    bench = spark.createDataFrame([(1, ""), (2, " ?! ... "), (3, None)], "item_id long, text string")
+    got = decontamination.find_leaks(docs, bench).collect()
+    assert len(got) == docs.count() and all(r["_item_ids"] == [] and r["_similarity"] == 0.0 for r in got)
+
+
 PAGES = {
     "": "",
     "<p>hello": "hello",
