@@ -42,7 +42,7 @@ ADJACENT, SIBLING = 0.6, 0.8  # smoothness of neighbours in page order, and of b
 DECAY = 3.0  # tree steps over which it falls
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # all of them, so that no value is read as a name
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -61,6 +61,8 @@ class Element:
         for name, value in ATTR.findall(attrs) if attrs else ():
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
+                if tag in ("html", "body"):  # of the whole page, so they tell no block from another
+                    continue
                 words = set(SPLIT.split(CAMEL.sub(" ", value).lower()))
                 worst = min(worst, BAD if words & BAD_WORDS else 0.0)
                 own += GOOD if words & GOOD_WORDS and not words & BAD_WORDS else 0.0
@@ -68,7 +70,7 @@ class Element:
                 own += ROLE.get(value.lower(), 0.0)
             elif name == "style":
                 self.hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            else:
+            elif name in ("hidden", "aria-hidden"):
                 self.hidden |= value.lower() != "false"
         self.odds = own + worst
 

@@ -238,6 +238,18 @@ def test_extraction(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='single has-sidebar'><article><p>The first paragraph.<p>And the second one.</article></body>",
+    "<html id=nav class=comments-open><body class=\"post widget\"><article><p>The first paragraph.<p>And the second one.</article></body></html>",
+    "<body><article title='the hidden cost' data-id=sidebar><p data-x=\"class=ad style=display:none\">The first paragraph.<p alt='a' title=\"hidden\">And the second one.</article>",
+])
+def test_extraction_reads_class_words_where_they_tell_blocks_apart(spark, page):
+    shut = page.replace("<article", "<article hidden", 1), page.replace("<article", "<article class=sidebar", 1)
+    pages = spark.createDataFrame([(i, "", h) for i, h in enumerate((page, *shut))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(pages).collect()}
+    assert got == {0: "The first paragraph.\n\nAnd the second one.", 1: "", 2: ""}
+
+
 def test_minimum_cut_equals_all_labellings():
     rng = random.Random(3)
     for _ in range(60):
