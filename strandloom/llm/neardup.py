@@ -8,14 +8,14 @@ of leading zeros (6 bits) and the 10 bits after the first one. Four registers ma
 bucket key. At a similarity of 0.8 a pair shares no band with a probability of 5e-8; bands without any shingle are no evidence
 and are left out.
 
-Pairs within a large bucket are never expanded. First each class is held against the smallest class of each of its buckets, by
-sketch, and the best one is confirmed on the full sets; that joins most of a group of copies with one confirmation each. What
-may still be missing are links between components. A bucket that holds several of them is compared by sketches in tiles of
-bounded size, which return (class, component) where some member of the component may be close enough; a class is then held
-against that whole component on full sets, again in tiles, until a link is found. A first pass takes for each class only the
-component of its most similar partner, which joins most of what belongs together; the second takes all that are left. Pairs within one component change nothing
-and are left out. Buckets and components of up to SMALL members go by plain joins instead. Sketches rule out a pair only if
-the collision-corrected estimate is six standard deviations below the threshold.
+Pairs are never expanded into rows. First each class is held against the smallest class of each of its buckets, by sketch, and
+the best one is confirmed on the full sets; that joins most of a group of copies with one confirmation each. What may still be
+missing are links between components. Buckets that hold several of them are read in tiles of bounded size. A first pass
+returns for each class its most similar partner in another component, to be confirmed; a second returns the members that still
+have a partner in another component, and reads these tiles again with the full sets, which gives a spanning forest of the
+links between components. Pairs within one component change nothing and are left out, and a pair is looked at only in the
+first band in which it agrees. Sketches rule out a pair only if the collision-corrected estimate is six standard deviations
+below the threshold.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing and is its own component; a null
 doc_id never becomes a component's id unless the component has no other (then it is null), and is kept if its component's id is
@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +36,7 @@ from .common import chunks, connected_components, discard, materialize, mix64, r
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 _REST = 57  # bits below the register's number
-SMALL = 12  # members up to which a bucket or a component is joined
-TILE_ROWS, SET_ROWS, SET_BYTES = 2048, 512, 8 << 20  # bounds of a tile's side
+TILE_ROWS, SET_BYTES = 2048, 8 << 20  # bounds of a tile's side
 
 
 def sketch(mixed: np.ndarray) -> np.ndarray:
@@ -102,81 +100,184 @@ def _setter(k: int):
     return run
 
 
+def _allowed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates, and where they do not rule out a similarity of least."""
+    est, used = estimate(a, b, na, nb)
+    return est, est >= least - 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _estimator(least: float):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")]
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            est, used = estimate(*regs, na, nb)
-            slack = 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-            keep = est >= least - slack
+            est, keep = _allowed(_registers(batch.column("regs_a")), _registers(batch.column("regs_b")), na, nb, least)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "est"])
             yield out.filter(pa.array(keep))
 
     return run
 
 
-def _plausible(least: float, best_only: bool):
-    """Of a bucket's tile: (fp, root) where fp may be linked to a member of the component root, which has as many members here;
-    with best_only just one for each fp, the component of its most similar partner."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        block, n = pdf["block"].to_numpy(), pdf["n_shingles"].to_numpy()
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, REGISTERS)
-        names, own = np.unique(np.array([r.hex() for r in pdf["root"]]), return_inverse=True)
-        size = np.bincount(own)
-        order = np.empty(len(names), np.int64)
-        order[np.lexsort((np.arange(len(names)), size))] = np.arange(len(names))
-        place = order[own]
-        out = set()
-        best: dict[int, tuple[float, int]] = {}
-        rows = np.flatnonzero(place < len(names) - 1)
-        for at in range(0, len(rows), 32):
-            x = rows[at : at + 32]
-            ok = place[x][:, None] < place[None, :]
-            ok &= np.minimum(n[x][:, None], n[None]) >= least * np.maximum(n[x][:, None], n[None]) - 1e-9
-            if i != j:
-                ok &= block[x][:, None] != block[None, :]
-            p, q = np.nonzero(ok)
-            for k in range(0, len(p), 1 << 15):
-                u, v = x[p[k : k + (1 << 15)]], q[k : k + (1 << 15)]
-                est, used = estimate(regs[u], regs[v], n[u], n[v])
-                good = est >= least - 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-                if best_only:
-                    for a, e, r in zip(u[good].tolist(), est[good].tolist(), own[v[good]].tolist()):
-                        best[a] = max(best.get(a, (-1.0, 0)), (e, r))
-                else:
-                    out.update(zip(u[good].tolist(), own[v[good]].tolist()))
-        out.update((a, r) for a, (_, r) in best.items())
-        fps, first = pdf["fp"].tolist(), dict(zip(own.tolist(), pdf["root"].tolist()))
-        return pd.DataFrame({"fp": [fps[u] for u, _ in out], "root": [first[r] for _, r in out]})
+def _tables(batches, names: list[str], rows: int = 4096):
+    """Whole tiles, many at once: batches sorted by names are cut only where these change."""
+    held: list[pa.RecordBatch] = []
+    size, least = 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(_starts(table, names)[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held, size = table.slice(cut).to_batches(), size - cut
+        least = max(rows, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Where tiles begin."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        x = table.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+class _Tiles:
+    """Rows of whole tiles as arrays; pairs() are those that may be links between components."""
+
+    def __init__(self, table: pa.Table, names: list[str], percent: int):
+        at = _starts(table, names)
+        self.percent = percent
+        self.fps = table.column("fp").to_pylist()
+        codes: dict[bytes, int] = {}
+        self.root = np.array([codes.setdefault(r, len(codes)) for r in table.column("root").to_pylist()])
+        self.end = np.repeat(np.append(at[1:], len(self.fps)), np.diff(np.append(at, len(self.fps))))
+        self.n, self.band = table.column("n_shingles").to_numpy(), table.column("band").to_numpy()
+        self.x, self.y = (table.column(c).to_numpy() for c in ("x", "y"))
+        self.block = table.column("block").to_numpy() if "block" in table.column_names else None
+        self.regs = _registers(table.column("regs"))
+
+    def pairs(self):
+        """(u, v, estimate) in pieces. A pair counts in the first band in which it agrees and in no other bucket."""
+        alive, d, us, vs, held = np.arange(len(self.fps)), 1, [], [], 0
+        while True:
+            alive = alive[alive + d < self.end[alive]]
+            if len(alive):
+                v = alive + d
+                ok = self.root[alive] != self.root[v]
+                ok &= (self.x[alive] & self.y[v]) | (self.y[alive] & self.x[v])
+                ok &= np.minimum(self.n[alive], self.n[v]) * 100 >= np.maximum(self.n[alive], self.n[v]) * self.percent
+                if self.block is not None:  # of a tile of two blocks only pairs across
+                    ok &= (self.block[alive] != self.block[v]) | (self.block[alive] < 0)
+                us.append(alive[ok])
+                vs.append(v[ok])
+                held += len(us[-1])
+                d += 1
+            if held >= 1 << 14 or not len(alive):
+                u, v = np.concatenate([*us, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*vs, np.zeros(0, np.int64)]).astype(np.int64)
+                for k in range(0, len(u), 1 << 14):
+                    yield from self._near(u[k : k + (1 << 14)], v[k : k + (1 << 14)])
+                us, vs, held = [], [], 0
+            if not len(alive):
+                return
+
+    def _near(self, u: np.ndarray, v: np.ndarray):
+        wide = self.regs.view(np.uint64)
+        a = wide[u]
+        own = ((a == wide[v]) & (a != 0)).argmax(1) == self.band[u]
+        u, v = u[own], v[own]
+        if len(u):
+            est, ok = _allowed(self.regs[u], self.regs[v], self.n[u], self.n[v], self.percent / 100)
+            yield u[ok], v[ok], est[ok]
+
+
+_TILE = ["key", "i", "j"]
+
+
+def _best_partners(percent: int):
+    """For each class of a tile its most similar partner in another component: (b, a, est)."""
+
+    def run(batches):
+        for table in _tables(batches, _TILE):
+            t = _Tiles(table, _TILE, percent)
+            top, of = np.full(len(t.fps), -1.0), np.full(len(t.fps), -1)
+            for u, v, est in t.pairs():
+                for x, y in ((u, v), (v, u)):
+                    order = np.argsort(est, kind="stable")
+                    order = order[est[order] > top[x[order]]]
+                    top[x[order]], of[x[order]] = est[order], y[order]  # the last, and so the greatest, stays
+            hit = np.flatnonzero(of >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array([t.fps[i] for i in hit], pa.binary()), pa.array([t.fps[i] for i in of[hit]], pa.binary()), pa.array(top[hit])], ["b", "a", "est"])
+
+    return run
+
+
+def _open_rows(percent: int):
+    """The rows of tiles that have some partner in another component."""
+
+    def run(batches):
+        for table in _tables(batches, _TILE):
+            t = _Tiles(table, _TILE, percent)
+            hit = np.zeros(len(t.fps), bool)
+            for u, v, _ in t.pairs():
+                hit[u] = hit[v] = True
+            yield from table.select([*_TILE, "band", "x", "y", "fp", "root", "n_shingles"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
     return run
 
 
 def _linked(percent: int):
-    """Of a component's tile: a link of each candidate (side 1) to a member (side 0), where there is one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        member = pdf[pdf["side"] == 0].sort_values("fp")
-        fps = member["fp"].tolist()
-        if not fps:
-            return pd.DataFrame({"a": [], "b": []})
-        size = np.array([len(g) for g in member["grams"]])
-        flat, ends = np.concatenate(member["grams"].tolist()).view(np.uint64), np.cumsum(size)  # they are sorted as unsigned
-        out = []
-        for fp, grams in zip(*(pdf.loc[pdf["side"] == 1, c] for c in ("fp", "grams"))):
-            own = np.ascontiguousarray(grams).view(np.uint64)
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            run_ = np.concatenate(([0], np.cumsum(own[at] == flat)))
-            both = run_[ends] - run_[ends - size]
-            hit = np.flatnonzero(both * 100 >= (size + len(own) - both) * percent)
-            if len(hit):
-                out.append((fps[hit[0]], fp))
-        return pd.DataFrame(out, columns=["a", "b"])
+    """Links between components that the full sets confirm: a spanning forest of each tile's, as (a, b)."""
+    names = [*_TILE, "p", "q"]
+
+    def run(batches):
+        for table in _tables(batches, names, 1024):
+            t = _Tiles(table, names, percent)
+            column = table.column("grams").combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            offs, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)  # they are sorted as unsigned
+            grams = [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
+            parent = list(range(int(t.root.max()) + 1))
+            out = []
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for u, v, _ in t.pairs():
+                order = np.argsort(u, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(u[order])) + 1) if len(order) else ():
+                    a = int(u[part[0]])
+                    others = [int(b) for b in v[part] if find(t.root[b]) != find(t.root[a])]
+                    if not others:
+                        continue
+                    own, size = grams[a], np.array([len(grams[b]) for b in others])
+                    every = np.concatenate([grams[b] for b in others])
+                    same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                    run_ = np.concatenate(([0], np.cumsum(same)))
+                    ends = np.cumsum(size)
+                    both = run_[ends] - run_[ends - size]
+                    for k in np.flatnonzero(both * 100 >= (size + len(own) - both) * percent).tolist():
+                        x, y = find(t.root[a]), find(t.root[others[k]])
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                            out.append((t.fps[a], t.fps[others[k]]))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
@@ -200,45 +301,46 @@ class _Linker:
         texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
         return materialize(texts.mapInArrow(_setter(self.k), "fp binary, grams array<bigint>").dropDuplicates(["fp"]), "sets", self.keep)
 
-    def across(self, every: DataFrame, best_only: bool) -> DataFrame:
-        """Links (a, b) between components, for classes in buckets: key, fp, root. With best_only some may be missing."""
-        least, keep = self.percent / 100, self.keep
-        mixed = every.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
-        open_ = materialize(every.join(mixed, "key"), "open", keep)
-        little = open_.where(F.col("m") <= SMALL).select("key", "fp", "root")
-        pairs = little.toDF("key", "a", "root_a").join(little.toDF("key", "b", "root_b"), "key").where("root_a < root_b").select("a", "b", F.col("root_b").alias("root")).distinct()
-        near = self.possible(pairs.select("a", "b")).select("a", "b").join(pairs, ["a", "b"]).select(F.col("a").alias("fp"), "root")
-        big = open_.where(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / TILE_ROWS).cast("int"))
-        big = big.join(self.nodes.select("fp", "n_shingles", "regs"), "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        big = big.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root", "n_shingles", "regs")
-        far = big.groupBy("key", "i", "j").applyInPandas(_plausible(least, best_only), "fp binary, root binary")
-        cand = materialize(near.union(far).distinct(), "candidates", keep)
-
-        roots = every.select("fp", "root").distinct()
-        inside = roots.join(cand.select("root").distinct(), "root", "left_semi").join(self.nodes.select("fp", "n_shingles"), "fp")
-        inside = materialize(inside, "inside", keep)
-        size = inside.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
-        of_small = cand.join(size.where(F.col("m") <= SMALL).select("root"), "root").withColumnRenamed("fp", "b").join(inside.select("root", F.col("fp").alias("a")), "root")
-        found = self.confirm(of_small.select("a", "b").distinct())
-
-        large = size.where(F.col("m") > SMALL).select("root", F.greatest(F.ceil(F.col("m") / SET_ROWS), F.ceil(F.col("w") * 8 / SET_BYTES)).cast("int").alias("na"))
-        wanted = cand.join(large, "root").join(self.nodes.select("fp", "n_shingles"), "fp")
-        parts = wanted.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SET_ROWS), F.ceil(F.sum("n_shingles") * 8 / SET_BYTES)).cast("int").alias("nb"))
-        tiles = large.join(parts, "root")
+    def tiles(self, every: DataFrame) -> DataFrame:
+        """Rows of buckets (key, band, fp, root) that hold several components, dealt to tiles (key, i, j) and sorted by these.
+
+        The members of a bucket's most frequent component are held only against the others: there is a tile for each block i
+        of all members (x) and each block j of those others (y), so that a bucket costs a row for each member as long as the
+        others fit one block."""
+        of = every.groupBy("key", "root").agg(F.count("*").alias("n"))
+        mixed = of.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+        mixed = mixed.select("key", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("all"), F.ceil((F.col("m") - F.col("top.n")) / TILE_ROWS).cast("int").alias("few"), F.col("top.root").alias("top"))
         deal = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
-        every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = inside.select("root", "fp").join(tiles, "root").withColumn("i", deal("na")).withColumn("j", every_of("nb")).withColumn("side", F.lit(0))
-        right = cand.join(tiles, "root").withColumn("j", deal("nb")).withColumn("i", every_of("na")).withColumn("side", F.lit(1))
-        cols = ["root", "i", "j", "side", "fp"]
-        both = materialize(left.select(cols).union(right.select(cols)), "sides", keep)
-        filled = both.join(self.sets(both.select("fp")), "fp")
-        links = filled.groupBy("root", "i", "j").applyInPandas(_linked(self.percent), "a binary, b binary")
-        return materialize(found.union(links), "links", keep)
+        at = lambda i, j, x, y: F.struct(i.alias("i"), j.alias("j"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+        first = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda j: at(deal("all"), j, True, False))
+        second = F.when(F.col("root") != F.col("top"), F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda i: at(i, deal("few"), False, True))).otherwise(F.slice(first, 1, 0))
+        places = F.when(F.col("all") == 1, F.array(at(F.lit(0), F.lit(0), True, True))).otherwise(F.concat(first, second))
+        rows = every.join(mixed, "key").select("key", "band", "fp", "root", F.explode(places).alias("at")).select("key", "at.i", "at.j", "at.x", "at.y", "band", "fp", "root")
+        rows = rows.join(self.nodes.select("fp", "n_shingles", "regs"), "fp")
+        return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "fp")
+
+    def nearest(self, every: DataFrame) -> DataFrame:
+        """Confirmed links of classes to the most similar partner that a bucket shows in another component."""
+        found = self.tiles(every).mapInArrow(_best_partners(self.percent), "b binary, a binary, est double")
+        return materialize(self.confirm(found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))), "links", self.keep)
+
+    def across(self, every: DataFrame) -> DataFrame:
+        """Links (a, b) that join all components between which there is any link."""
+        kinds = {f.name: f.dataType.simpleString() for f in every.schema.fields}
+        schema = f"key bigint, i int, j int, band int, x boolean, y boolean, fp binary, root {kinds['root']}, n_shingles bigint"
+        rows = materialize(self.tiles(every).mapInArrow(_open_rows(self.percent), schema), "open", self.keep)
+        size = rows.groupBy(*_TILE).agg(F.ceil(F.sum("n_shingles") * 8 / SET_BYTES).cast("int").alias("parts"))
+        rows = rows.join(size, _TILE).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).withColumn("block", F.when(F.col("p") == F.col("q"), -1).otherwise(F.col("own")))
+        sets = self.sets(rows.select("fp")).join(self.nodes.select("fp", "regs"), "fp")
+        names = [*_TILE, "p", "q"]
+        full = rows.select(*names, "block", "band", "x", "y", "fp", "root", "n_shingles").join(sets, "fp").repartition(*names).sortWithinPartitions(*names, "fp")
+        return materialize(full.mapInArrow(_linked(self.percent), "a binary, b binary"), "links", self.keep)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that the full sets confirm."""
-        pairs = pairs.select("a", "b")
+        pairs = materialize(pairs.select("a", "b"), "pairs", self.keep)
         sets = self.sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")))
         x = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
         both = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -255,23 +357,20 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     nodes = materialize(nodes, "nodes", keep)
 
     width = 2 * BAND
-    band = F.substring("regs", F.col("i") * width + 1, F.lit(width))
-    banded = nodes.select("fp", "regs", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))).alias("i")).where(band != F.lit(bytes(width))).select(F.xxhash64("i", band).alias("key"), "fp")
+    bytes_ = F.substring("regs", F.col("band") * width + 1, F.lit(width))
+    banded = nodes.select("fp", "regs", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))).alias("band")).where(bytes_ != F.lit(bytes(width))).select(F.xxhash64("band", bytes_).alias("key"), "band", "fp")
     leaders = banded.groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = materialize(banded.join(leaders, "key").where("fp != leader"), "members", keep)  # key, fp, leader
+    members = materialize(banded.join(leaders, "key"), "members", keep)  # key, band, fp, leader
 
     linker = _Linker(docs, nodes, k, percent, keep)
-    stars = linker.possible(members.select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct())
-    best = stars.groupBy("b").agg(F.max_by("a", "est").alias("a"))
-    links = materialize(linker.confirm(best), "links", keep)
+    stars = linker.possible(members.where("fp != leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct())
+    links = materialize(linker.confirm(stars.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))), "links", keep)
     roots = materialize(connected_components(links, keep), "roots", keep)
-
-    held = materialize(members.select("key", "fp").union(members.select("key", "leader").distinct()), "held", keep)
-    for best_only in (True, False):  # most components meet in the first pass, so that the second has few left
-        every = held.join(roots, held["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        more = linker.across(materialize(every, "every", keep), best_only)
-        if not more.isEmpty():
-            links = links.union(more)
+    for more in (linker.nearest, linker.across):  # most components meet in the first, so that few sets are read for the second
+        every = members.join(roots, members["fp"] == roots["node"], "left").select("key", "band", "fp", F.coalesce("root", "fp").alias("root"))
+        found = more(materialize(every, "every", keep))
+        if not found.isEmpty():
+            links = links.union(found)
             roots = materialize(connected_components(links, keep), "roots", keep)
 
     of = nodes.select("fp", "rep").join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))

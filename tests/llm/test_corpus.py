@@ -112,11 +112,10 @@ def components(rows, k, percent):
     return [(d, len(sets[i]), low[find(i)] if sets[i] else d) for i, (d, _, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("k,small", [(4, 12), (5, 0)])
-def test_near_duplicates_equal_all_pairs(docs, rows, k, small, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "TILE_ROWS", 8)
-    monkeypatch.setattr(neardup, "SET_ROWS", 4)
+@pytest.mark.parametrize("k,rows_,bytes_", [(4, 8, 4000), (5, 2, 1000), (4, 2048, 8 << 20)])
+def test_near_duplicates_equal_all_pairs(docs, rows, k, rows_, bytes_, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_ROWS", rows_)
+    monkeypatch.setattr(neardup, "SET_BYTES", bytes_)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, k, 80).collect()]
     assert sorted(map(str, got)) == sorted(map(str, components(rows, k, 80)))
 
