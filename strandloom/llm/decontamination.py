@@ -11,12 +11,14 @@ an item is one window as a whole, if it has at least 0.8 times the item's shingl
 At a similarity of 0.8 the fingerprints' 64 bits differ in 10 on average with a deviation of 3. A window that shares no shingle
 with any item has similarity 0, so only windows around shared shingles are fingerprinted, which loses nothing.
 
-The items are the query set: they are read in blocks of at most ITEMS rows and about BYTES bytes, and the documents pass by each
-block once, without a shuffle.
+The items are the query set: their distinct texts are read in blocks of about ITEMS texts and BYTES bytes, a block at a time,
+and the documents pass by each block once, without a shuffle. Where there are several blocks, what one has found is written
+before the next is read, so that driver and executors hold one block.
 
 Defined cases: null and empty texts match nothing, nor do null and empty items; an item of fewer than k words matches a document
 only if their whole sequences agree; repeated items are each reported; a null doc_id passes through; repeated rows get equal
-results; an empty table gives an empty result, and an empty benchmark finds nothing; other columns pass through.
+results; an empty table gives an empty result, and an empty benchmark finds nothing; other columns pass through, whatever their
+names (the added ones get more underscores if they are taken).
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix64, read_table, shingles
+from .common import chunks, fresh, materialize, mix64, read_table, shingles
 
 K, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 ITEMS, BYTES = 20_000, 32 << 20
@@ -66,18 +68,18 @@ def bag_similarity(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Items' fingerprints by size, their bags, and all their shingles."""
+    """Fingerprints of texts by size, their bags, all their shingles, and the ids of the items that have each text."""
 
     def __init__(self, items: list[tuple]):
         self.ids, self.bags = [], []
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sizes: dict[int, list] = {}
-        for item_id, text in items:
+        for item_ids, text in items:
             for _, flat, offs in chunks(pa.array([text], pa.string())):
                 h, _, _ = shingles(flat, offs, K, _SEPARATOR)
                 if len(h):
                     sizes.setdefault(len(h), []).append((len(self.ids), window_prints(h, len(h))[0]))
-                    self.ids.append(item_id)
+                    self.ids.append(item_ids)
                     self.bags.append(Counter(h.tolist()))
         for n, rows in sizes.items():
             self.by_size[n] = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint8))
@@ -136,21 +138,21 @@ class Index:
         return best
 
 
-def _finder(index_of, fields: list[str]):
+def _finder(index_of, fields: list[str], added: list[str]):
     def run(batches):
         index: Index = index_of()
         for batch in batches:
-            ids, best = batch.column("_item_ids").to_pylist(), batch.column("_similarity").to_pylist()
+            ids, best = (batch.column(c).to_pylist() for c in added)
             for first, flat, offs in chunks(batch.column("text")):
                 h, starts, _ = shingles(flat, offs, K, _SEPARATOR)
                 for i in range(len(offs) - 1):
                     own = h[starts[i] : starts[i + 1]]
                     found = index.matches(own) if len(own) else {}
                     if found:
-                        ids[first + i] = sorted([*ids[first + i], *(index.ids[x] for x in found)], key=lambda x: (x is None, x))
+                        ids[first + i] = sorted([*ids[first + i], *(y for x in found for y in index.ids[x])], key=lambda x: (x is None, x))
                         best[first + i] = max(best[first + i], *found.values())
             cols = [batch.column(c) for c in fields]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, batch.schema.field("_item_ids").type), pa.array(best, pa.float64())], [*fields, "_item_ids", "_similarity"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, batch.schema.field(added[0]).type), pa.array(best, pa.float64())], [*fields, *added])
 
     return run
 
@@ -159,19 +161,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with _item_ids, those of the items that a window of the text resembles, and _similarity, the greatest (0 if none)."""
     spark = docs.sparkSession
     kind = dict(benchmark.dtypes)["item_id"]
-    items = benchmark.select("item_id", "text").where("text is not null")
+    items = materialize(benchmark.where("text is not null").groupBy("text").agg(F.collect_list(F.struct("item_id")).alias("ids")), "items")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     parts = max(1, math.ceil(n / ITEMS), math.ceil(size / BYTES))
-    fields = docs.columns
-    out = docs.withColumn("_item_ids", F.array().cast(f"array<{kind}>")).withColumn("_similarity", F.lit(0.0))
+    fields, added = docs.columns, fresh(docs.columns, "_item_ids", "_similarity")
+    out = docs.withColumn(added[0], F.array().cast(f"array<{kind}>")).withColumn(added[1], F.lit(0.0))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
     for p in range(parts if n else 0):
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()]
+        rows = [([x[0] for x in r["ids"]], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect()]
         shared = spark.sparkContext.broadcast(rows)
-        out = out.mapInArrow(_finder(lambda shared=shared: Index(shared.value), fields), schema)
+        out = out.mapInArrow(_finder(lambda shared=shared: Index(shared.value), fields, added), schema)
+        if p < parts - 1:
+            out = materialize(out, "leaks")
+            shared.destroy()
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents in which nothing is found, with the columns of docs."""
+    ids, similarity = fresh(docs.columns, "_item_ids", "_similarity")
+    return find_leaks(docs, benchmark).where(F.size(ids) == 0).drop(ids, similarity)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the items found in it, the greatest similarity, and whether it is kept (nothing found)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -2,7 +2,8 @@
 
 Every version of a document is a blob, addressed by the SHA-256 of its text. The ledger has one row for each blob and
 rule version scanned, with the spans found. A scan takes only the pairs that the ledger lacks, each distinct blob once
-however many paths share it, and findings are joined back to all paths.
+however many paths share it, appends what it finds, and joins findings back to all paths. The ledger is a Parquet table of
+its own, which later scans are given; op10 starts one for each run, as its tables are given without any history.
 
 Defined cases: a null text is an empty blob; rows with equal texts share a scan and each gets its findings; repeated rows
 stay repeated; an empty table gives an empty result; only doc_id and text are read, so other columns cannot clash.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, scratch_path
 
 #: Kind, version, pattern, least length, and the group whose length counts. A pattern matches leftmost and without
 #: overlaps, and matches that are too short are dropped only then, so that what they cover stays taken.
@@ -71,17 +72,34 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
     Findings are (start, place of the kind, kind, end) in order."""
     kept = with_blob(docs)
     blobs = kept.groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = materialize(scan_unseen(blobs, ledger, rules), "ledger")
-    valid = fresh if ledger is None else fresh.union(ledger.select(fresh.columns).where(F.concat_ws(":", "rule", "version").isin([f"{k}:{v}" for k, v, *_ in rules])))
+    fresh = materialize(scan_unseen(blobs, ledger, rules), "findings")
+    return fresh, join_back(kept, fresh, ledger, rules)
+
+
+def join_back(kept: DataFrame, fresh: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
+    """doc_id, blob and findings (items) of every path, from the rows of fresh and of the ledger."""
+    valid = (fresh if ledger is None else fresh.union(ledger.select(fresh.columns))).where(F.concat_ws(":", "rule", "version").isin([f"{k}:{v}" for k, v, *_ in rules]))
     place = F.array_position(F.array(*[F.lit(k) for k, *_ in rules]), F.col("rule")).cast("int")
     items = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), F.col("rule").alias("rule"), s["end"].alias("end")))
     hits = valid.where(F.size("spans") > 0).withColumn("place", place).select("blob", items.alias("items")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    paths = kept.select("doc_id", "blob").join(hits, "blob", "left")
-    return fresh, paths
+    return kept.select("doc_id", "blob").join(hits, "blob", "left")
+
+
+def scan_into(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
+    """As scan(), with the ledger in the table at path, to which new rows are appended; doc_id, blob and items of every path.
+
+    Appending is one commit, so that a scan that fails leaves the ledger as it was."""
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old = empty_ledger(spark).schema
+    known = spark.read.schema(old).parquet(path) if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place) else None
+    kept = with_blob(docs)
+    scan_unseen(kept.groupBy("blob").agg(F.first("text").alias("text")), known, rules).write.mode("append").parquet(path)
+    return join_back(kept, spark.read.schema(old).parquet(path), None, rules)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, paths = scan(read_table(spark, sf_dir, "documents"))
+    paths = scan_into(read_table(spark, sf_dir, "documents"), scratch_path(spark, "secret-ledger"))
     items = F.coalesce("items", F.array().cast("array<struct<start:int,place:int,rule:string,end:int>>"))
     of = lambda kind: F.size(F.filter(items, lambda x: x["rule"] == kind)).cast("long").alias(f"n_{kind}")
     joined = F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["rule"], x["start"].cast("string"), x["end"].cast("string"))), ",")

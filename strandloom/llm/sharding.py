@@ -7,8 +7,9 @@ name and its weight, so a change of weights moves documents only into or out of
 shard joins as a region of its own, by which no other weight changes: documents move only into it.
 
 Defined cases: a null text has size 8 and the CRC-32 of an empty text; all rows with a null doc_id, as rows with equal
-doc_id, go to one shard; rows that are alike in doc_id, size and checksum get their slots among each other in any order;
-an empty table gives an empty result; other columns pass through assign() but for those it adds (shard, slot, size, ...).
+doc_id, go to one shard; rows that are alike in doc_id, size and checksum get adjacent slots and are alike in the result; an
+empty table gives an empty result; place() passes other columns through, whose names must not be its own, and assign() reads
+doc_id and text alone and returns places only, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -86,26 +87,33 @@ def place(docs: DataFrame, n: int = BASE) -> DataFrame:
 
 
 def number(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """placed with slot, gapless from 0 within each shard.
-
-    A shard's rows are dealt to buckets by hash; buckets start where the rows of the earlier ones end, so that no task
-    numbers a whole shard. keys break ties and spread rows with equal doc_id over buckets."""
-    total = placed.count()
-    buckets = max(1, round(total / BASE / SLOT_ROWS)) if total else 1
-    dealt = placed.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    starts = materialize(starts, "slots")
-    w = W.partitionBy("shard", "_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
-    return dealt.join(starts, ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.row_number().over(w) - 1).cast("long")).drop("_bucket", "_start")
+    """placed with slot, gapless from 0 within each shard, in the order of hash buckets and then of keys.
+
+    Rows alike are counted first, so that a row that repeats without end is one row for every window, and come back as many
+    at the end. The distinct rows of a shard are dealt to buckets by hash; a bucket starts where the earlier ones end, so
+    that no task numbers a whole shard."""
+    alike = materialize(placed.groupBy(*placed.columns).agg(F.count("*").alias("_n")), "alike")
+    total = alike.count()
+    dealt = alike.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(max(1, round(total / BASE / SLOT_ROWS)))).cast("int"))
+    counts = dealt.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_m"))
+    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialize(counts.withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m"), "slots")
+    w = W.partitionBy("shard", "_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(W.unboundedPreceding, -1)
+    first = dealt.join(starts, ["shard", "_bucket"]).withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    once = first.where("_n = 1").withColumn("slot", F.col("_first").cast("long"))
+    # of rows that repeat, pieces of bounded length are dealt out before they become rows
+    pieces = first.where("_n > 1").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / SLOT_ROWS))))
+    pieces = pieces.repartition("shard", *keys, "_piece")
+    at = F.explode(F.sequence(F.col("_piece") * SLOT_ROWS, F.least(F.col("_n"), (F.col("_piece") + 1) * SLOT_ROWS) - 1))
+    often = pieces.withColumn("_at", at).withColumn("slot", (F.col("_first") + F.col("_at")).cast("long"))
+    return once.select(*placed.columns, "slot").union(often.select(*placed.columns, "slot"))
 
 
 def assign(docs: DataFrame, n: int = BASE) -> DataFrame:
-    """Each row of docs with its size, checksum, shard, slot in the shard, and shard of a tree with one more.
+    """doc_id of each row of docs with its size, checksum, law, shard, slot in the shard, and shard of a tree with one more.
 
-    The slots are numbered on slim rows written once; texts are never shuffled for them."""
-    slim = materialize(place(docs.select("doc_id", "text"), n).drop("text"), "placed")
-    return number(slim, ["doc_id", "text_crc32", "size"])
+    The slots are numbered on slim rows; texts are never shuffled for them."""
+    return number(place(docs.select("doc_id", "text"), n).drop("text"), ["doc_id", "text_crc32", "size"])
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,20 @@ A lexicon turns the words of a text into symbols: insult, threat, target, negati
 Small transducers rewrite them in turn and are composed into one table: negation marks insults and threats in its reach, then
 reported speech marks those told of others or quoted, then a clause transducer takes a clause's end to its kind: an insult
 with a target or without one, a threat with a target, or one that is negated or reported. A clause is read whole, from mark to
-mark, however long. A document's features are how many clauses of each kind it has and the heaviest insult; a logistic model
-weighs them. What a modifier is worth is thus learned.
+mark, however long. A document's features are how many clauses of each kind it has, the heaviest insult, and the weight of the
+insults and threats that no modifier takes back, as a sum and against the text's length; a logistic model weighs them. What a
+modifier is worth is thus learned.
 
 Insults are learned too: words, and beginnings of words, that are far more frequent in toxic documents than in clean ones, with
-their log odds as weights. Both fits use at most TRAIN_ROWS labelled documents, those with the smallest hash of their
-doc_id, and never the fold that is held out. labels, lang, source and doc_id are no inputs of a score.
+their log odds as weights; all that suffice are kept. Both fits use at most TRAIN_ROWS labelled documents, those with the
+smallest hash of doc_id and text, and never the fold that is held out. Rows alike in both count once. labels, lang, source and
+doc_id are no inputs of a score.
 
 Defined cases: null, empty and blank texts have no clauses and get the score of a text without matches; a null doc_id counts as
 held out, as its text for the fold is empty; a document with several labels is toxic if any says so, null labels are ignored;
 repeated rows get equal scores; without labelled rows, or with one class only, every score is that class's share (0 if there
-is none); an empty table gives an empty result; only doc_id and text are read, so other columns cannot clash.
+is none); an empty table gives an empty result; only doc_id and text are read, and other columns pass through, whatever their
+names (the added one gets more underscores if it is taken).
 """
 
 from __future__ import annotations
@@ -30,12 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, read_table
+from .common import discard, fresh, materialize, read_table
 
 TRAIN_ROWS = 20_000
-MIN_TOXIC = 8  # toxic documents that an insult must be in
-MIN_ODDS = 3.0  # its least log odds against the training rows' own
-TERMS = 20_000  # the lexicon's bound; the best stay
+MIN_TOXIC = 5  # toxic documents that an insult must be in
+MIN_ODDS = 2.0  # its least log odds against the training rows' own
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
 
@@ -139,6 +141,10 @@ class Scorer:
 
     def clauses(self, text: str | None) -> list[tuple[str, float]]:
         """(kind, weight of the heaviest insult) of the clauses that match."""
+        return [x[:2] for x in self.matched(text)]
+
+    def matched(self, text: str | None) -> list[tuple[str, float, float]]:
+        """(kind, weight of the heaviest insult, weight of all of them) of the clauses that match."""
         low = (text or "").lower()
         hits = sorted({end - n + 1 for end, n in self.auto.iter(low) if end - n < 0 or not low[end - n].isalnum()})
         out, done = [], -1
@@ -149,27 +155,29 @@ class Scorer:
             i = bisect_left(marks, (at,))  # marks before the hit
             begin = marks[i - 1][1] if i else 0
             done = marks[i][0] if i < len(marks) else len(low)
-            kind, weight = self.clause(low[begin:done])
-            if kind != "none":
-                out.append((kind, weight))
+            found = self.clause(low[begin:done])
+            if found[0] != "none":
+                out.append(found)
         return out
 
-    def clause(self, clause: str) -> tuple[str, float]:
-        state, weight, at = GRAMMAR.start, 0.0, 0
+    def clause(self, clause: str) -> tuple[str, float, float]:
+        state, weight, total, at = GRAMMAR.start, 0.0, 0.0, 0
         for m in WORD.finditer(clause):
             for ch in clause[at : m.start()]:
                 if ch in QUOTES:
                     state, _ = GRAMMAR.step(state, "quote")
             at, word = m.end(), m.group()
             x = self.insult(word)
-            weight = max(weight, x)
+            weight, total = max(weight, x), total + x
             state, _ = GRAMMAR.step(state, "insult" if x else _CLASSES.get(word, "other"))
-        return GRAMMAR.step(state, "end")[1], weight
+        return GRAMMAR.step(state, "end")[1], weight, total
 
     def features(self, text: str | None) -> list[float]:
-        found = self.clauses(text)
-        counts = [np.log1p(sum(k == kind for k, _ in found)) for kind in KINDS]
-        return [*counts, max((w for _, w in found), default=0.0), float(bool(found))]
+        found = self.matched(text)
+        counts = [np.log1p(sum(k == kind for k, *_ in found)) for kind in KINDS]
+        meant = sum(total for kind, _, total in found if kind in ("targeted", "plain", "threat"))
+        dense = meant / np.sqrt(max(1, len(text.split()))) if found else 0.0
+        return [*counts, max((w for _, w, _ in found), default=0.0), float(bool(found)), np.log1p(meant), dense]
 
 
 def _terms(text: str | None) -> set[str]:
@@ -229,28 +237,29 @@ def fold(doc_id) -> "F.Column":
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     keep: list[str] = []
-    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").where(fold(F.col("doc_id")) != 0)
-    chosen = materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "chosen", keep)
-    train = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").repartition(32, "doc_id").select("text", "toxic"), "train", keep)
+    marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 0)
+    keyed = docs.select("doc_id", "text", F.md5("text").alias("sum"))
+    chosen = keyed.select("doc_id", "sum").join(marked, "doc_id").distinct()
+    chosen = materialize(chosen.orderBy(F.xxhash64("doc_id", "sum"), "doc_id", "sum").limit(rows), "chosen", keep)
+    train = keyed.join(chosen.withColumnRenamed("doc_id", "_id").withColumnRenamed("sum", "_sum"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("sum").eqNullSafe(F.col("_sum")))
+    train = materialize(train.dropDuplicates(["doc_id", "sum"]).repartition(32, "doc_id", "sum").select("text", "toxic"), "train", keep)
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     model = Model(prior=bad / max(1, bad + good))
     if bad and good:
         toxic = train.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string").groupBy("term").agg(F.count("*").alias("bad")).where(F.col("bad") >= MIN_TOXIC)
-        toxic = {r["term"]: r["bad"] for r in toxic.orderBy(F.desc("bad"), "term").limit(20 * TERMS).collect()}
+        toxic = {r["term"]: r["bad"] for r in toxic.collect()}  # a vocabulary of at most rows documents
         clean = train.where("toxic = 0").select("text").mapInArrow(_counter(frozenset(toxic)), "term string, clean bigint").groupBy("term").agg(F.sum("clean").alias("clean"))
         clean = {r["term"]: r["clean"] for r in clean.collect()}
         odds = {t: float(np.log((b + 0.5) / (bad + 1)) - np.log((clean.get(t, 0) + 0.5) / (good + 1))) for t, b in toxic.items()}
-        best = sorted((t for t, x in odds.items() if x >= MIN_ODDS), key=lambda t: (-odds[t] * np.log(toxic[t]), t))[:TERMS]
-        model.insults = {t: odds[t] for t in best}
+        model.insults = {t: odds[t] for t in sorted(odds) if odds[t] >= MIN_ODDS}
         rows_ = train.mapInArrow(_featurer(model.insults), "toxic int, x array<double>").collect()
         model.weights = _logistic(np.array([r["x"] for r in rows_]), np.array([r["toxic"] for r in rows_], float)).tolist()
     discard(docs.sparkSession, keep)
     return model
 
 
-def _scores(model: Model):
+def _scores(model: Model, name: str):
     def run(batches):
         scorer = Scorer(model.insults)
         for batch in batches:
@@ -261,20 +270,22 @@ def _scores(model: Model):
                     score = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)))
                 else:
                     score = np.full(part.num_rows, model.prior)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(score)], [*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the column _score. Columns other than text pass through."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_scores(model), schema)
+    (name,) = fresh(docs.columns, "_score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scores(model, name), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with the columns of docs."""
-    return score(docs, fit(docs, labels)).where("_score < 0.5").drop("_score")
+    (name,) = fresh(docs.columns, "_score")
+    return score(docs, fit(docs, labels)).where(F.col(name) < 0.5).drop(name)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,9 +157,10 @@ def _writer(root: str):
 
 def write_monolithic(pages: DataFrame, root: str) -> DataFrame:
     """Writes archives below root; archive, number, page_id, digest and size of every record."""
-    pages = pages.select("page_id", "url", "html")
-    kind = dict(pages.dtypes)["page_id"]
-    return materialize(pages.mapInArrow(_writer(root), f"archive string, number bigint, page_id {kind}, digest string, size bigint"), "written")
+    kind = pages.schema["page_id"].dataType
+    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    written = pages.mapInArrow(_writer(root), "archive string, number bigint, page_id string, digest string, size bigint")
+    return materialize(written.withColumn("page_id", F.col("page_id").cast(kind)), "written")
 
 
 def revisits(written: DataFrame) -> DataFrame:
@@ -204,8 +205,9 @@ def _normaliser(source: str, root: str):
 
 def normalise(written: DataFrame, source: str, root: str) -> DataFrame:
     """Rewrites the archives of written below root with a member for each record; archive, index and records of each."""
-    changes = revisits(written).groupBy("archive").agg(F.collect_list(F.struct("number", "refers_to")).alias("revisits"))
-    todo = written.select("archive").distinct().join(changes, "archive", "left").repartition("archive")
+    changes = revisits(written).groupBy("archive").agg(F.collect_list(F.struct("number", F.col("refers_to").cast("string").alias("refers_to"))).alias("revisits"))
+    names = materialize(written.select("archive").distinct(), "archives")
+    todo = names.join(changes, "archive", "left").repartition(max(1, names.count()))  # a task for each archive
     return materialize(todo.mapInArrow(_normaliser(source, root), "archive string, index string, records bigint"), "normalised")
 
 
@@ -218,7 +220,7 @@ def inflate_bytes(data: bytes):
     yield zlib.decompress(data, 31)
 
 
-def _reader(root: str, kind: pa.DataType):
+def _reader(root: str):
     def run(batches):
         place, base = open_fs(root)
         for batch in batches:
@@ -239,15 +241,17 @@ def _reader(root: str, kind: pa.DataType):
                                     raise ValueError(f"payload of {x} does not have its digest")
                             rows.append((json.loads(head["WARC-Page-ID"]), size, digest, what, json.loads(head.get("WARC-Refers-To-Page", "null"))))
                         cols = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], kind)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.string())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return run
 
 
 def read_archives(archives: DataFrame, root: str, kind: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of all records, fetched one by one by their offsets."""
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return archives.mapInArrow(_reader(root, types[kind]), f"page_id {kind}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of all records, fetched one by one by their offsets.
+
+    kind is the SQL type of page_id; records hold it as a string. A task reads one archive."""
+    rows = archives.repartition(max(1, archives.count())).mapInArrow(_reader(root), "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    return rows.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,13 +69,14 @@ def test_mixing_meets_its_contract(docs, rows):
             left -= target[s]
             free.discard(s)
     for r in got:
-        assert r["_size"] == len(SPACES.findall(r["text"] or "")) and r["_source_size"] == sizes[r["source"]]
-        assert r["_target"] == pytest.approx(target[r["source"]]) and r["_taken"] in (0, r["_size"], 2 * r["_size"])
+        d = r["doc"]
+        assert r["size"] == len(SPACES.findall(d["text"] or "")) and r["source_size"] == sizes[d["source"]]
+        assert r["target"] == pytest.approx(target[d["source"]]) and r["taken"] in (0, r["size"], 2 * r["size"])
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan_mix(docs.repartition(7)).collect()))
 
 
 def test_mixing_emits_copies_with_the_same_columns(docs, none):
-    plan = {(r["doc_id"], r["text"]): r["_copies"] for r in mixing.plan_mix(docs).collect()}
+    plan = {(r["doc"]["doc_id"], r["doc"]["text"]): r["copies"] for r in mixing.plan_mix(docs).collect()}
     out = mixing.mix(docs)
     assert out.columns == docs.columns
     n = Counter((r["doc_id"], r["text"]) for r in out.collect())
@@ -89,6 +90,30 @@ def test_mixing_salts_the_join_of_many_sources(docs, monkeypatch):
     assert sorted(map(str, mixing.plan_mix(docs).collect())) == a
 
 
+def test_mixing_nears_its_targets_without_ids(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(None, prose(rng, 5), f"s{i % 4}") for i in range(2000)], "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.plan_mix(df).collect():
+        taken[r["doc"]["source"]] += r["taken"]
+        target[r["doc"]["source"]] = r["target"]
+    assert all(abs(taken[s] - t) < 0.15 * t for s, t in target.items())
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    rng = random.Random(13)
+    names = ["_source", "_size", "_copies", "_copy", "_target", "_taken", "_score", "_SCORE2", "_item_ids", "_similarity", "doc", "of", "size", "source_size", "target", "fp", "key"]
+    rows = [(i, prose(rng, 30), "s0", *[f"{c}{i}" for c in names]) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string")
+    same = lambda out: out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
+    assert same(mixing.mix(df)) and same(decontamination.without_leaks(df, bench)) and same(neardup.unique(df))
+    assert decontamination.without_leaks(df, bench).count() == 30
+    assert toxicity.score(df, toxicity.Model(prior=0.2)).columns == [*df.columns, "__score"] and same(toxicity.accepted(df, labels))
+    assert sharding.assign(df).columns == ["doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "slot"]
+
+
 def components(rows, k, percent):
     sets = []
     for _, t, _ in rows:
@@ -272,6 +297,35 @@ def test_shards(docs, rows, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_shards_equal_the_tree_by_hand(spark, docs, rows):
+    import math
+
+    def draw(key, name, weight):
+        bits = int(hashlib.md5(f"{sharding.SEED}:{name}:{'null' if key is None else key}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 16**13) / weight
+
+    def walk(key, n):
+        tree = sharding.default_tree(n)
+        mass = lambda x: sum(map(mass, x.values())) if isinstance(x, dict) else x
+        region = min(tree, key=lambda r: draw(key, r, mass(tree[r])))
+        racks = tree[region]
+        rack = min(racks, key=lambda k: draw(key, f"{region}/{k}", mass(racks[k])))
+        return min(racks[rack], key=lambda s: draw(key, f"{region}/{rack}/{s}", racks[rack][s]))
+
+    for r in sharding.assign(docs).collect():
+        assert (r["shard"], r["grown_shard"]) == (walk(r["doc_id"], 24), walk(r["doc_id"], 25))
+
+
+def test_shards_number_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    df = spark.createDataFrame([(1, "same")] * 100 + [(None, "none")] * 20 + [(i, "other") for i in range(50)], "doc_id long, text string")
+    got = sharding.assign(df).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in df.collect())
+    for s in {r["shard"] for r in got}:
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
 def test_shards_follow_their_tree(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -474,6 +528,20 @@ def test_secrets_and_their_ledger(spark, docs, rows, none):
     assert secrets.scan(none)[1].count() == 0
 
 
+def test_secret_ledger_is_kept_between_scans(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    key = lambda df: sorted(str((r["doc_id"], r["items"])) for r in df.collect())
+    part = docs.where("doc_id < 30")
+    assert key(secrets.scan_into(part, path)) == key(secrets.scan(part)[1])
+    n = spark.read.parquet(path).count()
+    assert key(secrets.scan_into(docs, path)) == key(secrets.scan(docs)[1])
+    more = spark.read.parquet(path).count()
+    assert n < more == secrets.scan(docs)[0].count() and key(secrets.scan_into(docs, path)) == key(secrets.scan(docs)[1])
+    assert spark.read.parquet(path).count() == more
+    newer = tuple((k, 2 if k == "hex" else v, p, n, g) for k, v, p, n, g in secrets.RULES)
+    assert key(secrets.scan_into(docs, path, newer)) == key(secrets.scan(docs)[1]) and spark.read.parquet(path).count() == more + more // 3
+
+
 def test_shared_folder(spark):
     assert common.shared_dir(spark).startswith("file://")
     df = common.materialize(spark.range(3), "x", keep := [])
@@ -505,6 +573,6 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == [c.split()[0] for c in cols.split(", ")]
     assert sorted(r["doc_id"] for r in docs.collect()) == sorted(r[0] for r in clean)
-    plan = {r["doc_id"]: r["_copies"] for r in mixing.plan_mix(spark.createDataFrame(clean, cols)).collect()}
+    plan = {r["doc"]["doc_id"]: r["copies"] for r in mixing.plan_mix(spark.createDataFrame(clean, cols)).collect()}
     out = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert out == Counter({d: n for d, n in plan.items() if n})
