@@ -7,7 +7,6 @@ the last one returns the place of every row. Rows are written as Parquet between
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.llm import decontamination, mixing, neardup, sharding, toxicity
 from strandloom.llm.common import materialize, read_table
@@ -22,8 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_item_ids") == 0).drop("_item_ids", "_similarity")
+    return decontamination.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
