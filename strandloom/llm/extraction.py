@@ -3,7 +3,12 @@
 A tolerant scanner turns a page into blocks of text with their open elements. A log-linear classifier gives each block the cost
 of being content and of being boilerplate; these are the capacities from the source and to the sink. Neighbouring blocks, and
 blocks near each other in the tree, are joined by smoothness edges. A maximum flow separates content from boilerplate at the
-least total cost. Blocks whose own costs outweigh all their edges are settled beforehand, which changes no minimum cut.
+least total cost. Blocks whose own costs outweigh all their edges are settled beforehand, which changes no minimum cut. What
+open elements tell is summed as they open, so that the time grows with the page's length and not with its depth.
+
+Words of class and id count by element: those of html, body and main say nothing against what is in them, nor do those of an
+article that names itself content too (a comment may be an article); words after has-, no-, with- or without- say nothing at
+all, and weak words (legal, tags and the like) tell boilerplate only outside an article.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; broken, unclosed or cut-off markup is read as
 far as it goes; texts of any length are read whole; a null page_id or url passes through; repeated rows give equal rows; an
@@ -33,13 +38,16 @@ SCOPES = frozenset("article section div main body ul ol dl table blockquote asid
 ELEMENT = {"article": 3.0, "main": 2.5, "p": 0.8, "blockquote": 0.4, "pre": 0.5, "h1": 0.8, "h2": 0.5, "h3": 0.4, "nav": -7.0, "header": -3.5, "footer": -6.0, "aside": -6.0, "form": -6.0, "button": -6.0, "menu": -6.0, "dialog": -6.0, "fieldset": -4.0, "label": -2.0, "address": -2.0}
 ROLE = {"main": 2.5, "article": 3.0, "navigation": -7.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "dialog": -6.0, "alert": -5.0, "alertdialog": -6.0, "menu": -6.0, "menubar": -6.0, "form": -6.0}
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside rail widget widgets footer foot bottombar header masthead topbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations subscribe subscription newsletter signup login popup modal overlay pagination pager tags copyright legal disclaimer search form toolbar skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets footer bottombar header masthead topbar comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations subscribe subscription newsletter signup login popup modal overlay pagination pager search form toolbar skip hidden".split()
 )
+WEAK_WORDS = frozenset("side rail foot discussion tags copyright legal disclaimer".split())
+MODIFIERS = frozenset("has no with without not".split())
+PLAIN = frozenset("html body main".split())  # elements whose own words count for nothing bad
 GOOD_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
-BAD, GOOD = -7.0, 1.0
+BAD, WEAK, GOOD = -7.0, -2.5, 1.0
 BIAS = -0.6
 ADJACENT, SIBLING = 0.6, 0.8  # smoothness of neighbours in page order, and of blocks in one parent
-DECAY = 3.0  # tree steps over which it falls
+DECAY, FAR = 3.0, 64  # tree steps over which it falls, and beyond which it is nothing
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # all of them, so that no value is read as a name
@@ -47,15 +55,30 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _words(value: str) -> set[str]:
+    """The words of a class or id that count, lower-cased."""
+    out: set[str] = set()
+    for token in value.split():
+        own = [w for w in SPLIT.split(CAMEL.sub(" ", token).lower()) if w]
+        if own and own[0] not in MODIFIERS:
+            out.update(own)
+    return out
+
+
 class Element:
-    __slots__ = ("tag", "parent", "depth", "odds", "hidden")
+    """An open element. against and for_ are the sums of what it and all around it say; of equal tags only the innermost speaks for."""
+
+    __slots__ = ("tag", "parent", "depth", "odds", "hidden", "holder", "in_article", "against", "for_")
 
-    def __init__(self, tag: str, attrs: str, parent: Element | None):
+    def __init__(self, tag: str, attrs: str, parent: Element | None, same: Element | None):
+        """same: the innermost open element with this tag."""
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.hidden = bool(parent and parent.hidden)
+        self.in_article = tag == "article" or bool(parent and parent.in_article)
+        self.holder = parent.holder if parent and tag in INLINE else self
         own = ELEMENT.get(tag, 0.0)
-        if tag == "header" and parent and parent.within("article"):
+        if tag == "header" and self.in_article:
             own = -0.5
         worst = 0.0
         for name, value in ATTR.findall(attrs) if attrs else ():
@@ -63,9 +86,11 @@ class Element:
             if name in ("class", "id"):
                 if tag in ("html", "body"):  # of the whole page, so they tell no block from another
                     continue
-                words = set(SPLIT.split(CAMEL.sub(" ", value).lower()))
-                worst = min(worst, BAD if words & BAD_WORDS else 0.0)
-                own += GOOD if words & GOOD_WORDS and not words & BAD_WORDS else 0.0
+                words = _words(value)
+                bad = BAD if words & BAD_WORDS else WEAK if words & WEAK_WORDS else 0.0
+                if tag not in PLAIN and not (tag == "article" and words & GOOD_WORDS):
+                    worst = min(worst, bad)
+                own += GOOD if words & GOOD_WORDS and not bad else 0.0
             elif name == "role":
                 own += ROLE.get(value.lower(), 0.0)
             elif name == "style":
@@ -73,14 +98,8 @@ class Element:
             elif name in ("hidden", "aria-hidden"):
                 self.hidden |= value.lower() != "false"
         self.odds = own + worst
-
-    def within(self, tag: str) -> bool:
-        e: Element | None = self
-        while e:
-            if e.tag == tag:
-                return True
-            e = e.parent
-        return False
+        self.against = (parent.against if parent else 0.0) + min(0.0, self.odds)
+        self.for_ = (parent.for_ if parent else 0.0) + max(0.0, self.odds) - (max(0.0, same.odds) if same else 0.0)
 
 
 class Block:
@@ -95,12 +114,7 @@ def classify(b: Block) -> float:
     """Log odds that a block is content."""
     if b.parent.hidden:
         return -12.0
-    x, e, nested = BIAS, b.parent, set()
-    while e:
-        if e.tag not in nested or e.odds < 0:  # nesting does not add up
-            x += e.odds
-        nested.add(e.tag)
-        e = e.parent
+    x = BIAS + b.parent.against + b.parent.for_
     n = len(b.text)
     x += min(1.5, math.log1p(n) / 4) - 3.0 * min(1.0, b.links / max(1, n))
     x += 0.4 if b.text[-1:] in ".!?…\"”»" else 0.0
@@ -108,17 +122,59 @@ def classify(b: Block) -> float:
     return x
 
 
+class _Open:
+    """The open elements of a page: a stack, with the open elements of each tag and of SCOPES at hand."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.by_tag: dict[str, list[Element]] = {}
+        self.scopes: list[Element] = []
+        self.push("#root", "")
+
+    def innermost(self, tag: str) -> Element | None:
+        own = self.by_tag.get(tag)
+        return own[-1] if own else None
+
+    def push(self, tag: str, attrs: str) -> None:
+        e = Element(tag, attrs, self.stack[-1] if self.stack else None, self.innermost(tag))
+        self.stack.append(e)
+        self.by_tag.setdefault(tag, []).append(e)
+        if tag in SCOPES:
+            self.scopes.append(e)
+
+    def close(self, e: Element) -> None:
+        """e and all within it."""
+        while len(self.stack) > e.depth:
+            x = self.stack.pop()
+            self.by_tag[x.tag].pop()
+            if x.tag in SCOPES:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        e = self.innermost(tag)
+        if e and (tag not in INLINE or not self.scopes or e.depth > self.scopes[-1].depth):
+            self.close(e)
+
+    def make_way(self, tags) -> None:
+        """Closes the innermost of the elements that tags name, unless a scope is open within it."""
+        found = [e for e in map(self.innermost, tags) if e]
+        if found:
+            e = max(found, key=lambda x: x.depth)
+            if not self.scopes or e.depth >= self.scopes[-1].depth:
+                self.close(e)
+
+
 def blocks(page: str) -> list[Block]:
-    root = Element("#root", "", None)
-    stack, out, piece, linked, in_link = [root], [], [], 0, 0
+    open_ = _Open()
+    out, piece, linked = [], [], 0
     at, n = 0, len(page)
+    endless: set[str] = set()  # tags of which no end follows
 
     def flush() -> None:
         nonlocal piece, linked
         text = " ".join("".join(piece).split())
         if text:
-            holder = next(e for e in reversed(stack) if e.tag not in INLINE)
-            out.append(Block(text, holder, linked))
+            out.append(Block(text, open_.stack[-1].holder, linked))
         piece, linked = [], 0
 
     def add(raw: str) -> None:
@@ -126,7 +182,7 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             piece.append(text)
-            if in_link:
+            if open_.by_tag.get("a"):
                 linked += len(text)
 
     while at < n:
@@ -144,8 +200,11 @@ def blocks(page: str) -> list[Block]:
                 flush()
             if tag == "head":  # what is in it is opaque by itself; a page may never close it
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at) if not m.group(3).rstrip().endswith("/") or tag in ("script", "style", "title", "textarea") else None
-            at = end.end() if end else (n if tag in ("script", "style", "textarea", "title") else at)
+            raw = tag in ("script", "style", "title", "textarea")
+            if raw or not m.group(3).rstrip().endswith("/"):
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                endless |= set() if end else {tag}
+                at = end.end() if end else n if raw else at
             continue
         if tag in VOID:
             piece.append(" ") if tag == "br" or tag in INLINE else flush()
@@ -153,31 +212,19 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag in SCOPES:
-                    break
-            in_link = sum(e.tag == "a" for e in stack)
+            open_.end(tag)
             continue
         if tag in CLOSES or tag not in INLINE:
-            shut = CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
-        stack.append(Element(tag, m.group(3), stack[-1]))
-        in_link = in_link + 1 if tag == "a" else sum(e.tag == "a" for e in stack) if in_link else 0
+            open_.make_way(CLOSES.get(tag, {"p"}))
+        open_.push(tag, m.group(3))
     flush()
     return out
 
 
 def _distance(a: Element, b: Element) -> int:
+    """Steps between two elements of the tree, at most FAR."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a, steps = a.parent, steps + 1
         else:

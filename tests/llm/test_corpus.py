@@ -274,6 +274,31 @@ def test_extraction_reads_class_words_where_they_tell_blocks_apart(spark, page):
     assert got == {0: "The first paragraph.\n\nAnd the second one.", 1: "", 2: ""}
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article class='post has-sidebar'><p>Real text of the article, of some length.</p></article>", True),
+    ("<body class='search-page no-comments'><main><p>Real text of the article, of some length.</p></main></body>", True),
+    ("<article><section class=legal><p>Real text of the article, of some length.</p></section></article>", True),
+    ("<main class=widget><div class='with-banner'><p>Real text of the article, of some length.</p></div></main>", True),
+    ("<main><article class='post sidebar-left'><p>Real text of the article, of some length.</p></article></main>", True),
+    ("<main><article class='comment depth-2'><p>Real text of a reader, of some length.</p></article></main>", False),
+    ("<article><div class=comments><p>Real text of a reader, of some length.</p></div></article>", False),
+    ("<div class=legal><p>All rights</p></div>", False),
+    ("<article><div class='post-footer'><p>Real text of a footer, of some length.</p></div></article>", False),
+])
+def test_extraction_weighs_words_by_element(page, want):
+    assert bool(extraction.main_text(page)) == want
+
+
+def test_extraction_takes_time_by_length_and_not_by_depth():
+    import time
+
+    n, began = 40_000, time.time()
+    pages = ["<div>" * n + "<p>Some text here." * n, "<b>" * n + "<p>x</p></i>" * n, "<svg>" * n + "<p>x", "<ul>" + "<li><a href=x>y" * n, "<article><p>" + "word " * 300_000]
+    texts = [extraction.main_text(p) for p in pages]
+    assert time.time() - began < 60
+    assert texts[0].split("\n\n") == ["Some text here."] * n and len(texts[4]) == 5 * 300_000 - 1
+
+
 def test_minimum_cut_equals_all_labellings():
     rng = random.Random(3)
     for _ in range(60):
