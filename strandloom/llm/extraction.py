@@ -90,6 +90,7 @@ class Element:
                 bad = BAD if words & BAD_WORDS else WEAK if words & WEAK_WORDS else 0.0
                 if tag not in PLAIN and not (tag == "article" and words & GOOD_WORDS):
                     worst = min(worst, bad)
+                    own -= max(0.0, ELEMENT.get(tag, 0.0)) if bad == BAD else 0.0
                 own += GOOD if words & GOOD_WORDS and not bad else 0.0
             elif name == "role":
                 own += ROLE.get(value.lower(), 0.0)
