@@ -241,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     keyed = docs.select("doc_id", "text", F.md5("text").alias("sum"))
     chosen = keyed.select("doc_id", "sum").join(marked, "doc_id").distinct()
     chosen = materialize(chosen.orderBy(F.xxhash64("doc_id", "sum"), "doc_id", "sum").limit(rows), "chosen", keep)
-    train = keyed.join(chosen.withColumnRenamed("doc_id", "_id").withColumnRenamed("sum", "_sum"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("sum").eqNullSafe(F.col("_sum")))
+    own = F.broadcast(chosen.withColumnRenamed("doc_id", "_id").withColumnRenamed("sum", "_sum"))  # of at most rows rows
+    train = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("sum").eqNullSafe(F.col("_sum")))
     train = materialize(train.dropDuplicates(["doc_id", "sum"]).repartition(32, "doc_id", "sum").select("text", "toxic"), "train", keep)
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
