@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 READ_NAME = r"^\S+\s+(?:\S+\s+)*?([^\s:]+):(\d+):([^\s:]+):(\d+):(\d+):(\d+):(\d+)(?=\s|$)"
 BASES, COMPLEMENT = "ACGT", "TGCA"
 RANKS = ("domain", "supergroup", "division", "subdivision", "class", "order", "family", "genus", "species")
-CORE_PRIMER = "AAGGGCACCACAAGAACG"[:16]
+CORE_PRIMER = "GGGCACCACAAGAACG"  # reads begin two bases before it
+TAXONOMY_HINT = r"(?i)\b(tax(on|onomy)?[_:=]|taxid|kraken|species|genus|family|phylum|superkingdom|sk__|k__|p__|c__|o__|f__|g__|s__|OTU|ASV|lineage)\b"
+LABEL_SUFFIXES = (".tsv", ".csv", ".txt", ".taxonomy", ".tax", ".json")
 
 
 def round_to(x: Column, digits: int = 6) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequences as S
 
 
+#: hash_draw gives 60 bits; the upper 20 of them name a range of draws.
+SPLIT_SHIFT = 40
+
+
 def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20) -> DataFrame:
     """df with idx, the 0-based place of each row in the order of an integer key, without a task that holds all rows.
 
@@ -22,10 +27,11 @@ def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20) -> Dat
 
 def systematic_sample(passed: DataFrame, size: int) -> DataFrame:
     """Every stride-th passed read in file order, the first `size` of these; row_pos is its place."""
-    n = passed.count()
+    index = passed.select("record_index").persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks are computed again
+    n = index.count()
     stride = max(1, n // size) if size else 1
-    x = running_index(passed, "record_index").where((F.col("idx") % stride == 0) & (F.col("idx") < stride * size))
-    return x.withColumn("row_pos", (F.col("idx") / stride).cast("bigint")).drop("idx")
+    taken = running_index(index, "record_index").where((F.col("idx") % stride == 0) & (F.col("idx") < stride * size))
+    return passed.join(taken.select("record_index", (F.col("idx") / stride).cast("bigint").alias("row_pos")), "record_index")
 
 
 def mate_pairs(passed: DataFrame) -> DataFrame:
@@ -52,12 +58,19 @@ def reverse_second_mates(pairs: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: Column, fractions: tuple[float, float] = (0.7, 0.15), seed: int = 42) -> DataFrame:
-    """df with split (train, val, test); within each label rows stand in the order of a draw by key."""
+    """df with split (train, val, test); within each label rows stand in the order of a draw by key.
+
+    Draws fall into ranges, whose counts say where each one starts, so that no task ranks a whole label."""
     draw = S.hash_draw(F.concat(F.lit(f"split:{seed}:"), key.cast("string")))
-    n = F.count("*").over(W.partitionBy(label))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(draw, key))
-    train, val = (F.bround(F.lit(f) * n).cast("bigint") for f in fractions)
-    return df.withColumn("split", F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test"))
+    x = df.withColumn("_draw", draw).withColumn("_range", F.pmod(F.shiftright("_draw", SPLIT_SHIFT), F.lit(1 << 20)))
+    ranges = x.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_r")).agg(F.count("*").alias("_k"))
+    by = W.partitionBy("_label")
+    ranges = ranges.withColumn("_n", F.sum("_k").over(by)).withColumn("_before", F.coalesce(F.sum("_k").over(by.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_k")
+    x = x.join(ranges, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(label, "_range").orderBy("_draw", key))
+    train, val = (F.bround(F.lit(f) * F.col("_n")).cast("bigint") for f in fractions)
+    split = F.when(rank <= train, "train").when(rank <= train + val, "val").otherwise("test")
+    return x.withColumn("split", split).drop("_draw", "_range", "_label", "_r", "_n", "_before")
 
 
 def min_class_size(df: DataFrame, label: str, least: int) -> DataFrame:

@@ -122,6 +122,12 @@ def train_probe(df: DataFrame, key: str, column: str = "embedding", hidden: tupl
     return grid.groupBy("hidden").applyInPandas(run, f"hidden int, {key} {kind}, truth {label}, predicted {label}, confidence double")
 
 
+def student_features(df: DataFrame, kmers, include_abundance: bool = True) -> DataFrame:
+    """df (with count) and student: k-mer frequencies, and with them the log10 of the reads plus one."""
+    x = S.as_double(kmers)
+    return df.withColumn("student", F.concat(x, F.array(F.log10(F.col("count") + 1))) if include_abundance else x)
+
+
 def distil(df: DataFrame, key: str, teacher: str, student: str, grid: tuple[tuple[float, float], ...] = ((0.4, 4.0),), epochs: int = 40, seed: int = 42) -> DataFrame:
     """alpha, temperature and the test accuracies of the teacher, of the student taught by it, and of one alone from the same start."""
     _bounded(df)

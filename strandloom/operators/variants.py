@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from strandloom.functions import sequences as S
 
 
+#: Records of a block, within which one task ranks the variants of a count.
+BLOCK = 1 << 18
+
+
 def count_variants(reads: DataFrame, canonical: bool = False) -> DataFrame:
     """sequence, count and first_index: one shuffle of distinct sequences, counted before it."""
     seq = S.canonical(F.col("sequence")) if canonical else F.col("sequence")
@@ -22,16 +26,20 @@ def count_variants(reads: DataFrame, canonical: bool = False) -> DataFrame:
 def variant_table(counts: DataFrame, top: int | None = None, min_count: int = 1) -> DataFrame:
     """The ranked table: the top variants first, then those of enough reads. Ties go to the first record.
 
-    With a bound the rank is of top-n rows only; without one, ranks come from counts of the rows of greater count, so that no
-    task ranks all variants: a window runs over the spectrum, and another one within each count."""
+    With a bound the rank is of top-n rows only; without one, ranks come from counts of the rows of greater count and, within a
+    count, of those of earlier blocks of records, so that no task ranks all variants or all those seen once."""
     if top is not None:
         ranked = counts.orderBy(F.desc("count"), "first_index").limit(top)
         rank = F.row_number().over(W.orderBy(F.desc("count"), "first_index"))
         ranked = ranked.withColumn("rank", rank)
     else:
         below = frequency_spectrum(counts).withColumn("before", F.coalesce(F.sum("f").over(W.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        ranked = counts.join(below.select(F.col("k").alias("count"), "before"), "count")
-        ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("count").orderBy("first_index"))).drop("before")
+        at = counts.withColumn("_block", F.floor(F.col("first_index") / BLOCK).cast("bigint"))
+        own = at.groupBy("count", "_block").agg(F.count("*").alias("_n"))
+        own = own.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy("count").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        starts = own.join(below.select(F.col("k").alias("count"), "before"), "count")
+        within = F.row_number().over(W.partitionBy("count", "_block").orderBy("first_index"))
+        ranked = at.join(starts, ["count", "_block"]).withColumn("rank", F.col("before") + F.col("_start") + within).drop("before", "_start", "_block")
     ranked = ranked.where(F.col("count") >= min_count)
     return ranked.select(
         (F.col("rank") - 1).cast("bigint").alias("variant_id"), "sequence", "count", F.length("sequence").cast("bigint").alias("length"),
@@ -39,6 +47,11 @@ def variant_table(counts: DataFrame, top: int | None = None, min_count: int = 1)
     )
 
 
+def with_counts(df: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """df with count, the reads of each row's variant; 1 where counts (key, count) does not have it."""
+    return df.drop("count").join(counts.select(key, "count"), key, "left").withColumn("count", F.coalesce("count", F.lit(1)).cast("bigint"))
+
+
 def frequency_spectrum(counts: DataFrame) -> DataFrame:
     """k, f: how many variants are seen k times."""
     return counts.groupBy(F.col("count").alias("k")).agg(F.count("*").alias("f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strandloom.functions.sequences import TAXONOMY_HINT
+
 READS = """
 b AS (SELECT event_id, CAST(floor(event_id / 2) AS BIGINT) AS p, event_id % 2 AS mate FROM events),
 k AS (SELECT *, CASE WHEN p % 10 < 5 THEN p % 7 WHEN p % 10 < 9 THEN 1000 + p % 150 WHEN p % 40 < 20 THEN 100000 + p ELSE 200000 + CAST(floor(p / 20) AS BIGINT) END AS vkey FROM b),
@@ -202,10 +204,10 @@ bv AS (SELECT doc_id, lang, count(*) AS votes FROM (SELECT *, row_number() OVER
 bt AS (SELECT pd.doc_id, predicted, CAST(coalesce(votes, 0) AS BIGINT) AS votes, coalesce(votes, 0) / CAST(20 AS DOUBLE) AS confidence, coalesce(votes, 0) >= 14 AS assigned FROM pd LEFT JOIN bv ON bv.doc_id = pd.doc_id AND bv.lang = pd.predicted)"""
 REFERENCE = """
 ra AS (SELECT p_partkey, concat('P', p_partkey) AS accession, translate(concat(md5(concat('p', p_partkey)), md5(concat('q', p_partkey)), md5(concat('r', p_partkey)), md5(concat('s', p_partkey)), md5(concat('t', p_partkey)), md5(concat('u', p_partkey))), '0123456789abcdef', 'ACGUACGUACGUACGU') AS body FROM part),
-rb AS (SELECT *, concat(substring(body, 1, CAST(p_partkey % 60 AS INTEGER)), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'AAGGGCACCACAAGAA' END, substring(body, CAST(p_partkey % 60 AS INTEGER) + 1, 192)) AS seq FROM ra),
+rb AS (SELECT *, concat(substring(body, 1, CAST(p_partkey % 60 AS INTEGER)), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'GGGCACCACAAGAACG' END, substring(body, CAST(p_partkey % 60 AS INTEGER) + 1, 192)) AS seq FROM ra),
 rt AS (SELECT concat('P', p_partkey) AS accession, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE concat_ws(';', r_name, n_name, p_brand, p_type) END AS taxonomy FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey),
 rc AS (SELECT accession, replace(upper(seq), 'U', 'T') AS t FROM rb),
-rd AS (SELECT accession, CASE WHEN instr(t, 'AAGGGCACCACAAGAA') > 0 THEN substring(t, CAST(greatest(instr(t, 'AAGGGCACCACAAGAA') - 2, 1) AS INTEGER), 151) END AS sequence FROM rc),
+rd AS (SELECT accession, CASE WHEN instr(t, 'GGGCACCACAAGAACG') > 0 THEN substring(t, CAST(greatest(instr(t, 'GGGCACCACAAGAACG') - 2, 1) AS INTEGER), 151) END AS sequence FROM rc),
 rl AS (SELECT *, list_filter(string_split(taxonomy, ';'), lambda x: x <> '') AS l FROM rt)"""
 RANK_NAMES = ("domain", "supergroup", "division", "subdivision", "class", "order", "family", "genus", "species")
 RANK_COLUMNS = ", ".join(f"coalesce(l[{i + 1}], '') AS \"{r}\"" for i, r in enumerate(RANK_NAMES))
@@ -303,9 +305,9 @@ SQL |= {
     "rank_counts": f"""WITH {REFERENCE}, x AS (SELECT {RANK_COLUMNS} FROM rd JOIN rl USING (accession) WHERE length(sequence) >= 100 AND taxonomy <> '')
       {" UNION ALL ".join(f"SELECT '{r}' AS rank, CAST(count(DISTINCT nullif({chr(34)}{r}{chr(34)}, '')) AS BIGINT) AS n FROM x" for r in RANK_NAMES)}""",
     "class_breakdown": f"WITH {REFERENCE} SELECT coalesce(l[2], '') AS supergroup, CAST(count(*) AS BIGINT) AS n FROM rd JOIN rl USING (accession) WHERE length(sequence) >= 100 AND taxonomy <> '' GROUP BY 1",
-    "label_header_scan": f"WITH {READS}, x AS (SELECT * FROM reads ORDER BY record_index LIMIT 20000) SELECT CAST(count(*) AS BIGINT) AS headers, CAST(count(*) FILTER (WHERE regexp_matches(header, '(?i)(tax|species|genus|;[a-z]+;|organism)')) AS BIGINT) AS with_hint FROM x",
-    "min_class_filter": "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 60)",
-    "dropped_classes": "SELECT source FROM documents GROUP BY source HAVING count(*) < 60",
+    "label_header_scan": f"WITH {READS}, x AS (SELECT * FROM reads ORDER BY record_index LIMIT 20000) SELECT CAST(count(*) AS BIGINT) AS headers, CAST(count(*) FILTER (WHERE regexp_matches(header, '{TAXONOMY_HINT}')) AS BIGINT) AS with_hint FROM x",
+    "min_class_filter": "SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 120)",
+    "dropped_classes": "SELECT lang FROM documents GROUP BY lang HAVING count(*) < 120",
     "stratified_split": """WITH x AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY CAST(concat('0x', substring(md5(concat('split:42:', vec_id)), 1, 15)) AS BIGINT), vec_id) AS r FROM embeddings),
       y AS (SELECT *, CAST(round_even(CAST(0.7 AS DOUBLE) * n, 0) AS BIGINT) AS a, CAST(round_even(CAST(0.15 AS DOUBLE) * n, 0) AS BIGINT) AS b FROM x) SELECT vec_id, label, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'val' ELSE 'test' END AS split FROM y""",
     "classification_metrics": f"""WITH {SCORED} SELECT {rnd('CAST(sum(h) AS DOUBLE) / sum(t)')} AS accuracy, {rnd('avg(pre)')} AS macro_precision, {rnd('avg(rec)')} AS macro_recall, {rnd('avg(f1)')} AS macro_f1, {rnd('sum(f1 * t) / sum(t)')} AS weighted_f1,

@@ -508,8 +508,7 @@ def class_breakdown(spark, d):
 
 @query
 def label_header_scan(spark, d):
-    hint = r"(?i)(tax|species|genus|;[a-z]+;|organism)"
-    return R.reads(spark, d).orderBy("record_index").limit(20_000).agg(F.count("*").alias("headers"), F.count(F.when(F.col("header").rlike(hint), 1)).alias("with_hint"))
+    return R.reads(spark, d).orderBy("record_index").limit(20_000).agg(F.count("*").alias("headers"), F.count(F.when(F.col("header").rlike(S.TAXONOMY_HINT), 1)).alias("with_hint"))
 
 
 # ---- classification and partitions
@@ -517,13 +516,13 @@ def label_header_scan(spark, d):
 
 @query
 def min_class_filter(spark, d):
-    return sampling.min_class_size(R.table(spark, d, "documents"), "source", 60).select("doc_id", "source")
+    return sampling.min_class_size(R.table(spark, d, "documents"), "lang", 120).select("doc_id", "lang")
 
 
 @query
 def dropped_classes(spark, d):
-    x = R.table(spark, d, "documents").select("source").distinct()
-    return x.exceptAll(sampling.min_class_size(R.table(spark, d, "documents"), "source", 60).select("source").distinct())
+    x = R.table(spark, d, "documents").select("lang").distinct()
+    return x.exceptAll(sampling.min_class_size(R.table(spark, d, "documents"), "lang", 120).select("lang").distinct())
 
 
 @query

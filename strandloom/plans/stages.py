@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequences import LABEL_SUFFIXES, TAXONOMY_HINT
 from strandloom.operators import amplicon, cluster, kmer, metrics, qc, sampling, stats, taxonomy, train, variants, vectors
 from strandloom.session import load_config, spark_session
 from strandloom.sources import fasta, store, tables
@@ -45,11 +46,11 @@ class Run:
 
     def variants(self):
         d = self.cfg["dereplication"]
-        return self.table("variants", lambda: variants.variant_table(self.counts(), d["keep_top_variants"], d["min_count"]))
+        return self.table("variants", lambda: variants.variant_table(self.counts(), d["keep_top_variants"], d["min_count_for_representative"]))
 
     def pairs(self):
         ids = lambda: self.checked().select("seq_id").distinct().count()
-        return self.table("subset_pairs", lambda: sampling.sample_pairs(self.passed(), ids(), self.cfg["subset"]["n_pairs"]))
+        return self.table("subset_pairs", lambda: sampling.sample_pairs(self.passed(), ids(), self.cfg["subset"]["pair_subset_pairs"]))
 
     def vectors(self, name: str, subset):
         encoder = kmer.build_encoder("kmer", **{k: v for k, v in self.cfg["baseline"].items() if k in ("k", "canonical", "include_gc")})
@@ -76,7 +77,7 @@ def preprocess(run: Run):
 
 def subsets(run: Run):
     c = run.cfg["subset"]
-    for name, n in (("test", c["test_size"]), ("main", c["main_size"])):
+    for name, n in (("test", c["test_run_size"]), ("main", c["encode_size"])):
         run.table(f"subset_{name}", lambda n=n: sampling.systematic_sample(run.passed(), n))
     return run.metrics("subset_metrics", {"pairs": run.pairs().count() // 2})
 
@@ -85,14 +86,18 @@ def dereplicate(run: Run):
     run.variants()
     spectrum = run.table("spectrum", lambda: variants.frequency_spectrum(run.counts()))
     run.table("rank_abundance", lambda: variants.rank_abundance(spectrum))
-    curve = run.table("rarefaction", lambda: variants.rarefaction(spectrum))
+    curve = run.table("rarefaction", lambda: variants.rarefaction(spectrum, run.cfg["community"]["rarefaction_points"]))
     parts = (variants.dereplication_summary(run.counts()), variants.diversity(spectrum), variants.chao1_interval(spectrum), variants.coverage_thresholds(spectrum), variants.saturation(curve))
     return run.metrics("diversity_metrics", {k: v for p in parts for k, v in _row(p).items()})
 
 
+def _ends(v):
+    """Variants with the group of their amplicon end."""
+    return amplicon.end_groups(v.withColumn("record_index", F.col("variant_id"))).drop("record_index")
+
+
 def structure(run: Run):
-    v = run.variants()
-    v = amplicon.end_groups(v.withColumn("record_index", F.col("variant_id"))).drop("record_index")
+    v = _ends(run.variants())
     n = amplicon.modal_length(v)
     used = amplicon.usable(v, n)
     prof = run.table("conservation", lambda: amplicon.profile(used, n))
@@ -116,7 +121,7 @@ def _retrieve(run: Run, pairs, name: str) -> dict:
     x = ids.select("pair_id", "mate", "seq_id").join(vec, F.col("seq_id") == F.col("sequence_id")).join(ends, ["pair_id", "mate"])
     side = lambda m, *c: x.where(F.col("mate") == m).select("pair_id", *c)
     both = side(1, F.col("embedding").alias("left_vec")).join(side(2, F.col("embedding").alias("right_vec"), F.col("end").alias("right_end")), "pair_id")
-    n = run.cfg["analysis"]["n_distractors"]
+    n = run.cfg["analysis"]["retrieval_distractors"]
     r = run.table(f"retrieval_{name}", lambda: vectors.retrieval(both, n))
     return _row(vectors.retrieval_summary(r, n)) if not r.isEmpty() else {"n_queries": 0}
 
@@ -127,7 +132,7 @@ def strandtest(run: Run):
 
 
 def baseline(run: Run):
-    v = run.vectors("main", run.table("subset_main", lambda: sampling.systematic_sample(run.passed(), run.cfg["subset"]["main_size"])).withColumn("seq_id", F.concat_ws("/", "seq_id", "record_index")))
+    v = run.vectors("main", run.table("subset_main", lambda: sampling.systematic_sample(run.passed(), run.cfg["subset"]["encode_size"])).withColumn("seq_id", F.concat_ws("/", "seq_id", "record_index")))
     return run.metrics("encoder_metrics", _row(vectors.health(v)))
 
 
@@ -136,26 +141,28 @@ def analyze(run: Run):
     v = store.load(run.spark, f"{run.output}/embeddings/main")
     p = vectors.pca(v, n_components=run.cfg["analysis"]["pca_components"])
     run.table("coords", lambda: vectors.project(v, p["axes"][:2]).select("sequence_id", "coords"))
-    tend = cluster.tendency(v, "sequence_id", k_grid=tuple(run.cfg["analysis"]["k_grid"]), n_init=1)
+    tend = cluster.tendency(v, "sequence_id", k_grid=tuple(run.cfg["analysis"]["kmeans_k_grid"]), n_init=1)
     return run.metrics("embedding_metrics", {k: v for k, v in p.items() if k != "axes"} | {"tendency": [r.asDict() for r in tend.collect()]})
 
 
 def community(run: Run):
-    v = run.variants()
-    v = amplicon.end_groups(v.withColumn("record_index", F.col("variant_id"))).drop("record_index").withColumn("seq_id", F.concat(F.lit("variant_"), F.col("variant_id").cast("string")))
+    v = _ends(run.variants().where(F.col("rank") <= run.cfg["community"]["encode_variants"])).withColumn("seq_id", F.concat(F.lit("variant_"), F.col("variant_id").cast("string")))
     vec = run.vectors("variants", v.select("seq_id", "sequence"))
     c = run.cfg["community"]
-    x, sweep = cluster.community(v.join(vec, F.col("seq_id") == F.col("sequence_id")), "seq_id", k_grid=tuple(c["k_grid"]), sample=c["silhouette_sample"], n_init=c["n_init"])
+    x, sweep = cluster.community(v.join(vec, F.col("seq_id") == F.col("sequence_id")), "seq_id", k_grid=tuple(c["cluster_k_grid"]), sample=run.cfg["analysis"]["silhouette_sample"], n_init=10)
     labels = run.table("communities", lambda: x.drop("embedding"))
     return run.metrics("community_metrics", {"sweep": sweep, "profile": [r.asDict() for r in metrics.cluster_profile(labels).collect()], "gc_explained": _row(metrics.variance_explained(labels, "cluster", "gc_content")), "end_agreement": _row(metrics.partition_agreement(labels.where("end >= 0"), "end", "cluster"))})
 
 
 def labels(run: Run):
-    """Which labels there are: those of the file given, or hints in the headers. None are made up."""
-    if run.labels:
-        return run.metrics("label_verification", {"source": run.labels, "labels": tables.load_labels(run.spark, run.labels).count()})
-    hints = run.reads().orderBy("record_index").limit(20_000).where(F.col("header").rlike(r"(?i)\b(tax|taxon|taxonomy|species|genus|organism)\b"))
-    return run.metrics("label_verification", {"source": None, "headers_with_hints": hints.count()})
+    """Which labels there are: those of the file given, or hints in the headers and files beside the reads. None are made up,
+    and no file found is trusted."""
+    given = run.labels or run.cfg["classification"]["labels_path"]
+    if given and tables.exists(run.spark, given):
+        found = tables.load_labels(run.spark, given)
+        return run.metrics("label_verification", {"source": given, **_row(found.agg(F.count("*").alias("labels"), F.countDistinct("taxon").alias("classes")))})
+    hints = run.reads().orderBy("record_index").limit(20_000).where(F.col("header").rlike(TAXONOMY_HINT))
+    return run.metrics("label_verification", {"source": None, "headers_with_hints": hints.count(), "sibling_files": tables.siblings(run.spark, run.source, LABEL_SUFFIXES)})
 
 
 def assign(run: Run):
@@ -165,13 +172,15 @@ def assign(run: Run):
     seqs = fasta.scan(run.spark, run.reference).select(F.col("header").alias("accession"), "sequence")
     ref = run.table("reference", lambda: taxonomy.build_reference(seqs, tables.load_taxonomy(run.spark, run.lineages), region=t["region_length"], least=t["min_region_length"]))
     out = {"ranks": {r["rank"]: r["n"] for r in taxonomy.rank_counts(ref).collect()}}
-    words = word_set(F.col("sequence"), t["k"])
-    for rank in ("class", "order"):
-        model, classes = taxonomy.fit(ref.where(~F.col(rank).isin("", "NA")), words, rank)
-        q = run.variants().withColumn("seq_id", F.concat(F.lit("variant_"), F.col("variant_id").cast("string")))
-
-        def build(q=q, model=model, classes=classes):
-            b = taxonomy.assigned(taxonomy.bootstrap(q, "seq_id", words, model, classes, t["n_bootstrap"], run.cfg["seed"]), t["confidence_threshold"], t["n_bootstrap"])
+    words = word_set(F.col("sequence"), t["kmer_size"])
+    for rank, threshold in t["ranks"].items():
+        known = ref.where(~F.col(rank).isin("", "NA"))
+        model, classes = taxonomy.fit(known, words, rank)
+        # only variants of the end that the reference's windows come from can be told apart by them
+        q = _ends(run.variants()).where(F.col("end") == t["amplicon_end"]).withColumn("seq_id", F.concat(F.lit("variant_"), F.col("variant_id").cast("string")))
+
+        def build(q=q, model=model, classes=classes, threshold=threshold):
+            b = taxonomy.assigned(taxonomy.bootstrap(q, "seq_id", words, model, classes, t["bootstrap"], run.cfg["seed"]), threshold, t["bootstrap"])
             b = b.join(q.select("seq_id", "variant_id", F.col("count").alias("read_count")), "seq_id")
             return b.select("seq_id", "variant_id", "predicted", F.col("confidence").cast("float").alias("confidence"), "read_count", "assigned")
 
@@ -182,19 +191,21 @@ def assign(run: Run):
 def _labelled(run: Run, rank: str = "class"):
     lab = run.spark.read.parquet(f"{run.output}/variant_labels_{rank}.parquet").where("assigned").select("seq_id", F.col("predicted").alias("label"))
     x = sampling.min_class_size(store.load(run.spark, f"{run.output}/embeddings/variants").withColumnRenamed("sequence_id", "seq_id").join(lab, "seq_id"), "label", run.cfg["classification"]["min_class_size"])
-    return sampling.stratified_split(x, "label", F.col("seq_id"), tuple(run.cfg["classification"]["fractions"][:2]), run.cfg["seed"])
+    return sampling.stratified_split(x, "label", F.col("seq_id"), tuple(run.cfg["classification"]["split"][:2]), run.cfg["seed"])
 
 
 def train_stage(run: Run):
-    p = run.table("predictions", lambda: train.train_probe(_labelled(run), "seq_id", hidden=(0, 64), epochs=run.cfg["classification"]["epochs"]))
-    return run.metrics("classification_metrics", {str(h): _row(metrics.summary(p.where(F.col("hidden") == h), "truth", "predicted")) for h in (0, 64)})
+    p = run.table("predictions", lambda: train.train_probe(_labelled(run), "seq_id", hidden=(0, run.cfg["classification"]["hidden_dim"]), epochs=run.cfg["classification"]["epochs"]))
+    return run.metrics("classification_metrics", {str(h): _row(metrics.summary(p.where(F.col("hidden") == h), "truth", "predicted")) for h in (0, run.cfg["classification"]["hidden_dim"])})
 
 
 def distill(run: Run, ablation: bool = False):
     d = run.cfg["distillation"]
     grid = [(d["alpha"], d["temperature"])] if not ablation else [(a, d["temperature"]) for a in d["alpha_grid"]] + [(d["alpha"], t) for t in d["temperature_grid"]]
-    x = _labelled(run).withColumn("student", F.slice("embedding", 1, 32))
-    return run.metrics("distillation_ablation" if ablation else "distillation_metrics", [r.asDict() for r in train.distil(x, "seq_id", "embedding", "student", tuple(dict.fromkeys(grid))).collect()])
+    x = _labelled(run, d["ablation_rank"] if ablation else "class")
+    counts = run.variants().select(F.concat(F.lit("variant_"), F.col("variant_id").cast("string")).alias("seq_id"), "count")
+    x = train.student_features(variants.with_counts(x, counts, "seq_id"), F.slice("embedding", 1, 32), d["include_abundance"])
+    return run.metrics("distillation_ablation" if ablation else "distillation_metrics", [r.asDict() for r in train.distil(x, "seq_id", "embedding", "student", tuple(dict.fromkeys(grid)), epochs=d["epochs"]).collect()])
 
 
 def distill_ablation(run: Run):
@@ -205,11 +216,11 @@ def performance(run: Run):
     """Measured throughput of the encoder by Arrow batch size, and what the whole file would take."""
     import time
 
-    x = run.passed().limit(3000).cache()
+    x = run.passed().limit(run.cfg["performance"]["sweep_reads"]).cache()
     n, rates = x.count(), {}
     encoder = kmer.build_encoder("kmer", k=run.cfg["baseline"]["k"])
     before = run.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for size in (64, 256, 1024, 4096):
+    for size in run.cfg["performance"]["batch_size_sweep"]:
         run.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         t = time.time()
         x.select(kmer.encode(F.col("sequence"), encoder)).write.format("noop").mode("overwrite").save()

@@ -48,6 +48,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def siblings(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[str]:
+    """Names of the files with these suffixes in the folder of path and in the one above it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: set[str] = set()
+    for _ in range(2):
+        at = files.makeQualified(at).getParent()
+        if at is None:
+            break
+        found |= {s.getPath().getName() for s in files.listStatus(at) if s.isFile()}
+    return sorted(name for name in found if name.lower().endswith(suffixes))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

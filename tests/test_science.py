@@ -199,3 +199,66 @@ def test_clusters_probe_and_distillation(spark):
     d = train.distil(split.withColumn("student", split["embedding"]), "id", "embedding", "student", ((0.0, 1.0), (0.5, 2.0)), epochs=10).collect()
     assert next(r for r in d if r["alpha"] == 0)["distilled_accuracy"] == next(r for r in d if r["alpha"] == 0)["alone_accuracy"]
     assert train.Probe(8, 4).parameter_counts() == {"trainable": 36, "backbone": 0}
+
+
+def test_pcr_window_starts_two_bases_before_the_core(spark):
+    from strandloom.operators import taxonomy
+
+    core, tail = "GGGCACCACAAGAACG", "ACGT" * 60
+    seqs = {"a": "TTTCC" + core + tail, "b": core + tail, "c": "T" + core + tail, "d": "ccuu" + core.lower().replace("t", "u") + tail, "e": "AAGGGCACCACAAGAA" + tail, "f": "GA" + core + tail[:60]}
+    x = spark.createDataFrame(list(seqs.items()), "accession string, sequence string")
+    tax = spark.createDataFrame([(k, "E;S;D") for k in seqs], "accession string, taxonomy string")
+    got = {r["accession"]: r["sequence"] for r in taxonomy.build_reference(x, tax).collect()}
+    assert got == {"a": ("CC" + core + tail)[:151], "b": (core + tail)[:151], "c": ("T" + core + tail)[:151], "d": ("TT" + core + tail)[:151]}
+
+
+def test_taxonomy_hints(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.sequences import TAXONOMY_HINT
+
+    yes = ["r1 tax=5", "r2 taxonomy:x", "r3 TAXID 5", "r4 species x", "r5 asv", "r6 k__ x", "r7 lineage;a"]
+    no = ["SYN.1 LH:11:FC:5:1101:0:0 length=151", "r taxi", "r taxon x", "r organism", "r ;abc;", "r subspecies", "r asv1"]
+    df = spark.createDataFrame([(h,) for h in yes + no], "h string")
+    hits = {r["h"] for r in df.where(F.col("h").rlike(TAXONOMY_HINT)).collect()}
+    assert {"r2 taxonomy:x", "r3 TAXID 5", "r4 species x", "r5 asv", "r7 lineage;a"} <= hits and not hits & set(no)
+
+
+def test_counts_default_to_one(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import train, variants
+
+    x = spark.createDataFrame([("a", [0.5]), ("b", [0.25])], "id string, v array<double>")
+    n = spark.createDataFrame([("a", 99)], "id string, count bigint")
+    got = {r["id"]: (r["count"], r["student"]) for r in train.student_features(variants.with_counts(x, n, "id"), F.col("v")).collect()}
+    assert got == {"a": (99, [0.5, 2.0]), "b": (1, [0.25, math.log10(2)])}
+
+
+def test_settings_have_the_interface_names(tmp_path):
+    import json
+
+    from strandloom.session import load_config
+
+    (tmp_path / "c.json").write_text(json.dumps({"subset": {"encode_size": 5, "n_pairs": 7}, "note": 1}))
+    c = load_config(str(tmp_path / "c.json"), ["analysis.knn_k=3", "new.deep.key=x", "taxonomy.ranks.class=0.5"])
+    assert c["subset"] == {"test_run_size": 2000, "encode_size": 5, "pair_subset_pairs": 7} and c["analysis"]["knn_k"] == 3
+    assert c["new"] == {"deep": {"key": "x"}} and c["taxonomy"]["ranks"] == {"class": 0.5, "order": 0.7} and c["note"] == 1
+
+
+def test_ranks_and_splits_by_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import sampling, variants
+
+    monkeypatch.setattr(variants, "BLOCK", 7)
+    rows = [(f"s{i}", 1 + i % 3 % 2, i * 5 % 101) for i in range(101)]
+    counts = spark.createDataFrame(rows, "sequence string, count bigint, first_index bigint")
+    got = [r["sequence"] for r in variants.variant_table(counts).orderBy("rank").collect()]
+    assert got == [s for s, _, _ in sorted(rows, key=lambda r: (-r[1], r[2]))]
+    x = spark.range(200).select("id", F.when(F.col("id") < 150, "a").when(F.col("id") < 190, "b").alias("label"))
+    split = sampling.stratified_split(x, "label", F.col("id"))
+    n = {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert split.columns == ["id", "label", "split"] and n["a", "train"] == 105 and n["b", "train"] == 28 and n[None, "train"] == 7 and sum(n.values()) == 200

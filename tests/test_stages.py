@@ -16,6 +16,7 @@ def test_stages_run_and_reuse_results(spark, tmp_path):
         f = frags[min(i % 12, i % 7)]
         for read in ("AAGGGCACCACAAGAACG" + f[:133], "CGGTCACGTTCGTTGCCT" + flip(f[17:])):
             lines.append(f">SYN.{i} LH:11:FC:5:{1101 + i % 4}:{i}:{i} length={len(read)}\n{read}\n")
+    (tmp_path / "notes.tsv").write_text("a\tb\n")
     (tmp_path / "r.fasta").write_text("".join(lines))
     cfg = load_config(None, ["subset.n_pairs=30", "subset.main_size=40", "subset.test_size=10", "analysis.n_distractors=3", "dereplication.min_count=1"])
     run = Run(spark, cfg, str(tmp_path / "r.fasta"), str(tmp_path / "out"))
@@ -27,7 +28,7 @@ def test_stages_run_and_reuse_results(spark, tmp_path):
     assert STAGES["varregion"](run)["reads"] == 60
     assert STAGES["strandtest"](run)["second_mate_reversed"]["n_queries"] == 30
     assert STAGES["baseline"](run)["finite"]
-    assert STAGES["labels"](run) == {"source": None, "headers_with_hints": 0}
+    assert STAGES["labels"](run) == {"source": None, "headers_with_hints": 0, "sibling_files": ["notes.tsv"]}
     STAGES["report"](run)
     assert "diversity" in (tmp_path / "out" / "report.md").read_text() and "not run" in (tmp_path / "out" / "report.md").read_text()
     assert json.loads((tmp_path / "out" / "metrics" / "diversity_metrics.json").read_text())["reads"] == 120
