@@ -97,7 +97,7 @@ SQL |= {
     "occurrence_numbers": "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS occurrence FROM events",
     "dereplicate": f"WITH {VARIANTS} SELECT variant_id, sequence, n AS count, len AS length, {rnd(gc('sequence'))} AS gc_content, variant_id + 1 AS rank FROM vt",
     "dereplicate_canonical": f"""WITH {CANONICAL}, x AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, first_index) AS BIGINT) AS rank, sequence, n FROM counts)
-      SELECT rank - 1 AS variant_id, sequence, n AS count, rank FROM x WHERE rank <= 500 AND n >= 2""",
+      SELECT rank - 1 AS variant_id, sequence, n AS count, rank FROM x WHERE n >= 2""",
     "dereplication_summary": f"WITH {COUNTS} SELECT CAST(sum(n) AS BIGINT) AS reads, CAST(count(*) AS BIGINT) AS unique_variants, CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS singletons, CAST(count(*) FILTER (WHERE n = 2) AS BIGINT) AS doubletons, CAST(max(n) AS BIGINT) AS most_abundant FROM counts",
     "canonical_merge": f"""WITH {PASSED}, a AS (SELECT CAST(count(DISTINCT sequence) AS BIGINT) AS x, CAST(count(DISTINCT least(sequence, reverse(translate(sequence, 'ACGT', 'TGCA')))) AS BIGINT) AS y FROM passed)
       SELECT x AS exact_variants, y AS canonical_variants, x - y AS merged FROM a""",
@@ -129,7 +129,7 @@ SQL |= {
     "mate_pairs": f"""WITH {PASSED}, a AS (SELECT *, record_index - row_number() OVER (PARTITION BY seq_id ORDER BY record_index) AS g FROM passed),
       c AS (SELECT *, row_number() OVER (PARTITION BY seq_id, g ORDER BY record_index) - 1 AS rn, count(*) OVER (PARTITION BY seq_id, g) AS n FROM a)
       SELECT record_index, seq_id, CAST(rn % 2 + 1 AS INTEGER) AS mate, record_index - rn % 2 AS pair_key FROM c WHERE rn < n - n % 2""",
-    "variant_subset": f"WITH {VARIANTS} SELECT concat('variant_', variant_id) AS seq_id, sequence, n AS weight FROM vt WHERE variant_id < 200",
+    "variant_subset": f"WITH {VARIANTS} SELECT concat('variant_', variant_id) AS seq_id, sequence, n AS weight FROM vt WHERE variant_id < 50000",
 }
 PAIRS = PASSED + """,
 ga AS (SELECT *, record_index - row_number() OVER (PARTITION BY seq_id ORDER BY record_index) AS g FROM passed),
@@ -184,24 +184,23 @@ def retrieval_row(width: int = 64, controlled: bool = True) -> str:
 
 WORDS = r"""
 dw AS (SELECT doc_id, lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> ''))) AS word FROM documents),
-tr AS (SELECT * FROM dw WHERE doc_id % 5 <> 0), qu AS (SELECT * FROM dw WHERE doc_id % 5 = 0),
-cl AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE doc_id % 5 <> 0 GROUP BY lang), tn AS (SELECT sum(n) AS total FROM cl),
-mw AS (SELECT word, lang, count(*) AS m FROM tr GROUP BY ALL), nw AS (SELECT word, sum(m) AS nw FROM mw GROUP BY word),
+cl AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang), tn AS (SELECT sum(n) AS total FROM cl),
+mw AS (SELECT word, lang, count(*) AS m FROM dw GROUP BY ALL), nw AS (SELECT word, sum(m) AS nw FROM mw GROUP BY word),
 pw AS (SELECT word, (nw + 0.5) / (total + CAST(1 AS DOUBLE)) AS p FROM nw, tn),
 gw AS (SELECT mw.word, lang, ln(p) AS log_prior, ln((m + p) / p) AS gain FROM mw JOIN pw USING (word)),
-qn AS (SELECT doc_id, count(*) AS n_words FROM qu GROUP BY 1),
-qg AS (SELECT doc_id, gw.lang, sum(gain) AS gain FROM qu JOIN gw USING (word) GROUP BY ALL),
+qn AS (SELECT doc_id, count(*) AS n_words FROM dw GROUP BY 1),
+qg AS (SELECT doc_id, gw.lang, sum(gain) AS gain FROM dw JOIN gw USING (word) GROUP BY ALL),
 sc AS (SELECT qn.doc_id, cl.lang, coalesce(gain, 0) - n_words * ln(cl.n + 1) AS score FROM qn CROSS JOIN cl LEFT JOIN qg ON qg.doc_id = qn.doc_id AND qg.lang = cl.lang),
 be AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY floor(score * 1e9 + 0.5) / 1e9 DESC, lang) AS rr FROM sc) WHERE rr = 1),
-pd AS (SELECT d.doc_id, coalesce(be.lang, '') AS predicted FROM documents d LEFT JOIN be USING (doc_id) WHERE d.doc_id % 5 = 0)"""
+pd AS (SELECT d.doc_id, coalesce(be.lang, '') AS predicted FROM documents d LEFT JOIN be USING (doc_id))"""
 BOOT = WORDS + """,
-ql AS (SELECT doc_id, list(word ORDER BY encode(word)) AS ws, count(*) AS nn FROM qu GROUP BY 1),
+ql AS (SELECT doc_id, list(word ORDER BY encode(word)) AS ws, count(*) AS nn FROM dw GROUP BY 1),
 bd AS (SELECT doc_id, b, greatest(nn // 8, 1) AS size, ws[1 + CAST(concat('0x', substring(md5(concat('42:', doc_id, ':', b, ':', j)), 1, 15)) AS BIGINT) % nn] AS word
-  FROM (SELECT *, unnest(range(20)) AS b FROM ql), LATERAL (SELECT unnest(range(greatest(nn // 8, 1))) AS j)),
+  FROM (SELECT *, unnest(range(100)) AS b FROM ql), LATERAL (SELECT unnest(range(greatest(nn // 8, 1))) AS j)),
 bg AS (SELECT doc_id, b, gw.lang, sum(gain) AS gain FROM bd JOIN gw USING (word) GROUP BY ALL),
 bs AS (SELECT x.doc_id, x.b, cl.lang, floor((coalesce(bg.gain, 0) - x.size * ln(cl.n + 1)) * 1e9 + 0.5) / 1e9 AS score FROM (SELECT DISTINCT doc_id, b, size FROM bd) x CROSS JOIN cl LEFT JOIN bg ON bg.doc_id = x.doc_id AND bg.b = x.b AND bg.lang = cl.lang),
 bv AS (SELECT doc_id, lang, count(*) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, b ORDER BY score DESC, lang) AS rr FROM bs) WHERE rr = 1 GROUP BY ALL),
-bt AS (SELECT pd.doc_id, predicted, CAST(coalesce(votes, 0) AS BIGINT) AS votes, coalesce(votes, 0) / CAST(20 AS DOUBLE) AS confidence, coalesce(votes, 0) >= 14 AS assigned FROM pd LEFT JOIN bv ON bv.doc_id = pd.doc_id AND bv.lang = pd.predicted)"""
+bt AS (SELECT pd.doc_id, predicted, CAST(coalesce(votes, 0) AS BIGINT) AS votes, coalesce(votes, 0) / CAST(100 AS DOUBLE) AS confidence, coalesce(votes, 0) >= 70 AS assigned FROM pd LEFT JOIN bv ON bv.doc_id = pd.doc_id AND bv.lang = pd.predicted)"""
 REFERENCE = """
 ra AS (SELECT p_partkey, concat('P', p_partkey) AS accession, translate(concat(md5(concat('p', p_partkey)), md5(concat('q', p_partkey)), md5(concat('r', p_partkey)), md5(concat('s', p_partkey)), md5(concat('t', p_partkey)), md5(concat('u', p_partkey))), '0123456789abcdef', 'ACGUACGUACGUACGU') AS body FROM part),
 rb AS (SELECT *, concat(substring(body, 1, CAST(p_partkey % 60 AS INTEGER)), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'GGGCACCACAAGAACG' END, substring(body, CAST(p_partkey % 60 AS INTEGER) + 1, 192)) AS seq FROM ra),
@@ -326,5 +325,5 @@ SQL |= {
     "adjusted_rand": agreement("SELECT label AS a, vec_id // 7 % 10 AS b FROM embeddings"),
     "fowlkes_mallows": agreement("SELECT lang AS a, source AS b FROM documents"),
     "cost_projection": f"SELECT CAST(count(*) AS BIGINT) AS reads, {rnd('count(*) / CAST(15000 AS DOUBLE)')} AS projected_seconds, CAST(count(*) * 136 * 4 AS BIGINT) AS storage_bytes FROM events",
-    "abundance_marker_size": f"WITH {VARIANTS}, t AS (SELECT * FROM vt WHERE variant_id < 200) SELECT variant_id, {rnd('3 + 260 * sqrt(CAST(n AS DOUBLE) / max(n) OVER ())')} AS size FROM t",
+    "abundance_marker_size": f"WITH {VARIANTS}, t AS (SELECT * FROM vt WHERE variant_id < 20000) SELECT variant_id, {rnd('3 + 260 * sqrt(CAST(n AS DOUBLE) / max(n) OVER ())')} AS size FROM t",
 }

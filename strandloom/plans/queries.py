@@ -262,7 +262,7 @@ def mate_pairs_rc(spark, d):
 
 @query
 def variant_subset(spark, d):
-    v = variants.variant_table(_counts(spark, d), top=200)
+    v = variants.variant_table(_counts(spark, d), top=50_000)
     return v.select(F.concat(F.lit("variant_"), F.col("variant_id").cast("string")).alias("seq_id"), "sequence", F.col("count").alias("weight"))
 
 
@@ -436,8 +436,8 @@ def projection_2d(spark, d):
 
 def _nb(spark, d):
     docs = R.table(spark, d, "documents").select("doc_id", "text", "lang")
-    model, classes = taxonomy.fit(docs.where("doc_id % 5 <> 0"), R.words(F.col("text")), "lang")
-    return docs.where("doc_id % 5 = 0"), model, classes
+    model, classes = taxonomy.fit(docs, R.words(F.col("text")), "lang")
+    return docs, model, classes
 
 
 @query
@@ -460,7 +460,7 @@ def nb_classify(spark, d):
 
 def _boot(spark, d) -> DataFrame:
     q, model, classes = _nb(spark, d)
-    return taxonomy.assigned(taxonomy.bootstrap(q, "doc_id", R.words(F.col("text")), model, classes, 20), 0.7, 20)
+    return taxonomy.assigned(taxonomy.bootstrap(q, "doc_id", R.words(F.col("text")), model, classes, 100), 0.7, 100)
 
 
 @query
@@ -624,7 +624,7 @@ def cost_projection(spark, d):
 
 @query
 def abundance_marker_size(spark, d):
-    v = variants.variant_table(_counts(spark, d), top=200)
+    v = variants.variant_table(_counts(spark, d), top=20_000)
     return v.select("variant_id", _r(3 + 260 * F.sqrt(F.col("count") / F.max("count").over(W.partitionBy(F.lit(0))))).alias("size"))
 
 
