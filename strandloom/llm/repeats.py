@@ -13,8 +13,12 @@ maximal repeat and l varies by member. If l + r reaches the length, the member's
 hold the anchor, a member's union is one piece.
 
 Texts with an exact copy go whole, so one text stands for all its copies, and equal contexts of different texts are one member
-with a count. A group with more than GROUP distinct contexts is not gathered: each of its windows is hashed by 128 bits and
-the hashes are counted, which needs no group in one task and gives the same result.
+with a count. A group with more than GROUP distinct contexts is not gathered but cut into the subtrees that can hold a match. For
+a range of prefixes from R to R + STEP, two members that match have the first R bytes of the right context and the first
+length - R - STEP + 1 of the left one in common; members alike in these form a subtree, which is scanned as a group is. Ranges
+are tried one by one, so each match lies in a subtree. In a subtree of still more than GROUP members, which then share nearly
+`length` bytes, each prefix and extension that sum to the length name one node, whose members are all alike in one window. Such
+nodes are counted by 128 bits of their content and scan nothing.
 
 Defined cases: a null text is empty; empty and short texts keep all bytes; rows with equal texts get equal results, and a null
 or repeated doc_id changes nothing; an empty table gives an empty result; only doc_id and text are read, so other columns
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, discard, gram_hash, materialize, mix64, read_table, rolling
 
-LENGTH, GRAM, GROUP = 400, 128, 16_384
+LENGTH, GRAM, GROUP, STEP = 400, 128, 16_384, 17
 _POS = np.uint64(2**34 - 1)  # low bits hold a position, so that the leftmost wins among equal hashes
 
 
@@ -197,23 +201,46 @@ def _cover_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["ctx", "l", "r"])
 
 
-def _window_rows(length: int):
-    """Two hashes of each window of a context, and numbers that stand for where its first and its last member have it."""
+def _ranges(length: int, gram: int) -> list[tuple[int, int]]:
+    """(first, end) of each range of prefixes; the last one ends beyond the length."""
+    firsts = list(range(gram, length + 1, STEP))
+    return list(zip(firsts, [*firsts[1:], length + 1]))
+
+
+def _subtree_rows(length: int, gram: int):
+    """A row for each range that a context is long enough for: the range and a digest of what its subtree has in common."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ctx, key, left, right in _rows(batch, "ctx", "key", "left", "right"):
+                for at, (first, end) in enumerate(_ranges(length, gram)):
+                    ext = length - end + 1
+                    if len(left) >= ext and len(right) >= first:
+                        out.append((ctx, at, hashlib.md5(key.to_bytes(8, "big", signed=True) + bytes([at]) + left[:ext] + right[:first]).digest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32(), pa.binary()))], ["ctx", "range", "sub"])
+
+    return run
+
+
+def _node_rows(length: int, gram: int):
+    """A row for each node that a context has within the range of a subtree: its content's hashes and extension."""
 
     def run(batches):
         for batch in batches:
-            for ctx, left, right, lo, hi in _rows(batch, "ctx", "left", "right", "lo", "hi"):
-                flat = np.frombuffer(left[::-1] + right, np.uint8)
-                n = len(flat) - length + 1
-                if n < 1:
+            for ctx, left, right, at in _rows(batch, "ctx", "left", "right", "range"):
+                first, end = _ranges(length, gram)[at]
+                r = np.arange(first, min(end, len(right) + 1))
+                ext = length - r
+                r, ext = r[ext <= len(left)], ext[ext <= len(left)]
+                if not len(r):
                     continue
-                at = np.arange(n)
-                p = rolling(flat, False)
-                half = length // 2
-                h1, h2 = gram_hash(p, at, at + length), mix64(gram_hash(p, at, at + half) * np.uint64(3) + gram_hash(p, at + half, at + length))
-                where = [np.frombuffer(x["sha"][:8], np.uint64) + mix64((x["pos"] - len(left) + at).astype(np.uint64)) for x in (lo, hi)]
-                cols = [h1.view(np.int64), h2.view(np.int64), np.minimum(*where).view(np.int64), np.maximum(*where).view(np.int64), (len(left) - at).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([ctx] * n, pa.binary())], ["h1", "h2", "lo", "hi", "l", "ctx"])
+                p = rolling(np.frombuffer(left[::-1] + right, np.uint8), False)
+                a, b, half = len(left) - ext, len(left) + r, len(left) - ext + length // 2
+                h1, h2 = gram_hash(p, a, b), mix64(gram_hash(p, a, half) * np.uint64(3) + gram_hash(p, half, b))
+                cols = [h1.view(np.int64), h2.view(np.int64), ext.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([ctx] * len(r), pa.binary())], ["h1", "h2", "l", "ctx"])
 
     return run
 
@@ -260,20 +287,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
     schema = "ctx binary, key bigint, left binary, right binary, sha binary, pos int"
     members = materialize(marked.mapInArrow(_context_rows(length, gram), schema), "contexts", keep)
-    who = F.struct("sha", "pos")
-    distinct = members.groupBy("ctx").agg(F.first("key").alias("key"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n"), F.min(who).alias("lo"), F.max(who).alias("hi"))
+    distinct = members.groupBy("ctx").agg(F.first("key").alias("key"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n"))
     distinct = materialize(distinct, "distinct", keep)
     large = materialize(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > group).select("key"), "large", keep)
 
-    small = distinct.select("key", "ctx", "left", "right", "n").join(large, "key", "left_anti")
-    ordered = small.repartition("key").sortWithinPartitions("key", "right", F.octet_length("right"))
-    cover = ordered.mapInArrow(_scan_groups(length), "ctx binary, l int, r int")
+    def scanned(groups: DataFrame) -> DataFrame:
+        ordered = groups.repartition("key").sortWithinPartitions("key", "right", F.octet_length("right"))
+        return ordered.mapInArrow(_scan_groups(length), "ctx binary, l int, r int")
+
+    cover = scanned(distinct.select("key", "ctx", "left", "right", "n").join(large, "key", "left_anti"))
     if not large.isEmpty():
-        windows = distinct.join(large, "key", "left_semi").select("ctx", "left", "right", "lo", "hi").mapInArrow(_window_rows(length), "h1 bigint, h2 bigint, lo bigint, hi bigint, l int, ctx binary")
-        windows = materialize(windows, "windows", keep)
-        again = windows.groupBy("h1", "h2").agg(F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")).where("lo != hi").select("h1", "h2")
-        hit = windows.join(again, ["h1", "h2"], "left_semi").groupBy("ctx").agg(F.max("l").alias("l"), (F.lit(length) - F.min("l")).alias("r"))
-        cover = cover.union(hit.select("ctx", "l", F.col("r").cast("int")))
+        hot = materialize(distinct.join(large, "key", "left_semi"), "hot", keep)
+        subs = materialize(hot.mapInArrow(_subtree_rows(length, gram), "ctx binary, range int, sub binary"), "subtrees", keep)
+        sizes = materialize(subs.groupBy("sub").agg(F.count("*").alias("m")).where("m > 1"), "sizes", keep)
+        members_of = hot.select("ctx", "left", "right", "n")
+        few = subs.join(sizes.where(F.col("m") <= group), "sub", "left_semi").join(members_of, "ctx").withColumnRenamed("sub", "key")
+        parts = scanned(few.select("key", "ctx", "left", "right", "n"))
+        nodes = subs.join(sizes.where(F.col("m") > group), "sub", "left_semi").join(members_of, "ctx")
+        nodes = materialize(nodes.select("ctx", "left", "right", "range").mapInArrow(_node_rows(length, gram), "h1 bigint, h2 bigint, l int, ctx binary"), "nodes", keep)
+        again = nodes.groupBy("h1", "h2", "l").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2", "l")
+        hit = nodes.join(again, ["h1", "h2", "l"], "left_semi").select("ctx", "l", (F.lit(length) - F.col("l")).alias("r"))
+        own = hot.where((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= length)).select("ctx", F.octet_length("left").alias("l"), F.octet_length("right").alias("r"))
+        cover = cover.union(parts.union(hit).union(own).groupBy("ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")))
     cover = materialize(cover, "covers", keep)
     gone = members.select("ctx", "sha", "pos").join(cover, "ctx").groupBy("sha").agg(F.collect_set(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("marks"))
     cut = marked.select("sha", "text").join(gone, "sha").mapInArrow(_cut(length), "sha binary, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:int,b:int>>")

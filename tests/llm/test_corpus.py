@@ -507,7 +507,7 @@ def repeated(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 4096])
+@pytest.mark.parametrize("group", [1, 3, 12, 4096])
 def test_repeats_equal_all_windows(spark, rows, none, group):
     rng = random.Random(8)
     shared, other = prose(rng, 40), prose(rng, 25)
