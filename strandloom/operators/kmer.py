@@ -119,6 +119,29 @@ def encode(sequence: Column, encoder: Encoder) -> Column:
     return run(sequence)
 
 
+def token_fit(reads: DataFrame, tokenize, limit: int, unknown: int | None = None) -> dict:
+    """What a tokenizer makes of every read, and a ValueError if one has more than limit tokens, since nothing may be cut off.
+
+    tokenize turns a list of sequences into lists of ids and runs on the workers; ids equal to unknown are counted. A null sequence
+    is empty; without reads or without tokens the figures that need them are None."""
+
+    @F.pandas_udf("struct<n:bigint, unknown:bigint>")
+    def measure(batch: pd.Series) -> pd.DataFrame:
+        ids = [list(x) for x in tokenize(batch.tolist())]
+        return pd.DataFrame({"n": [len(x) for x in ids], "unknown": [0 if unknown is None else x.count(unknown) for x in ids]}, dtype="int64")
+
+    x = reads.select(F.coalesce("sequence", F.lit("")).alias("sequence")).select(F.length("sequence").alias("bp"), measure("sequence").alias("t"))
+    bp, n = F.col("bp"), F.col("t.n")
+    row = x.agg(
+        F.count("*").alias("reads"), F.min(bp).alias("bp_min"), F.max(bp).alias("bp_max"), F.min(n).alias("tokens_min"), F.max(n).alias("tokens_max"), F.round(F.avg(n), 3).alias("tokens_mean"),
+        F.round(F.try_divide(F.sum(bp), F.sum(n)), 3).alias("bp_per_token"), F.coalesce(F.sum("t.unknown"), F.lit(0)).alias("unknown_tokens"),
+    ).first().asDict()
+    longest = row["tokens_max"] or 0
+    if longest > limit:
+        raise ValueError(f"a read has {longest} tokens, the encoder takes {limit}")
+    return row | {"token_limit": limit, "limit_used": round(longest / limit, 5)}
+
+
 def build_encoder(name: str, **options) -> Encoder:
     """kmer is built in. Encoders from foundation models follow the same protocol; their weights are not part of this library."""
     if name != "kmer":

@@ -256,3 +256,13 @@ def test_settings():
     assert load_config(None, ["qc.min_length=5"])["qc"]["min_length"] == 5 and load_config()["qc"]["min_length"] == 100
     with pytest.raises(ValueError):
         parse_override("x")
+
+
+def test_token_fit_measures_every_read(spark):
+    df = spark.createDataFrame([("ACGTAC",), ("ACN",), (None,)], "sequence string")
+    three = lambda seqs: [[0 if "N" in s[i : i + 3] else 1 for i in range(0, len(s), 3)] for s in seqs]
+    x = kmer.token_fit(df, three, 4, unknown=0)
+    assert x == {"reads": 3, "bp_min": 0, "bp_max": 6, "tokens_min": 0, "tokens_max": 2, "tokens_mean": 1.0, "bp_per_token": 3.0, "unknown_tokens": 1, "token_limit": 4, "limit_used": 0.5}
+    with pytest.raises(ValueError, match="2 tokens"):
+        kmer.token_fit(df, three, 1)
+    assert kmer.token_fit(df.where("false"), three, 4)["tokens_max"] is None
