@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,27 +80,48 @@ def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return cells.crossJoin(rows).crossJoin(cols).select(F.col("n").cast("bigint").alias("n"), S.round_to(ari).alias("adjusted_rand"), S.round_to(fm).alias("fowlkes_mallows"))
 
 
+def _expected_information(x: int, y: int, n: int, block: int = 4096) -> float:
+    """What a class of x and one of y of n rows share by chance: hypergeometric terms outwards from the likeliest overlap, in blocks,
+    until they are 0 in double precision."""
+    low, high = max(1, x + y - n), min(x, y)
+    top = min(max((x + 1) * (y + 1) // (n + 2), low), high)
+    g = lambda *v: sum(math.lgamma(i + 1) for i in v)
+    start = g(x, y, n - x, n - y) - g(n, top, x - top, y - top, n - x - y + top)
+    term = lambda k, logp: float((k / n * np.log(n * k / (x * y)) * np.exp(logp)).sum())
+    total = term(np.array([float(top)]), np.array([start]))
+    at, logp = top, start
+    while at < high and logp > -745:
+        k = np.arange(at, min(at + block, high), dtype=float)  # from k to k + 1
+        steps = logp + np.cumsum(np.log((x - k) * (y - k)) - np.log((k + 1) * (n - x - y + k + 1)))
+        total += term(k + 1, steps)
+        at, logp = int(k[-1]) + 1, steps[-1]
+    at, logp = top, start
+    while at > low and logp > -745:
+        k = np.arange(at, max(at - block, low), -1, dtype=float)  # from k to k - 1
+        steps = logp + np.cumsum(np.log(k * (n - x - y + k)) - np.log((x - k + 1) * (y - k + 1)))
+        total += term(k - 1, steps)
+        at, logp = int(k[-1]) - 1, steps[-1]
+    return total
+
+
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
-    """AMI with arithmetic mean, of the contingency table, whose size is that of two label sets."""
-    rows = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")).collect()
-    n = sum(r["n"] for r in rows)
-    pa: dict = {}
-    pb: dict = {}
-    for r in rows:
-        pa[r["a"]] = pa.get(r["a"], 0) + r["n"]
-        pb[r["b"]] = pb.get(r["b"], 0) + r["n"]
-    if len(pa) == len(pb) == 1 or len(pa) == len(pb) == n:
+    """AMI with arithmetic mean. Only sums come to the driver; chance is computed for each pair of class sizes that occur."""
+    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    plogp = lambda c: F.sum(F.col(c) * F.ln(c))
+    sizes = [cells.groupBy(side).agg(F.sum("n").alias("n")).groupBy("n").agg(F.count("*").alias("m")) for side in "ab"]
+    n, joint = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), plogp("n")).first()
+    (ka, sa), (kb, sb) = (x.agg(F.coalesce(F.sum("m"), F.lit(0)), F.sum(F.col("m") * F.col("n") * F.ln("n"))).first() for x in sizes)
+    if ka == kb and ka in (1, n):
         return 1.0
-    mi = sum(r["n"] / n * math.log(n * r["n"] / (pa[r["a"]] * pb[r["b"]])) for r in rows)
-    entropy = lambda p: -sum(x / n * math.log(x / n) for x in p.values())
-    fact = [math.lgamma(i + 1) for i in range(n + 1)]
-    expected = 0.0
-    for x in pa.values():
-        for y in pb.values():
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                p = math.exp(fact[x] + fact[y] + fact[n - x] + fact[n - y] - fact[n] - fact[k] - fact[x - k] - fact[y - k] - fact[n - x - y + k])
-                expected += k / n * math.log(n * k / (x * y)) * p
-    mean = (entropy(pa) + entropy(pb)) / 2
+
+    @F.pandas_udf("double")
+    def chance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_expected_information(int(i), int(j), n) for i, j in zip(x, y)], dtype="float64")
+
+    left, right = sizes[0].select(F.col("n").alias("x"), F.col("m").alias("mx")), sizes[1].select(F.col("n").alias("y"), F.col("m").alias("my"))
+    expected = left.crossJoin(right).agg(F.sum(F.col("mx") * F.col("my") * chance("x", "y"))).first()[0]
+    ha, hb = math.log(n) - sa / n, math.log(n) - sb / n
+    mi, mean = ha + hb - (math.log(n) - joint / n), (ha + hb) / 2
     return (mi - expected) / (mean - expected) if mean != expected else 1.0
 
 

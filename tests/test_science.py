@@ -262,3 +262,14 @@ def test_ranks_and_splits_by_ranges(spark, monkeypatch):
     split = sampling.stratified_split(x, "label", F.col("id"))
     n = {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
     assert split.columns == ["id", "label", "split"] and n["a", "train"] == 105 and n["b", "train"] == 28 and n[None, "train"] == 7 and sum(n.values()) == 200
+
+
+def test_chance_information_equals_every_overlap():
+    import math
+    from fractions import Fraction
+
+    for n, x, y in [(10, 3, 4), (10, 7, 8), (60, 30, 30), (500, 1, 1), (500, 499, 2), (2000, 900, 1500)]:
+        c = math.comb
+        every = sum(k / n * math.log(n * k / (x * y)) * float(Fraction(c(x, k) * c(n - x, y - k), c(n, y))) for k in range(max(1, x + y - n), min(x, y) + 1))
+        assert metrics._expected_information(x, y, n) == pytest.approx(every, abs=1e-12)
+        assert metrics._expected_information(x, y, n, block=3) == pytest.approx(every, abs=1e-12)
