@@ -9,8 +9,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions import sequences as S
 
@@ -37,12 +39,55 @@ def vocabulary_table(spark: SparkSession, k: int, canonical: bool = True) -> Dat
 
 
 def frequencies(reads: DataFrame, key: str, k: int, canonical: bool = True) -> DataFrame:
-    """key, kmer, frequency in long form: what of a read's valid k-mers each one is. k-mers with other characters are skipped."""
-    w = F.col("kmer")
-    x = reads.select(key, F.explode(S.kmers(F.col("sequence"), k)).alias("kmer")).select(key, (S.canonical(w) if canonical else w).alias("kmer"))
-    by = x.groupBy(key, "kmer").agg(F.count("*").alias("n"))
-    total = by.groupBy(key).agg(F.sum("n").alias("total"))
-    return by.join(total, key).select(key, "kmer", (F.col("n") / F.col("total")).alias("frequency"))
+    """key, kmer, frequency in long form: what of a read's valid k-mers each one is. k-mers with other characters are skipped.
+
+    Each row is a read of its own and is counted where it lies, in Arrow batches, without a shuffle. k is 31 at most."""
+    if not 1 <= k <= 31:
+        raise ValueError("k must be from 1 to 31")
+
+    def count(batches):
+        for batch in batches:
+            row, code = _codes([s or "" for s in batch.column(1).to_pylist()], k)
+            code = np.minimum(code, _flipped(code, k)) if canonical else code
+            codes, slot = np.unique(code, return_inverse=True)
+            pair, n = np.unique(row * max(len(codes), 1) + slot, return_counts=True)
+            at, word = np.divmod(pair, max(len(codes), 1))
+            total = np.bincount(row, minlength=batch.num_rows)
+            columns = [batch.column(0).take(pa.array(at)), pa.array(_spelled(codes, k), pa.string()).take(pa.array(word)), pa.array(n / total[at])]
+            yield pa.RecordBatch.from_arrays(columns, [key, "kmer", "frequency"])
+
+    x = reads.select(key, "sequence")
+    return x.mapInArrow(count, T.StructType([x.schema[key], T.StructField("kmer", T.StringType()), T.StructField("frequency", T.DoubleType())]))
+
+
+def _codes(sequences: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every k-mer of ACGT alone, the number of its sequence and its bases as digits of a number to base 4."""
+    digit = np.full(256, -1, np.int64)
+    digit[[ord(b) for b in S.BASES]] = range(4)
+    raw = [s.encode("latin-1", "replace") for s in sequences]
+    flat = digit[np.frombuffer(b"".join(raw), np.uint8)]
+    n = max(len(flat) - k + 1, 0)
+    code, good = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(k if n else 0):
+        part = flat[j : j + n]
+        code = code * 4 + np.maximum(part, 0)
+        good &= part >= 0
+    row = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    good &= row[:n] == row[len(row) - n :]
+    return row[:n][good], code[good]
+
+
+def _flipped(code: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the reverse complements."""
+    out, rest = np.zeros_like(code), code.copy()
+    for _ in range(k):
+        out = out * 4 + 3 - rest % 4
+        rest //= 4
+    return out
+
+
+def _spelled(code: np.ndarray, k: int) -> list[str]:
+    return ["".join(S.BASES[(c >> 2 * i) & 3] for i in range(k - 1, -1, -1)) for c in code.tolist()]
 
 
 class Encoder(Protocol):
@@ -75,29 +120,16 @@ class KmerEncoder:
     def encode_batch(self, sequences: list[str]) -> np.ndarray:
         words = vocabulary(self.k, self.canonical)
         slot = _slots(self.k, self.canonical)
-        code = np.full(256, -1, np.int64)
-        code[[ord(b) for b in S.BASES]] = range(4)
-        raw = [s.encode("latin-1", "replace") for s in sequences]
-        size = np.array([len(r) for r in raw])
-        flat = code[np.frombuffer(b"".join(raw), np.uint8)]
-        out = np.zeros((len(raw), self.dim), np.float32)
-        if len(flat) >= self.k:
-            n = len(flat) - self.k + 1
-            value, good = np.zeros(n, np.int64), np.ones(n, bool)
-            for j in range(self.k):
-                part = flat[j : j + n]
-                value = value * 4 + np.maximum(part, 0)
-                good &= part >= 0
-            row = np.repeat(np.arange(len(raw)), size)
-            good &= row[:n] == row[self.k - 1 :]
-            counts = np.bincount(row[:n][good] * len(words) + slot[value[good]], minlength=len(raw) * len(words)).reshape(len(raw), -1)
-            out[:, : len(words)] = counts / np.maximum(counts.sum(1), 1)[:, None]
+        row, code = _codes(sequences, self.k)
+        counts = np.bincount(row * len(words) + slot[code], minlength=len(sequences) * len(words)).reshape(len(sequences), -1)
+        out = np.zeros((len(sequences), self.dim), np.float32)
+        out[:, : len(words)] = counts / np.maximum(counts.sum(1), 1)[:, None]
         if self.include_gc:
             gc = np.array([s.count("G") + s.count("C") for s in sequences])
             at = np.array([s.count("A") + s.count("T") for s in sequences])
             out[:, len(words)] = gc / np.maximum(gc + at, 1)
         if self.include_length:
-            out[:, -1] = size
+            out[:, -1] = [len(s) for s in sequences]
         return out
 
 

@@ -266,3 +266,16 @@ def test_token_fit_measures_every_read(spark):
     with pytest.raises(ValueError, match="2 tokens"):
         kmer.token_fit(df, three, 1)
     assert kmer.token_fit(df.where("false"), three, 4)["tokens_max"] is None
+
+
+def test_kmer_frequencies_by_read(spark):
+    seqs = {1: "ACGTACGTNACG", 2: "", 3: None, 4: "AC", None: "GGGTTTacgCCC", 2**60 + 1: "ACGT" * 9000}
+    df = spark.createDataFrame(list(seqs.items()), "read long, sequence string")
+    flip = str.maketrans("ACGT", "TGCA")
+    for k, canonical in ((3, True), (3, False), (31, True)):
+        want = {}
+        for key, s in seqs.items():
+            words = [w for w in ((s or "")[i : i + k] for i in range(len(s or "") - k + 1)) if set(w) <= set("ACGT")]
+            words = [min(w, w.translate(flip)[::-1]) for w in words] if canonical else words
+            want |= {(key, w): words.count(w) / len(words) for w in set(words)}
+        assert {tuple(r)[:2]: r["frequency"] for r in kmer.frequencies(df, "read", k, canonical).collect()} == pytest.approx(want)
