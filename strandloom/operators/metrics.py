@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.operators.sampling import running_total
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -49,15 +50,25 @@ def calibration_bins(df: DataFrame, confidence: str, correct: str, n_bins: int =
     return every.join(by, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"), S.round_to(F.col("c")).alias("mean_confidence"), S.round_to(F.col("a")).alias("accuracy"))
 
 
+def median(df: DataFrame, column: str) -> DataFrame:
+    """One row with the exact median of the numbers of a column, null without any. Values are counted and summed up by ranges, so that
+    no task holds all distinct ones."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    x = running_total(counts, "v", "k").crossJoin(F.broadcast(counts.agg(F.sum("k").alias("n"))))
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("k")), F.col("v")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return x.agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def calibration_summary(df: DataFrame, confidence: str, correct: str, brier: Column, n_bins: int = 15) -> DataFrame:
     """Mean and median confidence, Brier score, expected calibration error, confidence categories."""
     x = df.select(F.col(confidence).alias("c"), F.col(correct).cast("double").alias("h"), brier.alias("b"))
     by = x.where("c > 0").groupBy(F.ceil(F.col("c") * n_bins).alias("bin")).agg(F.sum("c").alias("sc"), F.sum("h").alias("sh"))
     ece = by.agg(F.coalesce(F.sum(F.abs(F.col("sc") - F.col("sh"))), F.lit(0.0)).alias("gap"))
     r = S.round_to
-    one = x.agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.percentile("c", F.lit(0.5)).alias("median"), F.avg("b").alias("brier"), F.count(F.when(F.col("c") >= 0.9, 1)).alias("high"),
+    one = x.agg(F.count("*").alias("n"), F.avg("c").alias("mean"), F.avg("b").alias("brier"), F.count(F.when(F.col("c") >= 0.9, 1)).alias("high"),
                 F.count(F.when((F.col("c") >= 0.7) & (F.col("c") < 0.9), 1)).alias("medium"), F.count(F.when(F.col("c") < 0.7, 1)).alias("low"))
-    return one.crossJoin(ece).select("n", r(F.col("mean")).alias("mean_confidence"), r(F.col("median")).alias("median_confidence"), r(F.col("brier")).alias("brier_score"), r(F.col("gap") / F.col("n")).alias("expected_calibration_error"), "high", "medium", "low")
+    return one.crossJoin(ece).crossJoin(median(x, "c")).select("n", r(F.col("mean")).alias("mean_confidence"), r(F.col("median")).alias("median_confidence"), r(F.col("brier")).alias("brier_score"), r(F.col("gap") / F.col("n")).alias("expected_calibration_error"), "high", "medium", "low")
 
 
 # ---- partitions

@@ -14,15 +14,29 @@ from strandloom.functions import sequences as S
 SPLIT_SHIFT = 40
 
 
-def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20) -> DataFrame:
-    """df with idx, the 0-based place of each row in the order of an integer key, without a task that holds all rows.
+def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with idx, the 0-based place of each row in the order of an integer key, within the columns `by` (not null) if there are
+    any, without a task that holds all rows.
 
     Keys fall into ranges of rows_per_block; counts of the ranges, few rows, give where each one starts."""
     block = F.floor(F.col(key) / rows_per_block).cast("bigint")
-    starts = df.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    x = df.withColumn("_block", block).join(starts, "_block")
-    return x.withColumn("idx", F.col("_start") + F.row_number().over(W.partitionBy("_block").orderBy(key)) - 1).drop("_block", "_start")
+    starts = df.groupBy(*by, block.alias("_block")).agg(F.count("*").alias("_n"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    x = df.withColumn("_block", block).join(starts, [*by, "_block"])
+    return x.withColumn("idx", F.col("_start") + F.row_number().over(W.partitionBy(*by, "_block").orderBy(key)) - 1).drop("_block", "_start")
+
+
+def running_total(df: DataFrame, key: str, value: str, ranges: int = 4096) -> DataFrame:
+    """df with before, the sum of an integer value over all rows of lower key. Keys are distinct numbers.
+
+    Ranges are of equal width between the least and the greatest key; the sums of the ranges, `ranges` rows at most, say where each starts."""
+    ends = df.agg(F.min(key).cast("double").alias("_lo"), F.max(key).cast("double").alias("_hi"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (ranges - 1))).otherwise(F.lit(0)).cast("int")
+    x = df.crossJoin(F.broadcast(ends)).withColumn("_range", at).drop("_lo", "_hi")
+    earlier = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = x.groupBy("_range").agg(F.sum(value).alias("_v")).withColumn("_start", earlier(("_v", W.orderBy("_range")))).drop("_v")
+    x = x.join(F.broadcast(starts), "_range")
+    return x.withColumn("before", F.col("_start") + earlier((value, W.partitionBy("_range").orderBy(key)))).drop("_range", "_start")
 
 
 def systematic_sample(passed: DataFrame, size: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.operators.sampling import running_index, running_total
 
 
 def health(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -142,7 +143,7 @@ def retrieval(pairs: DataFrame, n_distractors: int = 99, seed: int = 42, control
     unit = lambda c: S.l2_normalize(S.as_double(F.col(c)))
     pool = F.col("right_end") if controlled else F.lit(0)
     x = pairs.select("pair_id", unit("left_vec").alias("l"), unit("right_vec").alias("r"), pool.cast("int").alias("pool")).where("pool >= 0")
-    x = x.withColumn("place", F.row_number().over(W.partitionBy("pool").orderBy("pair_id")) - 1)
+    x = running_index(x, "pair_id", by=("pool",)).withColumnRenamed("idx", "place")
     sizes = x.groupBy("pool").agg(F.count("*").alias("n"))
     q = x.join(F.broadcast(sizes), "pool").where((F.col("n") > n_distractors) if controlled else (F.col("n") > 1))
     q = q.select("pair_id", "l", "pool", "n", "place", S.dot(F.col("l"), F.col("r")).alias("mate_similarity"), F.explode(F.sequence(F.lit(0), F.lit(n_distractors - 1))).alias("j"))
@@ -171,10 +172,10 @@ def retrieval_summary(r: DataFrame, n_distractors: int = 99) -> DataFrame:
 def auroc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve of (score, positive), with average ranks on ties.
 
-    Scores are counted first; a running sum over distinct scores gives what lies below each."""
+    Scores are counted first; a running sum over distinct scores, by ranges of scores, gives what lies below each. Rows without a
+    score are left out."""
     by = scores.groupBy("score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum(1 - F.col("positive").cast("bigint")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = by.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    x = running_total(by, "score", "n").withColumn("wins", F.col("p") * (F.col("before") + F.col("n") / 2))
     return x.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), S.round_to(F.sum("wins") / (F.sum("p") * F.sum("n"))).alias("auroc"))
 
 

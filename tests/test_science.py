@@ -273,3 +273,20 @@ def test_chance_information_equals_every_overlap():
         every = sum(k / n * math.log(n * k / (x * y)) * float(Fraction(c(x, k) * c(n - x, y - k), c(n, y))) for k in range(max(1, x + y - n), min(x, y) + 1))
         assert metrics._expected_information(x, y, n) == pytest.approx(every, abs=1e-12)
         assert metrics._expected_information(x, y, n, block=3) == pytest.approx(every, abs=1e-12)
+
+
+def test_running_totals_and_medians_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    for v in (rng.normal(size=101), rng.integers(0, 4, size=60).astype(float), np.array([2.5]), np.array([1.0, 4.0]), np.array([0.0, 1e300, -np.inf])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+        assert metrics.median(df, "v").first()["median"] == np.median(v)
+        by = df.where("v IS NOT NULL").groupBy("v").count()
+        got = {r["v"]: r["before"] for r in sampling.running_total(by, "v", "count", 8).collect()}
+        assert got == {x: int((v < x).sum()) for x in set(v.tolist())}
+    assert metrics.median(spark.createDataFrame([], "v double"), "v").first()["median"] is None
+
+
+def test_running_index_within_groups(spark):
+    df = spark.range(200).selectExpr("id * 3 AS k", "id % 3 AS g")
+    rows = sampling.running_index(df, "k", 16, ("g",)).collect()
+    assert {(r["g"], r["k"]): r["idx"] for r in rows} == {(i % 3, i * 3): i // 3 for i in range(200)}
