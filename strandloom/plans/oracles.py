@@ -263,6 +263,10 @@ SQL |= {
     "kmer_frequencies": f"""WITH {PASSED}, w AS (SELECT record_index, substring(sequence, CAST(i AS INTEGER), 3) AS k FROM (SELECT record_index, sequence, unnest(range(1, length(sequence) - 1)) AS i FROM passed)),
       v AS (SELECT record_index, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer FROM w WHERE NOT regexp_matches(k, '[^ACGT]'))
       SELECT record_index, kmer, {rnd('CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY record_index)')} AS frequency FROM v GROUP BY 1, 2""",
+    "kmer_encode": f"""WITH {PASSED}, w AS (SELECT record_index, substring(sequence, CAST(i AS INTEGER), 4) AS k FROM (SELECT record_index, sequence, unnest(range(1, length(sequence) - 2)) AS i FROM passed)),
+      c AS (SELECT record_index, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM w WHERE NOT regexp_matches(k, '[^ACGT]') GROUP BY 1, 2),
+      m AS (SELECT record_index, CAST(1 AS DOUBLE) AS total, {rnd('CAST(CAST(max(n) / sum(n) AS FLOAT) AS DOUBLE)', 5)} AS largest FROM c GROUP BY 1)
+      SELECT record_index, CAST(137 AS BIGINT) AS dim, coalesce(total, 0) AS total, coalesce(largest, 0) AS largest FROM passed LEFT JOIN m USING (record_index)""",
     "kmer_rc_invariance": f"WITH {PASSED} SELECT CAST(count(*) AS BIGINT) AS n, true AS invariant FROM passed",
     "word_sets": f"""WITH {PASSED}, w AS (SELECT record_index, substring(sequence, CAST(i AS INTEGER), 8) AS k FROM (SELECT record_index, sequence, unnest(range(1, length(sequence) - 6)) AS i FROM passed))
       SELECT record_index, CAST(count(DISTINCT k) AS BIGINT) AS n_words, min(k) AS first_word FROM w WHERE NOT regexp_matches(k, '[^ACGT]') GROUP BY 1""",
@@ -287,6 +291,10 @@ SQL |= {
       t AS (SELECT count(*) AS n, count(*) FILTER (WHERE fa.hit AND NOT fb.hit) AS a, count(*) FILTER (WHERE NOT fa.hit AND fb.hit) AS b, count(*) FILTER (WHERE fa.hit IS NULL OR fb.hit IS NULL) AS u FROM fa FULL JOIN fb USING (pair_id)),
       x AS (SELECT *, CAST(a - b AS DOUBLE) / n AS d, 1.96 * sqrt(a + b) / n AS h FROM t)
       SELECT CAST(n AS BIGINT) AS n, CAST(a AS BIGINT) AS only_a, CAST(b AS BIGINT) AS only_b, CAST(u AS BIGINT) AS unmatched, {rnd('d')} AS difference, {rnd('d - h')} AS ci95_lower, {rnd('d + h')} AS ci95_upper FROM x""",
+    "mcnemar_exact": f"""WITH fa AS (WITH {retrieved()} SELECT pair_id, rank <= 5 AS hit FROM rq), fb AS (WITH {retrieved(32)} SELECT pair_id, rank <= 5 AS hit FROM rq),
+      t AS (SELECT CAST(count(*) FILTER (WHERE fa.hit AND NOT fb.hit) AS BIGINT) AS a, CAST(count(*) FILTER (WHERE NOT fa.hit AND fb.hit) AS BIGINT) AS b FROM fa JOIN fb USING (pair_id)),
+      u AS (SELECT a, b, unnest(range(greatest(a, b), a + b + 1)) AS i FROM t), p AS (SELECT least(1, 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))) AS p FROM u)
+      SELECT a AS only_a, b AS only_b, CASE WHEN a + b > 0 THEN {rnd('p')} END AS p_value, CASE WHEN a + b = 0 THEN 'no discordant queries' WHEN p >= 0.05 THEN 'not significant' WHEN a > b THEN 'first better' ELSE 'second better' END AS verdict FROM t, p""",
     "encoder_comparison": f"""WITH fa AS ({retrieval_row(32)}), fb AS ({retrieval_row()}), m AS (SELECT unnest(['top1_accuracy', 'top5_accuracy', 'mean_reciprocal_rank']) AS metric, unnest([fa.top1_accuracy, fa.top5_accuracy, fa.mean_reciprocal_rank]) AS baseline,
       unnest([fb.top1_accuracy, fb.top5_accuracy, fb.mean_reciprocal_rank]) AS foundation FROM fa, fb) SELECT *, CASE WHEN abs(baseline - foundation) <= 1e-6 THEN 'tie' WHEN baseline > foundation THEN 'baseline' ELSE 'foundation' END AS winner FROM m""",
     "nb_fit": f"WITH {WORDS} SELECT word, lang AS label, {rnd('log_prior')} AS log_prior, {rnd('gain')} AS gain FROM gw",
@@ -324,6 +332,11 @@ SQL |= {
     "variance_explained": f"WITH {CLUSTERED} SELECT {explained('gcv')} AS gc, {explained('log10(n + 1)')} AS log_abundance",
     "adjusted_rand": agreement("SELECT label AS a, vec_id // 7 % 10 AS b FROM embeddings"),
     "fowlkes_mallows": agreement("SELECT lang AS a, source AS b FROM documents"),
+    "adjusted_mutual_information": f"""WITH c AS (SELECT lang, source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY ALL), a AS (SELECT lang, sum(n) AS x FROM c GROUP BY 1), b AS (SELECT source, sum(n) AS y FROM c GROUP BY 1),
+      t AS (SELECT sum(n) AS n, sum(n * ln(n)) AS joint FROM c), s AS (SELECT t.n, ln(t.n) - (SELECT sum(x * ln(x)) FROM a) / t.n AS ha, ln(t.n) - (SELECT sum(y * ln(y)) FROM b) / t.n AS hb, ln(t.n) - joint / t.n AS hab FROM t),
+      k AS (SELECT x, y, n, unnest(range(CAST(greatest(1, x + y - n) AS BIGINT), CAST(least(x, y) AS BIGINT) + 1)) AS i FROM a, b, t),
+      e AS (SELECT sum(i / n * ln(n * i / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(i + 1) - lgamma(x - i + 1) - lgamma(y - i + 1) - lgamma(n - x - y + i + 1))) AS e FROM k)
+      SELECT {rnd('(ha + hb - hab - e) / ((ha + hb) / 2 - e)')} AS ami FROM s, e""",
     "cost_projection": f"SELECT CAST(count(*) AS BIGINT) AS reads, {rnd('count(*) / CAST(15000 AS DOUBLE)')} AS projected_seconds, CAST(count(*) * 136 * 4 AS BIGINT) AS storage_bytes FROM events",
     "abundance_marker_size": f"WITH {VARIANTS}, t AS (SELECT * FROM vt WHERE variant_id < 20000) SELECT variant_id, {rnd('3 + 260 * sqrt(CAST(n AS DOUBLE) / max(n) OVER ())')} AS size FROM t",
 }

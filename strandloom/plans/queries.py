@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ def _spectrum(spark, d) -> DataFrame:
 
 def _variants(spark, d) -> DataFrame:
     v = variants.variant_table(_counts(spark, d), top=100_000)
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)  # 100,000 rows at most, read up to five times; lost blocks are computed again
     ends = amplicon.end_groups(v.withColumn("record_index", F.col("variant_id")))
     return ends.drop("record_index")
 
@@ -588,7 +590,7 @@ def fowlkes_mallows(spark, d):
 @query
 def adjusted_mutual_information(spark, d):
     x = metrics.adjusted_mutual_information(R.table(spark, d, "documents"), "lang", "source")
-    return spark.createDataFrame([(x,)], "ami double")
+    return spark.createDataFrame([(x,)], "ami double").select(_r("ami").alias("ami"))
 
 
 @query
@@ -628,6 +630,15 @@ def abundance_marker_size(spark, d):
     return v.select("variant_id", _r(3 + 260 * F.sqrt(F.col("count") / F.max("count").over(W.partitionBy(F.lit(0))))).alias("size"))
 
 
+@query
+def mcnemar_exact(spark, d):
+    a = _retrieved(spark, d).select("pair_id", (F.col("rank") <= 5).alias("hit"))
+    pairs = R.vector_pairs(spark, d).withColumn("left_vec", F.slice("left_vec", 1, 32)).withColumn("right_vec", F.slice("right_vec", 1, 32))
+    r = vectors.mcnemar(a, vectors.retrieval(pairs, 20).select("pair_id", (F.col("rank") <= 5).alias("hit")), "pair_id", "hit")
+    x = spark.createDataFrame([(r["only_a"], r["only_b"], r.get("p_value"), r["verdict"])], "only_a long, only_b long, p_value double, verdict string")
+    return x.withColumn("p_value", _r("p_value"))
+
+
 @query
 def encoder_comparison(spark, d):
     """Who wins each metric, the full vectors or their first half, with a tolerance."""
