@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,17 +28,20 @@ def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20, by: tu
     return x.withColumn("idx", F.col("_start") + F.row_number().over(W.partitionBy(*by, "_block").orderBy(key)) - 1).drop("_block", "_start")
 
 
-def running_total(df: DataFrame, key: str, value: str, ranges: int = 4096) -> DataFrame:
-    """df with before, the sum of an integer value over all rows of lower key. Keys are distinct numbers.
+def value_range(key: Column, ranges: int = 1 << 16) -> Column:
+    """The number of a range of numbers, rising with them; ranges are finest about 0 and need no look at the data."""
+    return F.floor(F.atan(key) * (ranges / math.pi)).cast("int")
+
+
+def running_total(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df with before, the sum of an integer value over all rows of lower key; keys are distinct numbers.
 
-    Ranges are of equal width between the least and the greatest key; the sums of the ranges, `ranges` rows at most, say where each starts."""
-    ends = df.agg(F.min(key).cast("double").alias("_lo"), F.max(key).cast("double").alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (ranges - 1))).otherwise(F.lit(0)).cast("int")
-    x = df.crossJoin(F.broadcast(ends)).withColumn("_range", at).drop("_lo", "_hi")
-    earlier = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = x.groupBy("_range").agg(F.sum(value).alias("_v")).withColumn("_start", earlier(("_v", W.orderBy("_range")))).drop("_v")
+    The sums of the ranges, few rows, say where each one starts."""
+    x = df.withColumn("_range", value_range(F.col(key)))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = x.groupBy("_range").agg(F.sum(value).alias("_v")).withColumn("_start", earlier("_v", W.orderBy("_range"))).drop("_v")
     x = x.join(F.broadcast(starts), "_range")
-    return x.withColumn("before", F.col("_start") + earlier((value, W.partitionBy("_range").orderBy(key)))).drop("_range", "_start")
+    return x.withColumn("before", F.col("_start") + earlier(value, W.partitionBy("_range").orderBy(key))).drop("_range", "_start")
 
 
 def systematic_sample(passed: DataFrame, size: int) -> DataFrame:

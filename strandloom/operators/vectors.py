@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-from strandloom.operators.sampling import running_index, running_total
+from strandloom.operators.sampling import running_index, value_range
 
 
 def health(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -172,10 +172,14 @@ def retrieval_summary(r: DataFrame, n_distractors: int = 99) -> DataFrame:
 def auroc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve of (score, positive), with average ranks on ties.
 
-    Scores are counted first; a running sum over distinct scores, by ranges of scores, gives what lies below each. Rows without a
+    Scores are counted first; running sums within ranges of scores and over these ranges give what lies below each. Rows without a
     score are left out."""
-    by = scores.groupBy("score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum(1 - F.col("positive").cast("bigint")).alias("n"))
-    x = running_total(by, "score", "n").withColumn("wins", F.col("p") * (F.col("before") + F.col("n") / 2))
+    by = scores.where("score IS NOT NULL").groupBy("score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum(1 - F.col("positive").cast("bigint")).alias("n"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    by = by.withColumn("_range", value_range(F.col("score")))
+    by = by.withColumn("_w", F.col("p") * (earlier("n", W.partitionBy("_range").orderBy("score")) + F.col("n") / 2))
+    sums = by.groupBy("_range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("_w").alias("_w"))
+    x = sums.withColumn("wins", F.col("_w") + F.col("p") * earlier("n", W.orderBy("_range")))
     return x.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), S.round_to(F.sum("wins") / (F.sum("p") * F.sum("n"))).alias("auroc"))
 
 
