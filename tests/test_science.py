@@ -290,3 +290,17 @@ def test_running_index_within_groups(spark):
     df = spark.range(200).selectExpr("id * 3 AS k", "id % 3 AS g")
     rows = sampling.running_index(df, "k", 16, ("g",)).collect()
     assert {(r["g"], r["k"]): r["idx"] for r in rows} == {(i % 3, i * 3): i // 3 for i in range(200)}
+
+
+def test_cross_validation_and_projection(spark):
+    rows = [(i, "ab"[i % 2], ["x", "y", "z"] if i % 2 else ["p", "q", "r"]) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, label string, words array<string>")
+    got = taxonomy.cross_validate(df, "id", df["words"], "label", k=2, n_bootstrap=4).collect()
+    assert sum(r["n"] for r in got) == 24 and all(r["accuracy"] == 1 and r["confidence_correct"] == 1 and r["confidence_wrong"] is None for r in got)
+
+    v = np.random.default_rng(8).normal(size=(30, 4))
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    axes = np.eye(4)[:2]
+    coords = {r["id"]: r["coords"] for r in vectors.project(e, axes.tolist()).collect()}
+    want = ((v - v.mean(0)) / v.std(0)) @ axes.T
+    assert all(np.allclose(coords[i], want[i]) for i in range(30))
