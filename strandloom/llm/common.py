@@ -8,8 +8,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -68,6 +70,53 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+# ---------------------------------------------------------------- places in order
+
+
+def _count_within(group: str):
+    """_pos: the place of each row among its task's rows of the same group; a group's rows come together."""
+
+    def run(batches):
+        last, n = None, 0
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(group))
+            ends = runs.run_ends.to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.concatenate(([0], ends[:-1]))
+            pos = np.arange(batch.num_rows) - np.repeat(starts, ends - starts)
+            if len(ends):
+                names = runs.values
+                if names[0].as_py() == last:
+                    pos[: ends[0]] += n
+                last, n = names[-1].as_py(), int(pos[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pos)], [*batch.schema.names, "_pos"])
+
+    return run
+
+
+def ranked(df: DataFrame, group: str, order: list[str], name: str, keep: list[str]) -> DataFrame:
+    """df, written, with _pos: each row's place from 0 among the rows of its group (a string, never null) by order, nulls first.
+
+    Rows are dealt out by ranges of group and order, so that a group that holds most rows spreads over all tasks, as do rows
+    alike in both, by the tasks that they come from. Places are counted within a task; where a group goes on in a later task,
+    what the earlier ones hold of it is added, for which the driver takes one row a task."""
+    spark, by = df.sparkSession, [group, *order]
+    dealt = df.withColumn("_from", F.spark_partition_id()).repartitionByRange(*by, "_from").sortWithinPartitions(*by, "_from").drop("_from").withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_pos", T.LongType())])
+    out = materialize(dealt.mapInArrow(_count_within(group), schema), name, keep)
+    ends = out.groupBy("_part").agg(F.min(group).alias("low"), F.max(F.struct(group, "_pos")).alias("high")).collect()
+    goes_on, held, before = None, 0, []
+    for r in sorted(ends, key=lambda r: r["_part"]):
+        start = held if r["low"] == goes_on else 0
+        if start:
+            before.append((r["_part"], r["low"], start))
+        held = r["high"]["_pos"] + 1 + (start if r["high"][group] == r["low"] else 0)
+        goes_on = r["high"][group]
+    if before:
+        more = F.broadcast(spark.createDataFrame(before, f"_part int, {group} string, _before long"))  # a row a task at most
+        out = out.join(more, ["_part", group], "left").withColumn("_pos", F.col("_pos") + F.coalesce("_before", F.lit(0))).drop("_before")
+    return out.drop("_part")
+
+
 # ---------------------------------------------------------------- hashing of texts
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embdedup, extraction, mixing, neardup, repeats, secrets, sharding, toxicity, warc
+from . import decontamination, embdedup, extraction, merkle, mixing, neardup, repeats, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op6_warc": warc.SQL,
     "op7_embedding_dedup": embdedup.SQL,
     "op10_secret_scan": secrets.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
