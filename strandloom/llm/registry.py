@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embdedup, extraction, merkle, mixing, neardup, quality, repeats, secrets, sharding, toxicity, warc
+from . import decontamination, embdedup, extraction, merkle, mixing, neardup, quality, repeats, secrets, sharding, toxicity, turns, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_conversation_repair": turns.op11_conversation_repair,
     "op12_quality_rules": quality.op12_quality_rules,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
