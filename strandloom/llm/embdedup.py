@@ -104,7 +104,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     zero = ~F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("ok", F.coalesce(F.col("label").isNotNull() & ~bad & ~zero, F.lit(False)))
     v = v.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # no negative zeros
-    v = v.withColumn("id", F.when(F.col("ok"), F.md5(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("embedding").cast("array<string>"), ",")))))
+    name = F.col("label").cast("string")  # its length comes first, so that no label and vector read as another label and vector
+    v = v.withColumn("id", F.when(F.col("ok"), F.md5(F.concat_ws(":", F.length(name), name, F.size("embedding"), F.array_join(F.col("embedding").cast("array<string>"), ",")))))
     slim = materialize(v.select("vec_id", "id"), "vectors")
     classes = v.where("ok").groupBy("id").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("dim", F.size("embedding")), "classes", keep)

@@ -438,6 +438,12 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
     assert embdedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_link_only_within_label_and_length(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [2.0], "a,1.0"), (3, [5.0, -1.0], "a"), (4, [1.0, 2.0], "a:2"), (5, [2.0, 1.0, 2.0], "a"), (6, [1.0, 2.0], "a"), (7, [1.0, 2.0], ""), (8, [2.0], "2:1.0")]
+    got = embdedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (1, 1), 7: (0, 7), 8: (0, 8)}
+
+
 def test_quantised_bounds_hold():
     import numpy as np
 
