@@ -607,14 +607,31 @@ def cluster_tendency(spark, d):
 @query
 def linear_probe(spark, d):
     x = sampling.stratified_split(R.table(spark, d, "embeddings"), "label", F.col("vec_id"))
-    p = train.train_probe(x, "vec_id", hidden=(0, 32), epochs=15)
+    p = train.train_probe(x, "vec_id", hidden=(0, 256))
     return p.groupBy("hidden").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy"))
 
 
+def _banded_variants(spark, d) -> DataFrame:
+    """All variants with an end, split; teacher has 4-mers and GC, student 2-mers and abundance; label is end and band of GC, parent the end."""
+    v = amplicon.end_groups(variants.variant_table(_counts(spark, d)).withColumn("record_index", F.col("variant_id"))).where("end >= 0")
+    band = F.when(F.col("gc_content") < 0.49, "low").when(F.col("gc_content") < 0.53, "middle").otherwise("high")
+    v = v.select("variant_id", "sequence", "count", F.col("end").cast("string").alias("parent"), F.concat_ws(":", F.col("end").cast("string"), band).alias("label"))
+    v = v.withColumn("teacher", kmer.encode(F.col("sequence"), kmer.KmerEncoder(4, include_gc=True)))
+    v = train.student_features(v, kmer.encode(F.col("sequence"), kmer.KmerEncoder(2)))
+    return sampling.stratified_split(v.drop("sequence"), "label", F.col("variant_id"))
+
+
 @query
 def distillation_sweep(spark, d):
-    x = sampling.stratified_split(R.table(spark, d, "embeddings"), "label", F.col("vec_id")).withColumn("student", F.slice("embedding", 1, 16))
-    return train.distil(x, "vec_id", "embedding", "student", ((0.0, 1.0), (0.4, 4.0)), epochs=10)
+    alphas, temperatures = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
+    grid = tuple(dict.fromkeys([(a, 4.0) for a in alphas] + [(0.4, t) for t in temperatures]))
+    return train.distil(_banded_variants(spark, d), "variant_id", "teacher", "student", grid)
+
+
+@query
+def distillation_parents(spark, d):
+    out, _ = train.distillation(_banded_variants(spark, d), "variant_id", "teacher", "student", parent="parent", hierarchical_weight=0.3)
+    return out.groupBy("branch").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy"))
 
 
 @query

@@ -194,18 +194,31 @@ def _labelled(run: Run, rank: str = "class"):
     return sampling.stratified_split(x, "label", F.col("seq_id"), tuple(run.cfg["classification"]["split"][:2]), run.cfg["seed"])
 
 
+def _training(c: dict) -> dict:
+    return {"lr": c["lr"], "decay": c["weight_decay"], "batch_size": c["batch_size"]}
+
+
 def train_stage(run: Run):
-    p = run.table("predictions", lambda: train.train_probe(_labelled(run), "seq_id", hidden=(0, run.cfg["classification"]["hidden_dim"]), epochs=run.cfg["classification"]["epochs"]))
-    return run.metrics("classification_metrics", {str(h): _row(metrics.summary(p.where(F.col("hidden") == h), "truth", "predicted")) for h in (0, run.cfg["classification"]["hidden_dim"])})
+    c = run.cfg["classification"]
+    hidden = (0,) if c["model"] == "linear" else (c["hidden_dim"],)
+    p = run.table("predictions", lambda: train.train_probe(_labelled(run), "seq_id", hidden=hidden, epochs=c["epochs"], seed=run.cfg["seed"], **_training(c)))
+    return run.metrics("classification_metrics", _row(metrics.summary(p, "truth", "predicted")) | {"model": c["model"]})
 
 
 def distill(run: Run, ablation: bool = False):
-    d = run.cfg["distillation"]
+    """The teacher reads the stored vectors of the variants, the student their k-mers and how many reads they have."""
+    d, c = run.cfg["distillation"], run.cfg["classification"]
     grid = [(d["alpha"], d["temperature"])] if not ablation else [(a, d["temperature"]) for a in d["alpha_grid"]] + [(d["alpha"], t) for t in d["temperature_grid"]]
     x = _labelled(run, d["ablation_rank"] if ablation else "class")
-    counts = run.variants().select(F.concat(F.lit("variant_"), F.col("variant_id").cast("string")).alias("seq_id"), "count")
-    x = train.student_features(variants.with_counts(x, counts, "seq_id"), F.slice("embedding", 1, 32), d["include_abundance"])
-    return run.metrics("distillation_ablation" if ablation else "distillation_metrics", [r.asDict() for r in train.distil(x, "seq_id", "embedding", "student", tuple(dict.fromkeys(grid)), epochs=d["epochs"]).collect()])
+    known = run.variants().select(F.concat(F.lit("variant_"), F.col("variant_id").cast("string")).alias("seq_id"), "sequence", "count")
+    x = variants.with_counts(x, known.select("seq_id", "count"), "seq_id").join(known.select("seq_id", "sequence"), "seq_id")
+    encoder = kmer.build_encoder("kmer", **{k: v for k, v in run.cfg["baseline"].items() if k in ("k", "canonical", "include_gc")})
+    x = train.student_features(x, kmer.encode(F.col("sequence"), encoder), d["include_abundance"])
+    how = {"epochs": d["epochs"], "seed": run.cfg["seed"], "hidden": c["hidden_dim"], "teacher_head": d["teacher_head"], **_training(c)}
+    rows = [r.asDict() for r in train.distil(x, "seq_id", "embedding", "student", tuple(dict.fromkeys(grid)), **how).collect()]
+    for r in rows:
+        r["p_value"] = vectors.binomial_two_sided(r["only_distilled"], r["only_alone"])
+    return run.metrics("distillation_ablation" if ablation else "distillation_metrics", rows)
 
 
 def distill_ablation(run: Run):
