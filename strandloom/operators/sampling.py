@@ -29,8 +29,9 @@ def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20, by: tu
 
 
 def value_range(key: Column, ranges: int = 1 << 16) -> Column:
-    """The number of a range of numbers, rising with them; ranges are finest about 0 and need no look at the data."""
-    return F.floor(F.atan(key) * (ranges / math.pi)).cast("int")
+    """The number of a range of numbers, rising with them; ranges are finest about 0, a hundredth of the number itself far from it,
+    and need no look at the data."""
+    return (F.floor(F.atan(key) * (ranges / math.pi)) + F.floor(F.asinh(F.greatest(F.lit(-1e150), F.least(F.lit(1e150), key))) * 100)).cast("int")
 
 
 def running_total(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -98,5 +99,14 @@ def min_class_size(df: DataFrame, label: str, least: int) -> DataFrame:
 
 
 def kfold(df: DataFrame, key: Column, k: int = 5, seed: int = 42) -> DataFrame:
-    """df with fold, by a draw; folds are equal in expectation, without a global order."""
-    return df.withColumn("fold", F.pmod(S.hash_draw(F.concat(F.lit(f"fold:{seed}:"), key.cast("string"))), F.lit(k)).cast("int"))
+    """df with fold: rows in the order of a draw by key, dealt out in turn, so that folds differ by one row at most.
+
+    Draws fall into ranges, whose counts say where each one starts, so that no task ranks all rows. Rows of one key have one draw,
+    and the order of these is not defined."""
+    x = df.withColumn("_draw", S.hash_draw(F.concat(F.lit(f"fold:{seed}:"), F.coalesce(key.cast("string"), F.lit("")))))
+    x = x.withColumn("_range", F.shiftright("_draw", SPLIT_SHIFT))
+    starts = x.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_k"))  # 2**20 rows at most
+    starts = starts.select("_r", F.coalesce(F.sum("_k").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    x = x.join(starts, F.col("_range") == F.col("_r"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy("_draw")) - 1
+    return x.withColumn("fold", (place % k).cast("int")).drop("_draw", "_range", "_r", "_before")

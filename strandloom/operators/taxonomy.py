@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-
-
-def words_of(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """key, word: the distinct words of each row in long form."""
-    return df.select(key, F.explode(F.array_distinct(words)).alias("word"))
+from strandloom.operators.sampling import kfold
 
 
 def fit(train: DataFrame, words: Column, label: str) -> tuple[DataFrame, DataFrame]:
@@ -27,43 +27,155 @@ def fit(train: DataFrame, words: Column, label: str) -> tuple[DataFrame, DataFra
     return model.select("word", F.ln("prior").alias("log_prior"), gains.alias("gains")), classes
 
 
-def scores(query: DataFrame, key: str, words: Column, model: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, label, score: the log likelihood of every class, less what all classes share."""
-    w = words_of(query, key, words).withColumnRenamed("word", "_w")
-    hit = w.join(model, F.col("_w") == F.col("word"), "left")
-    size = w.groupBy(key).agg(F.count("*").alias("n_words"))
-    gain = hit.where("gains is not null").select(key, F.explode("gains").alias("label", "gain")).groupBy(key, "label").agg(F.sum("gain").alias("gain"))
-    every = size.crossJoin(F.broadcast(classes))
-    return every.join(gain, [key, "label"], "left").select(key, "label", (F.coalesce("gain", F.lit(0.0)) - F.col("n_words") * F.col("log_size")).alias("score"))
+# ---- scoring: counts by word, class and fold; everything else happens within the row
+
+
+#: Counts (word, class, fold) that are broadcast, at some 100 bytes each at most; beyond, words meet their counts in a join.
+TABLE = 2_000_000
+SALT = 16  # shares of a word's rows in that join
 
 
-def classify(query: DataFrame, key: str, words: Column, model: DataFrame, classes: DataFrame) -> DataFrame:
+@dataclass
+class Counts:
+    """cells (word, at, m): m training rows of class and fold number at = fold * classes + class have the word. sizes: fold x class."""
+
+    cells: DataFrame
+    names: list
+    sizes: np.ndarray
+
+
+def count_words(train: DataFrame, words: Column, label: str, fold: Column | None = None, k: int = 1) -> Counts:
+    """One pass over the training rows, whatever the number of folds."""
+    x = train.select(F.col(label).alias("label"), (F.lit(0) if fold is None else fold).cast("int").alias("fold"), F.array_distinct(words).alias("words"))
+    found = x.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()  # classes x folds
+    names = sorted({r["label"] for r in found}, key=lambda v: (v is not None, v.encode() if isinstance(v, str) else v))
+    sizes = np.zeros((k, len(names)))
+    for r in found:
+        sizes[r["fold"], names.index(r["label"])] = r["n"]
+    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label")) - 1 if None not in names else F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names[1:]]), F.col("label")), F.lit(0))
+    at = (F.col("fold") * len(names) + code).cast("int")
+    return Counts(x.select(F.explode("words").alias("word"), at.alias("at")).groupBy("word", "at").agg(F.count("*").alias("m")), names, sizes)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e9 + 0.5) / 1e9
+
+
+class _Scorer:
+    def __init__(self, sizes: np.ndarray, n_bootstrap: int, seed: int):
+        self.sizes, self.n_bootstrap, self.seed = sizes, n_bootstrap, seed
+
+    def best(self, key, n: int, fold: int | None, word: np.ndarray, at: np.ndarray, m: np.ndarray) -> tuple[int | None, int]:
+        """The best class of a row of n words and how many draws of an eighth of them agree. word, at, m: the counts that they have.
+
+        The counts of the row's own fold are taken away first. On a tie the first class wins."""
+        size = self.sizes.sum(0)
+        count = np.zeros((n, len(size)))
+        np.add.at(count, (word, at % len(size)), m)
+        if fold is not None:
+            size = size - self.sizes[fold]
+            own = at // len(size) == fold
+            np.subtract.at(count, (word[own], at[own] % len(size)), m[own])
+        open_ = size > 0
+        if not n or not open_.any():
+            return None, 0
+        prior = (count.sum(1, keepdims=True) + 0.5) / (size.sum() + 1)
+        gain, log_size = np.log((count + prior) / prior) * (count > 0), np.log(size + 1)
+        choose = lambda s: np.where(open_, _rounded(s), -np.inf).argmax(-1)
+        best = int(choose(gain.sum(0) - n * log_size))
+        if not self.n_bootstrap:
+            return best, 0
+        k, head = max(1, n // 8), f"{self.seed}:{key}:"
+        draws = np.array([int(md5(f"{head}{b}:{j}".encode()).hexdigest()[:15], 16) % n for b in range(self.n_bootstrap) for j in range(k)]).reshape(self.n_bootstrap, k)
+        scores = np.stack([gain[:, c][draws].sum(1) for c in range(len(size))], 1) - k * log_size
+        return best, int((choose(scores) == best).sum())
+
+
+CARRIED = ["key", "fold", "truth", "weight"]
+
+
+def _result(parts: list, names: list, batch: pa.RecordBatch) -> pa.RecordBatch:
+    text = pa.array([None if b is None or names[b] is None else str(names[b]) for b, _ in parts], pa.string()).fill_null("")
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in CARRIED), text, pa.array([v for _, v in parts], pa.int64())], [*CARRIED, "predicted", "votes"])
+
+
+def _in_place(shared, names: list, scorer: _Scorer, folded: bool):
+    """Scores rows (key, fold, words) by a broadcast table: the places of words and, one after the other, their counts."""
+
+    def run(batches):
+        place, start, at, m = shared.value
+        for batch in batches:
+            out, folds = [], batch.column("fold").to_pylist()
+            for key, fold, own in zip(batch.column("key").to_pylist(), folds, batch.column("words").to_pylist()):
+                p = np.array([place.get(w, -1) for w in own], np.int64)
+                hit = np.flatnonzero(p >= 0)
+                size = start[p[hit] + 1] - start[p[hit]]
+                cell = np.repeat(start[p[hit]] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(hit) else np.zeros(0, np.int64)
+                out.append(scorer.best(key, len(own), fold if folded else None, np.repeat(hit, size) if len(hit) else hit, at[cell], m[cell]))
+            yield _result(out, names, batch)
+
+    return run
+
+
+def _gathered(names: list, scorer: _Scorer, folded: bool):
+    """Scores rows (key, fold, n, counts), where counts are (place of the word in the row, at, m)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, fold, n, found in zip(*(batch.column(c).to_pylist() for c in ("key", "fold", "n", "counts"))):
+                word, at, m = (np.array([f[c] for f in found], np.int64) for c in ("word", "at", "m"))
+                out.append(scorer.best(key, n, fold if folded else None, word, at, m))
+            yield _result(out, names, batch)
+
+    return run
+
+
+def evaluate(query: DataFrame, key: str, words: Column, counts: Counts, n_bootstrap: int = 0, seed: int = 42, fold: Column | None = None, truth: Column | None = None, weight: Column | None = None) -> DataFrame:
+    """key, fold, truth (as text), weight, predicted, votes, a row for each row of query; predicted is empty for rows without words.
+
+    With fold, a row is scored by the counts of all other folds. A table of at most TABLE counts is broadcast, and a row is scored
+    where it lies; a larger one is joined to the rows' distinct words, salted by row, and a row's counts meet again in one row."""
+    spark, folded = query.sparkSession, fold is not None
+    own = F.coalesce(F.array_sort(F.array_distinct(words)), F.array().cast("array<string>"))
+    q = query.select(F.col(key).alias("key"), (fold if folded else F.lit(0)).cast("int").alias("fold"), (F.lit(None) if truth is None else truth).cast("string").alias("truth"), (F.lit(None) if weight is None else weight).cast("long").alias("weight"), own.alias("words"))
+    kind = dict(q.dtypes)["key"]
+    schema, scorer = f"key {kind}, fold int, truth string, weight long, predicted string, votes long", _Scorer(counts.sizes, n_bootstrap, seed)
+    small = counts.cells.limit(TABLE + 1).toArrow()
+    if small.num_rows <= TABLE:
+        small = small.sort_by("word")
+        place, start = {}, []
+        for i, w in enumerate(small.column("word").to_pylist()):
+            if w not in place:
+                place[w] = len(place)
+                start.append(i)
+        start = np.array([*start, small.num_rows])
+        shared = spark.sparkContext.broadcast((place, start, small.column("at").to_numpy(), small.column("m").to_numpy()))
+        out = q.mapInArrow(_in_place(shared, counts.names, scorer, folded), schema)
+    else:
+        alike = q.groupBy(*CARRIED, "words").agg(F.count("*").alias("times")).withColumn("row", F.md5(F.to_json(F.struct(*CARRIED, "words"), {"ignoreNullFields": "false"})))
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt")
+        asked = alike.select("row", salt, F.posexplode("words").alias("place", "word"))
+        cells = counts.cells.groupBy("word").agg(F.collect_list(F.struct("at", "m")).alias("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # classes x folds at most
+        found = asked.join(cells, ["word", "salt"]).select("row", F.transform("cells", lambda c: F.struct(F.col("place").cast("long").alias("word"), c["at"].cast("long").alias("at"), c["m"].alias("m"))).alias("cells"))
+        found = found.groupBy("row").agg(F.flatten(F.collect_list("cells")).alias("counts"))
+        none = F.array().cast("array<struct<word:bigint,at:bigint,m:bigint>>")
+        x = alike.join(found, "row", "left").select(*CARRIED, F.size("words").alias("n"), F.coalesce("counts", none).alias("counts"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_"))
+        out = x.drop("_").mapInArrow(_gathered(counts.names, scorer, folded), schema)
+    return out.withColumnRenamed("key", key)
+
+
+def classify(query: DataFrame, key: str, words: Column, counts: Counts) -> DataFrame:
     """key, predicted: the best class, the first by name on a tie; empty for rows without words."""
-    s = scores(query, key, words, model, classes).withColumn("score", S.round_to(F.col("score"), 9))
-    w = W.partitionBy(key).orderBy(F.desc("score"), "label")
-    best = s.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, F.col("label").alias("predicted"))
-    return query.select(key).join(best, key, "left").select(key, F.coalesce(F.col("predicted").cast("string"), F.lit("")).alias("predicted"))
+    return evaluate(query, key, words, counts).select(key, "predicted")
 
 
-def bootstrap(query: DataFrame, key: str, words: Column, model: DataFrame, classes: DataFrame, n_bootstrap: int = 100, seed: int = 42) -> DataFrame:
+def bootstrap(query: DataFrame, key: str, words: Column, counts: Counts, n_bootstrap: int = 100, seed: int = 42, weight: Column | None = None) -> DataFrame:
     """key, predicted, votes, confidence: how many of n_bootstrap draws of an eighth of the words agree. Draws are by hash.
 
-    Each row's words carry their gains, and all replicates of a row are scored in one group."""
-    q = query.select(key, F.array_sort(F.array_distinct(words)).alias("_words"))
-    n = F.size("_words")
-    size = F.greatest(F.floor(n / 8), F.lit(1)).cast("int")
-    draws = q.where(n > 0).select(key, "_words", n.alias("n"), size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b"))
-    draws = draws.select(key, "b", "size", "_words", "n", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("j"))
-    at = F.pmod(S.hash_draw(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("b").cast("string"), F.col("j").cast("string"))), F.col("n")).cast("int")
-    drawn = draws.select(key, "b", "size", F.get("_words", at).alias("_w")).groupBy(key, "b", "size", "_w").agg(F.count("*").alias("times"))
-    gain = drawn.join(model, F.col("_w") == F.col("word")).select(key, "b", "times", F.explode("gains").alias("label", "gain")).groupBy(key, "b", "label").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"))
-    every = drawn.select(key, "b", "size").distinct().crossJoin(F.broadcast(classes))
-    s = every.join(gain, [key, "b", "label"], "left").select(key, "b", "label", S.round_to(F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.col("log_size"), 9).alias("score"))
-    w = W.partitionBy(key, "b").orderBy(F.desc("score"), "label")
-    votes = s.withColumn("_r", F.row_number().over(w)).where("_r = 1").groupBy(key, F.col("label").cast("string").alias("vote")).agg(F.count("*").alias("votes"))
-    best = classify(query, key, words, model, classes)
-    x = best.join(votes.withColumnRenamed("vote", "predicted"), [key, "predicted"], "left")
-    return x.select(key, "predicted", F.coalesce("votes", F.lit(0)).cast("bigint").alias("votes"), (F.coalesce("votes", F.lit(0)) / n_bootstrap).alias("confidence"))
+    A weight (reads, say) is passed on."""
+    x = evaluate(query, key, words, counts, n_bootstrap, seed, weight=weight)
+    return x.select(key, "predicted", "votes", (F.col("votes") / n_bootstrap).alias("confidence"), *([] if weight is None else ["weight"]))
 
 
 def assigned(df: DataFrame, threshold: float = 0.7, n_bootstrap: int = 100) -> DataFrame:
@@ -107,16 +219,12 @@ def rank_counts(reference: DataFrame) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, key: str, words: Column, label: str, k: int = 5, n_bootstrap: int = 50, seed: int = 42) -> DataFrame:
-    """fold, n, accuracy, mean confidence when right and when wrong. Folds are by draw; each is one model."""
-    from .sampling import kfold
-
-    folds = kfold(df, F.col(key), k, seed)
-    out = None
-    for f in range(k):
-        model, classes = fit(folds.where(F.col("fold") != f), words, label)
-        test = folds.where(F.col("fold") == f)
-        x = bootstrap(test, key, words, model, classes, n_bootstrap, seed).join(test.select(key, F.col(label).alias("_truth")), key)
-        x = x.select(F.lit(f).alias("fold"), (F.col("predicted") == F.col("_truth").cast("string")).alias("correct"), "confidence")
-        out = x if out is None else out.union(x)
+    """fold, n, accuracy, mean confidence when right and when wrong. Folds are equal, by ranks of draws.
+
+    All folds share one count of words: a row is scored by it less what its own fold has, so no model is fitted anew."""
+    folds = kfold(df.select(F.col(key).alias("_key"), F.col(label).alias("_truth"), words.alias("_words")), F.col("_key"), k, seed)
+    counts = count_words(folds, F.col("_words"), "_truth", F.col("fold"), k)
+    x = evaluate(folds, "_key", F.col("_words"), counts, n_bootstrap, seed, F.col("fold"), F.col("_truth"))
+    x = x.select("fold", (F.col("predicted") == F.col("truth")).alias("correct"), (F.col("votes") / n_bootstrap).alias("confidence"))
     mean = lambda c: S.round_to(F.avg(c))
-    return out.groupBy("fold").agg(F.count("*").alias("n"), mean(F.col("correct").cast("double")).alias("accuracy"), mean(F.when(F.col("correct"), F.col("confidence"))).alias("confidence_correct"), mean(F.when(~F.col("correct"), F.col("confidence"))).alias("confidence_wrong"))
+    return x.groupBy("fold").agg(F.count("*").alias("n"), mean(F.col("correct").cast("double")).alias("accuracy"), mean(F.when(F.col("correct"), F.col("confidence"))).alias("confidence_correct"), mean(F.when(~F.col("correct"), F.col("confidence"))).alias("confidence_wrong"))

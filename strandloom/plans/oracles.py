@@ -201,6 +201,21 @@ bg AS (SELECT doc_id, b, gw.lang, sum(gain) AS gain FROM bd JOIN gw USING (word)
 bs AS (SELECT x.doc_id, x.b, cl.lang, floor((coalesce(bg.gain, 0) - x.size * ln(cl.n + 1)) * 1e9 + 0.5) / 1e9 AS score FROM (SELECT DISTINCT doc_id, b, size FROM bd) x CROSS JOIN cl LEFT JOIN bg ON bg.doc_id = x.doc_id AND bg.b = x.b AND bg.lang = cl.lang),
 bv AS (SELECT doc_id, lang, count(*) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, b ORDER BY score DESC, lang) AS rr FROM bs) WHERE rr = 1 GROUP BY ALL),
 bt AS (SELECT pd.doc_id, predicted, CAST(coalesce(votes, 0) AS BIGINT) AS votes, coalesce(votes, 0) / CAST(100 AS DOUBLE) AS confidence, coalesce(votes, 0) >= 70 AS assigned FROM pd LEFT JOIN bv ON bv.doc_id = pd.doc_id AND bv.lang = pd.predicted)"""
+#: Five folds of rows in the order of a draw; a fold's documents are scored by the counts of the others, 50 draws each.
+FOLDS = WORDS.split(",\nmw AS")[0] + """,
+fo AS (SELECT doc_id, lang, (row_number() OVER (ORDER BY CAST(concat('0x', substring(md5(concat('fold:42:', doc_id)), 1, 15)) AS BIGINT)) - 1) % 5 AS fold FROM documents),
+fw AS (SELECT dw.*, fold FROM dw JOIN fo USING (doc_id)), fm AS (SELECT f.fold, word, fw.lang, count(*) AS m FROM (SELECT DISTINCT fold FROM fo) f JOIN fw ON fw.fold <> f.fold GROUP BY ALL),
+fc AS (SELECT f.fold, fo.lang, count(*) AS n FROM (SELECT DISTINCT fold FROM fo) f JOIN fo ON fo.fold <> f.fold GROUP BY ALL),
+fp AS (SELECT fold, word, (nw + 0.5) / (total + CAST(1 AS DOUBLE)) AS p FROM (SELECT fold, word, sum(m) AS nw FROM fm GROUP BY ALL) JOIN (SELECT fold, sum(n) AS total FROM fc GROUP BY fold) USING (fold)),
+fg AS (SELECT fold, word, lang, ln((m + p) / p) AS gain FROM fm JOIN fp USING (fold, word)),
+fl AS (SELECT doc_id, fold, list(word ORDER BY encode(word)) AS ws, count(*) AS nn FROM fw GROUP BY ALL),
+fd AS (SELECT doc_id, fold, -1 AS b, nn AS size, unnest(ws) AS word FROM fl UNION ALL
+  SELECT doc_id, fold, b, greatest(nn // 8, 1), ws[1 + CAST(concat('0x', substring(md5(concat('42:', doc_id, ':', b, ':', j)), 1, 15)) AS BIGINT) % nn]
+  FROM (SELECT *, unnest(range(50)) AS b FROM fl), LATERAL (SELECT unnest(range(greatest(nn // 8, 1))) AS j)),
+fs AS (SELECT x.doc_id, x.b, fc.lang, floor((coalesce(gain, 0) - size * ln(n + 1)) * 1e9 + 0.5) / 1e9 AS score FROM (SELECT DISTINCT doc_id, fold, b, size FROM fd) x JOIN fc USING (fold)
+  LEFT JOIN (SELECT doc_id, b, lang, sum(gain) AS gain FROM fd JOIN fg USING (fold, word) GROUP BY ALL) g ON g.doc_id = x.doc_id AND g.b = x.b AND g.lang = fc.lang),
+ft AS (SELECT doc_id, b, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, b ORDER BY score DESC, lang) AS rr FROM fs) WHERE rr = 1),
+fv AS (SELECT fo.doc_id, fold, coalesce(p.lang = fo.lang, false) AS correct, (SELECT count(*) FROM ft v WHERE v.doc_id = fo.doc_id AND v.b >= 0 AND v.lang = p.lang) / CAST(50 AS DOUBLE) AS confidence FROM fo LEFT JOIN ft p ON p.doc_id = fo.doc_id AND p.b = -1)"""
 REFERENCE = """
 ra AS (SELECT p_partkey, concat('P', p_partkey) AS accession, translate(concat(md5(concat('p', p_partkey)), md5(concat('q', p_partkey)), md5(concat('r', p_partkey)), md5(concat('s', p_partkey)), md5(concat('t', p_partkey)), md5(concat('u', p_partkey))), '0123456789abcdef', 'ACGUACGUACGUACGU') AS body FROM part),
 rb AS (SELECT *, concat(substring(body, 1, CAST(p_partkey % 60 AS INTEGER)), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'GGGCACCACAAGAACG' END, substring(body, CAST(p_partkey % 60 AS INTEGER) + 1, 192)) AS seq FROM ra),
@@ -306,6 +321,8 @@ SQL |= {
       CAST(count(DISTINCT predicted) FILTER (WHERE assigned) AS BIGINT) AS n_distinct_classes, {rnd('avg(confidence)')} AS mean_confidence, {rnd('median(confidence)')} AS median_confidence,
       list_transform(quantile_cont(confidence, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]), lambda v: {rnd('v', 4)}) AS confidence_deciles,
       {rnd('CAST(sum(n_chars) FILTER (WHERE assigned) AS DOUBLE) / sum(n_chars)')} AS read_assignment_rate FROM x""",
+    "nb_cross_validation": f"""WITH {FOLDS} SELECT CAST(fold AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n, {rnd('avg(CAST(correct AS INTEGER))')} AS accuracy,
+      {rnd('avg(confidence) FILTER (WHERE correct)')} AS confidence_correct, {rnd('avg(confidence) FILTER (WHERE NOT correct)')} AS confidence_wrong FROM fv GROUP BY fold""",
     "top_classes": f"WITH {BOOT} SELECT predicted, CAST(count(*) AS BIGINT) AS n FROM bt WHERE assigned GROUP BY 1 ORDER BY n DESC, predicted LIMIT 15",
     "reference_windows": f"WITH {REFERENCE} SELECT rd.accession, sequence, taxonomy, {RANK_COLUMNS} FROM rd JOIN rl USING (accession) WHERE length(sequence) >= 100 AND taxonomy <> ''",
     "lineage_ranks": f"WITH {REFERENCE} SELECT accession, {RANK_COLUMNS} FROM rl",

@@ -437,32 +437,31 @@ def projection_2d(spark, d):
 
 
 def _nb(spark, d):
-    docs = R.table(spark, d, "documents").select("doc_id", "text", "lang")
-    model, classes = taxonomy.fit(docs, R.words(F.col("text")), "lang")
-    return docs, model, classes
+    docs = R.table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    return R.spread(docs), R.words(F.col("text"))
 
 
 @query
 def nb_fit(spark, d):
-    _, model, _ = _nb(spark, d)
-    x = model.select("word", "log_prior", F.explode("gains").alias("label", "gain"))
+    docs, words = _nb(spark, d)
+    x = taxonomy.fit(docs, words, "lang")[0].select("word", "log_prior", F.explode("gains").alias("label", "gain"))
     return x.select("word", "label", _r("log_prior").alias("log_prior"), _r("gain").alias("gain"))
 
 
 @query
 def nb_class_sizes(spark, d):
-    return taxonomy.class_sizes(_nb(spark, d)[2])
+    return taxonomy.class_sizes(taxonomy.fit(*_nb(spark, d), "lang")[1])
 
 
 @query
 def nb_classify(spark, d):
-    q, model, classes = _nb(spark, d)
-    return taxonomy.classify(q, "doc_id", R.words(F.col("text")), model, classes)
+    docs, words = _nb(spark, d)
+    return taxonomy.classify(docs, "doc_id", words, taxonomy.count_words(docs, words, "lang"))
 
 
-def _boot(spark, d) -> DataFrame:
-    q, model, classes = _nb(spark, d)
-    return taxonomy.assigned(taxonomy.bootstrap(q, "doc_id", R.words(F.col("text")), model, classes, 100), 0.7, 100)
+def _boot(spark, d, key="doc_id") -> DataFrame:
+    docs, words = _nb(spark, d)
+    return taxonomy.assigned(taxonomy.bootstrap(docs, key, words, taxonomy.count_words(docs, words, "lang"), 100), 0.7, 100)
 
 
 @query
@@ -472,8 +471,9 @@ def nb_bootstrap(spark, d):
 
 @query
 def assignment_summary(spark, d):
-    x = _boot(spark, d).join(R.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return taxonomy.assignment_summary(x, "n_chars")
+    docs, words = _nb(spark, d)
+    x = taxonomy.bootstrap(docs, "doc_id", words, taxonomy.count_words(docs, words, "lang"), 100, weight=F.col("n_chars"))
+    return taxonomy.assignment_summary(taxonomy.assigned(x, 0.7, 100), "weight")
 
 
 @query
@@ -483,8 +483,8 @@ def top_classes(spark, d):
 
 @query
 def nb_cross_validation(spark, d):
-    docs = R.table(spark, d, "documents").select("doc_id", "text", "lang")
-    return taxonomy.cross_validate(docs, "doc_id", R.words(F.col("text")), "lang", k=3, n_bootstrap=10)
+    docs, words = _nb(spark, d)
+    return taxonomy.cross_validate(docs, "doc_id", words, "lang", k=5, n_bootstrap=50)
 
 
 @query

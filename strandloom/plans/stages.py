@@ -175,13 +175,13 @@ def assign(run: Run):
     words = word_set(F.col("sequence"), t["kmer_size"])
     for rank, threshold in t["ranks"].items():
         known = ref.where(~F.col(rank).isin("", "NA"))
-        model, classes = taxonomy.fit(known, words, rank)
+        counts = taxonomy.count_words(known, words, rank)
         # only variants of the end that the reference's windows come from can be told apart by them
         q = _ends(run.variants()).where(F.col("end") == t["amplicon_end"]).withColumn("seq_id", F.concat(F.lit("variant_"), F.col("variant_id").cast("string")))
 
-        def build(q=q, model=model, classes=classes, threshold=threshold):
-            b = taxonomy.assigned(taxonomy.bootstrap(q, "seq_id", words, model, classes, t["bootstrap"], run.cfg["seed"]), threshold, t["bootstrap"])
-            b = b.join(q.select("seq_id", "variant_id", F.col("count").alias("read_count")), "seq_id")
+        def build(q=q, counts=counts, threshold=threshold):
+            b = taxonomy.assigned(taxonomy.bootstrap(q, "seq_id", words, counts, t["bootstrap"], run.cfg["seed"], weight=F.col("count")), threshold, t["bootstrap"])
+            b = b.withColumnRenamed("weight", "read_count").withColumn("variant_id", F.substring_index("seq_id", "_", -1).cast("int"))
             return b.select("seq_id", "variant_id", "predicted", F.col("confidence").cast("float").alias("confidence"), "read_count", "assigned")
 
         out[rank] = _row(taxonomy.assignment_summary(run.table(f"variant_labels_{rank}", build), "read_count"))

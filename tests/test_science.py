@@ -163,8 +163,8 @@ def test_naive_bayes_equals_the_dense_formula(spark):
     rows = [(i, f"c{i % 3}", [f"w{rng.randint(0, 8) + 4 * (i % 3)}" for _ in range(12)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, label string, ws array<string>")
     fit, query = df.where("id < 45"), df.where("id >= 45").unionByName(spark.createDataFrame([(99, "", [])], df.schema))
-    model, classes = taxonomy.fit(fit, F.col("ws"), "label")
-    got = {r["id"]: r["predicted"] for r in taxonomy.classify(query, "id", F.col("ws"), model, classes).collect()}
+    counts = taxonomy.count_words(fit, F.col("ws"), "label")
+    got = {r["id"]: r["predicted"] for r in taxonomy.classify(query, "id", F.col("ws"), counts).collect()}
     train_rows = [r for r in rows if r[0] < 45]
     total, names = len(train_rows), sorted({r[1] for r in train_rows})
     nw = Counter(w for r in train_rows for w in set(r[2]))
@@ -175,9 +175,9 @@ def test_naive_bayes_equals_the_dense_formula(spark):
             score.append(sum(math.log((sum(w in s for s in own) + (nw[w] + 0.5) / (total + 1)) / (len(own) + 1)) for w in set(ws)))
         assert got[i] == names[int(np.argmax(score))]
     assert got[99] == ""
-    b = taxonomy.assigned(taxonomy.bootstrap(query, "id", F.col("ws"), model, classes, 10), 0.7, 10).collect()
+    b = taxonomy.assigned(taxonomy.bootstrap(query, "id", F.col("ws"), counts, 10), 0.7, 10).collect()
     assert all(r["predicted"] == got[r["id"]] and 0 <= r["votes"] <= 10 and r["assigned"] == (r["votes"] >= 7) for r in b)
-    assert sorted(map(tuple, b)) == sorted(map(tuple, taxonomy.assigned(taxonomy.bootstrap(query.repartition(5), "id", F.col("ws"), model, classes, 10), 0.7, 10).collect()))
+    assert sorted(map(tuple, b)) == sorted(map(tuple, taxonomy.assigned(taxonomy.bootstrap(query.repartition(5), "id", F.col("ws"), counts, 10), 0.7, 10).collect()))
 
 
 def test_clusters_probe_and_distillation(spark):
@@ -304,3 +304,20 @@ def test_cross_validation_and_projection(spark):
     coords = {r["id"]: r["coords"] for r in vectors.project(e, axes.tolist()).collect()}
     want = ((v - v.mean(0)) / v.std(0)) @ axes.T
     assert all(np.allclose(coords[i], want[i]) for i in range(30))
+
+
+def test_scores_by_join_equal_those_in_place(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(i % 37 or None, rng.choice(["a", "b", "c", None]), [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 30))] or None, i) for i in range(80)]
+    rows += [(5, "a", ["w1", "w2"], 1)] * 3 + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, label string, ws array<string>, n long").withColumn("fold", F.pmod(F.hash("n"), F.lit(3)))
+    counts = taxonomy.count_words(df, F.col("ws"), "label", F.col("fold"), 3)
+    of = lambda: sorted(map(str, taxonomy.evaluate(df, "id", F.col("ws"), counts, 7, 42, F.col("fold"), F.col("label"), F.col("n")).collect()))
+    one = of()
+    monkeypatch.setattr(taxonomy, "TABLE", 10)
+    assert of() == one and len(one) == len(rows)
+    folds = sampling.kfold(spark.range(103), F.col("id"), 5).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [20, 20, 21, 21, 21]
+    assert taxonomy.classify(df.limit(0), "id", F.col("ws"), counts).count() == 0 and taxonomy.count_words(df.limit(0), F.col("ws"), "label").names == []
