@@ -31,7 +31,7 @@ def running_index(df: DataFrame, key: str, rows_per_block: int = 1 << 20, by: tu
 def value_range(key: Column, ranges: int = 1 << 16) -> Column:
     """The number of a range of numbers, rising with them; ranges are finest about 0, a hundredth of the number itself far from it,
     and need no look at the data."""
-    return (F.floor(F.atan(key) * (ranges / math.pi)) + F.floor(F.asinh(F.greatest(F.lit(-1e150), F.least(F.lit(1e150), key))) * 100)).cast("int")
+    return (F.floor(F.atan(key) * (ranges / math.pi)) + F.floor(F.signum(key) * F.asinh(F.least(F.lit(1e150), F.abs(key))) * 100)).cast("int")
 
 
 def running_total(df: DataFrame, key: str, value: str) -> DataFrame:
