@@ -323,6 +323,11 @@ SQL |= {
       {rnd('CAST(sum(n_chars) FILTER (WHERE assigned) AS DOUBLE) / sum(n_chars)')} AS read_assignment_rate FROM x""",
     "nb_cross_validation": f"""WITH {FOLDS} SELECT CAST(fold AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n, {rnd('avg(CAST(correct AS INTEGER))')} AS accuracy,
       {rnd('avg(confidence) FILTER (WHERE correct)')} AS confidence_correct, {rnd('avg(confidence) FILTER (WHERE NOT correct)')} AS confidence_wrong FROM fv GROUP BY fold""",
+    "label_silhouettes": f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, label, g, CASE WHEN g = 0 THEN label ELSE label % 2 END AS c, v FROM e, range(2) r(g)),
+      d AS (SELECT a.vec_id AS id, a.label, a.g, a.c = b.c AS own, b.c, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM c a JOIN c b ON a.g = b.g GROUP BY ALL),
+      m AS (SELECT id, label, g, max(s / greatest(n - 1, 1)) FILTER (WHERE own) AS a, max(n) FILTER (WHERE own) AS n, min(s / n) FILTER (WHERE NOT own) AS b FROM d GROUP BY ALL),
+      z AS (SELECT *, CASE WHEN n > 1 AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM m)
+      SELECT label, CAST(count(DISTINCT id) AS BIGINT) AS n, {rnd('avg(s) FILTER (WHERE g = 0)', 5)} AS by_label, {rnd('avg(s) FILTER (WHERE g = 1)', 5)} AS by_half FROM z GROUP BY label""",
     "top_classes": f"WITH {BOOT} SELECT predicted, CAST(count(*) AS BIGINT) AS n FROM bt WHERE assigned GROUP BY 1 ORDER BY n DESC, predicted LIMIT 15",
     "reference_windows": f"WITH {REFERENCE} SELECT rd.accession, sequence, taxonomy, {RANK_COLUMNS} FROM rd JOIN rl USING (accession) WHERE length(sequence) >= 100 AND taxonomy <> ''",
     "lineage_ranks": f"WITH {REFERENCE} SELECT accession, {RANK_COLUMNS} FROM rl",

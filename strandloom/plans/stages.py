@@ -141,7 +141,7 @@ def analyze(run: Run):
     v = store.load(run.spark, f"{run.output}/embeddings/main")
     p = vectors.pca(v, n_components=run.cfg["analysis"]["pca_components"])
     run.table("coords", lambda: vectors.project(v, p["axes"][:2]).select("sequence_id", "coords"))
-    tend = cluster.tendency(v, "sequence_id", k_grid=tuple(run.cfg["analysis"]["kmeans_k_grid"]), n_init=1)
+    tend = cluster.tendency(v, "sequence_id", k_grid=tuple(run.cfg["analysis"]["kmeans_k_grid"]), sample=run.cfg["analysis"]["silhouette_sample"])
     return run.metrics("embedding_metrics", {k: v for k, v in p.items() if k != "axes"} | {"tendency": [r.asDict() for r in tend.collect()]})
 
 
