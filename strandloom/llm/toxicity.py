@@ -4,12 +4,13 @@ A lexicon turns the words of a text into symbols: insult, threat, target, negati
 Small transducers rewrite them in turn and are composed into one table: negation marks insults and threats in its reach, then
 reported speech marks those told of others or quoted, then a clause transducer takes a clause's end to its kind: an insult
 with a target or without one, a threat with a target, or one that is negated or reported. A clause is read whole, from mark to
-mark, however long. A document's features are how many clauses of each kind it has, the heaviest insult, and the weight of the
-insults and threats that no modifier takes back, as a sum and against the text's length; a logistic model weighs them. What a
-modifier is worth is thus learned.
+mark, however long. A document's features are how many clauses of each kind it has, the heaviest word of the clauses that no
+modifier takes back, and the weight of all their words, as a sum and against the text's length. A logistic model weighs them
+under the grammar's own order: an insult, its target and a threat never lower a score, a negated or reported one never raises
+it. Where the labels tell nothing of a kind, its weight is the one that PRIOR gives.
 
 Insults are learned too: words, and beginnings of words, that are far more frequent in toxic documents than in clean ones, with
-their log odds as weights; all that suffice are kept. Both fits use at most TRAIN_ROWS labelled documents, those with the
+their log odds as weights; all that suffice are kept, but those that a shorter beginning tells as well. Both fits use at most TRAIN_ROWS labelled documents, those with the
 smallest hash of doc_id and text, and never the fold that is held out. Rows alike in both count once. labels, lang, source and
 doc_id are no inputs of a score.
 
@@ -50,8 +51,12 @@ THREAT = "kill kills killing murder hurt beat shoot stab destroy burn hang töte
 WORD = re.compile(r"\w+(?:'\w+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 QUOTES = frozenset("\"“”„«»")
-KINDS = ("targeted", "plain", "threat", "negated", "reported")
 REACH = 3  # words that a negation reaches
+#: What the logistic model weighs: name, weight without evidence, least and greatest weight.
+PRIOR = (("insults", 0.5, 0.0, np.inf), ("targeted", 0.5, 0.0, np.inf), ("threats", 3.0, 0.0, np.inf), ("negated", -0.1, -np.inf, 0.0), ("reported", -0.1, -np.inf, 0.0), ("heaviest", 0.3, 0.0, np.inf), ("meant", 0.3, 0.0, np.inf), ("dense", 0.0, 0.0, np.inf))
+THREAT_WEIGHT = 2.0  # of a threat's verb among the words that are meant
+SHORT = 20  # words of a text under which its length tells nothing
+BETTER = 0.25  # by which a longer term's log odds must exceed those of its beginnings
 
 
 class Transducer:
@@ -113,7 +118,7 @@ _CLASSES = {w: c for c, ws in (("target", TARGET), ("negation", NEGATION), ("rep
 
 @dataclass
 class Model:
-    """insults: words, and beginnings of words with a * at the end, with their weights. weights: bias first, then as in features()."""
+    """insults: words, and beginnings of words with a * at the end, with their weights. weights: bias first, then as in PRIOR."""
 
     insults: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
@@ -161,6 +166,7 @@ class Scorer:
         return out
 
     def clause(self, clause: str) -> tuple[str, float, float]:
+        """Its kind, the weight of its heaviest word, and that of all of them."""
         state, weight, total, at = GRAMMAR.start, 0.0, 0.0, 0
         for m in WORD.finditer(clause):
             for ch in clause[at : m.start()]:
@@ -168,16 +174,20 @@ class Scorer:
                     state, _ = GRAMMAR.step(state, "quote")
             at, word = m.end(), m.group()
             x = self.insult(word)
+            symbol = "insult" if x else _CLASSES.get(word, "other")
+            x = THREAT_WEIGHT if symbol == "threat" else x
             weight, total = max(weight, x), total + x
-            state, _ = GRAMMAR.step(state, "insult" if x else _CLASSES.get(word, "other"))
+            state, _ = GRAMMAR.step(state, symbol)
         return GRAMMAR.step(state, "end")[1], weight, total
 
     def features(self, text: str | None) -> list[float]:
+        """As PRIOR names them."""
         found = self.matched(text)
-        counts = [np.log1p(sum(k == kind for k, *_ in found)) for kind in KINDS]
-        meant = sum(total for kind, _, total in found if kind in ("targeted", "plain", "threat"))
-        dense = meant / np.sqrt(max(1, len(text.split()))) if found else 0.0
-        return [*counts, max((w for _, w, _ in found), default=0.0), float(bool(found)), np.log1p(meant), dense]
+        n = {k: sum(kind == k for kind, *_ in found) for k in ("targeted", "plain", "threat", "negated", "reported")}
+        meant = [x for x in found if x[0] in ("targeted", "plain", "threat")]
+        total = sum(x[2] for x in meant)
+        counts = [np.log1p(x) for x in (n["targeted"] + n["plain"], n["targeted"], n["threat"], n["negated"], n["reported"])]
+        return [*counts, max((x[1] for x in meant), default=0.0), np.log1p(total), total / np.sqrt(max(SHORT, len(text.split()))) if meant else 0.0]
 
 
 def _terms(text: str | None) -> set[str]:
@@ -218,19 +228,33 @@ def _featurer(insults: dict[str, float]):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method with a ridge on all but the bias."""
+    """Bias and weights, one after the other by Newton's steps within their bounds, with a ridge about PRIOR's weights."""
+    _, centre, low, high = zip(*PRIOR)
     x = np.column_stack([np.ones(len(x)), x])
-    w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    pen[0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pen), x.T @ (y - p) - pen * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+    w, low, high, pen = np.array([0.0, *centre]), np.array([-np.inf, *low]), np.array([np.inf, *high]), np.array([1e-6] + [ridge] * len(centre))
+    centre, z = w.copy(), x @ w
+    for _ in range(500):
+        most = 0.0
+        for k in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = x[:, k] @ (y - p) - pen[k] * (w[k] - centre[k])
+            new = np.clip(w[k] + np.clip(slope / ((x[:, k] ** 2) @ (p * (1 - p)) + pen[k]), -1, 1), low[k], high[k])
+            z, most, w[k] = z + (new - w[k]) * x[:, k], max(most, abs(new - w[k])), new
+        if most < 1e-7:
             break
     return w
 
 
+def lexicon(odds: dict[str, float]) -> dict[str, float]:
+    """The terms of at least MIN_ODDS, without those that a shorter beginning of theirs tells about as well."""
+    kept: dict[str, float] = {}
+    for t in sorted(odds, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
+        above = max((kept.get(t[:n] + "*", 0.0) for n in PREFIXES if n <= len(t.rstrip("*"))), default=0.0)
+        if odds[t] >= MIN_ODDS and odds[t] > above + (BETTER if above else 0.0):
+            kept[t] = odds[t]
+    return kept
+
+
 def fold(doc_id) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
@@ -253,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         clean = train.where("toxic = 0").select("text").mapInArrow(_counter(frozenset(toxic)), "term string, clean bigint").groupBy("term").agg(F.sum("clean").alias("clean"))
         clean = {r["term"]: r["clean"] for r in clean.collect()}
         odds = {t: float(np.log((b + 0.5) / (bad + 1)) - np.log((clean.get(t, 0) + 0.5) / (good + 1))) for t, b in toxic.items()}
-        model.insults = {t: odds[t] for t in sorted(odds) if odds[t] >= MIN_ODDS}
+        model.insults = lexicon(odds)
         rows_ = train.mapInArrow(_featurer(model.insults), "toxic int, x array<double>").collect()
         model.weights = _logistic(np.array([r["x"] for r in rows_]), np.array([r["toxic"] for r in rows_], float)).tolist()
     discard(docs.sparkSession, keep)
