@@ -25,8 +25,8 @@ def _added(rows) -> dict[int, np.ndarray]:
     return total
 
 
-def array_sums(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """The sums, by name, of the arrays (float64, flat) that work returns for each task's rows."""
+def array_sums(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], parts: int | None = None) -> dict[int, np.ndarray]:
+    """The sums, by name, of the arrays (float64, flat) that work returns for each task's rows. parts: how many tasks df has, if known."""
 
     def first(batches):
         yield _written(work(batches))
@@ -34,7 +34,7 @@ def array_sums(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[in
     def more(batches):
         yield _written(_added((r["name"], r["sums"]) for b in batches for r in b.to_pylist()))
 
-    parts, out = df.rdd.getNumPartitions(), df.mapInArrow(first, _PART)
+    parts, out = parts or df.rdd.getNumPartitions(), df.mapInArrow(first, _PART)
     while parts > FAN:
         parts = -(-parts // FAN)
         out = out.repartition(parts, F.spark_partition_id() % parts).mapInArrow(more, _PART)

@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.operators.partial import matrix
 from strandloom.operators.sampling import running_index, value_range
 
 
@@ -85,17 +88,8 @@ def project(vectors: DataFrame, axes: list[list[float]], column: str = "embeddin
     return z.withColumn("coords", F.array(*[S.dot(F.col(column), F.array(*[F.lit(float(x)) for x in a])) for a in axes]))
 
 
-def nearest(vectors: DataFrame, key: str, k: int, column: str = "embedding", queries: DataFrame | None = None, block: int = 4096) -> DataFrame:
-    """key, neighbour, similarity, rank of the k most similar others by cosine, ties to the lower key.
-
-    Rows are dealt to blocks; each pair of a query block and a data block is one matrix product in a task of bounded size, and
-    only its k best per query go on."""
-    v = vectors.select(F.col(key).alias("key"), S.l2_normalize(S.as_double(F.col(column))).alias("v"))
-    q = v if queries is None else queries.select(F.col(key).alias("key"), S.l2_normalize(S.as_double(F.col(column))).alias("v"))
-    n = max(1, math.ceil(vectors.count() / block))
-    m = max(1, math.ceil(q.count() / block))
-    left = q.withColumn("a", F.pmod(F.xxhash64("key"), F.lit(m)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(0))
-    right = v.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(1))
+def _best_of_tile(k: int):
+    """The k best of a tile's data rows (side 1) for each of its queries (side 0), ties to the lower key."""
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -114,12 +108,105 @@ def nearest(vectors: DataFrame, key: str, k: int, column: str = "embedding", que
                 out.append(pd.DataFrame({"key": xk[at + i], "neighbour": yk[near], "similarity": row[near]}))
         return pd.concat(out)
 
-    kind = dict(v.dtypes)["key"]
-    found = left.select("key", "v", "a", "b", "side").union(right.select("key", "v", "a", "b", "side")).groupBy("a", "b").applyInPandas(tile, f"key {kind}, neighbour {kind}, similarity double")
+    return tile
+
+
+def _ranked(found: DataFrame, key: str, k: int) -> DataFrame:
     w = W.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
+def nearest(vectors: DataFrame, key: str, k: int, column: str = "embedding", queries: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """key, neighbour, similarity, rank of the k most similar others by cosine, ties to the lower key.
+
+    Rows are dealt to blocks; each pair of a query block and a data block is one matrix product in a task of bounded size, and
+    only its k best per query go on."""
+    v = vectors.select(F.col(key).alias("key"), S.l2_normalize(S.as_double(F.col(column))).alias("v"))
+    q = v if queries is None else queries.select(F.col(key).alias("key"), S.l2_normalize(S.as_double(F.col(column))).alias("v"))
+    n = max(1, math.ceil(vectors.count() / block))
+    m = max(1, math.ceil(q.count() / block))
+    left = q.withColumn("a", F.pmod(F.xxhash64("key"), F.lit(m)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(0))
+    right = v.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(1))
+    kind = dict(v.dtypes)["key"]
+    found = left.select("key", "v", "a", "b", "side").union(right.select("key", "v", "a", "b", "side")).groupBy("a", "b").applyInPandas(_best_of_tile(k), f"key {kind}, neighbour {kind}, similarity double")
+    return _ranked(found, key, k)
+
+
+MAX_CELLS = 4096
+
+
+class InvertedFile:
+    """Unit vectors by the cell of their nearest centre. There are sqrt(n) cells unless told otherwise, MAX_CELLS at most, so that
+    centres can be broadcast; they come from k-means of all rows. Cells of many rows are dealt out in blocks."""
+
+    def __init__(self, vectors: DataFrame, key: str, column: str = "embedding", cells: int | None = None, block: int = 2048, seed: int = 42):
+        from .cluster import kmeans_sweep
+
+        self.key, self.column, self.block = key, column, block
+        v = self._unit(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+        n = v.count()
+        cells = min(MAX_CELLS, cells or max(1, round(math.sqrt(n))))
+        found = kmeans_sweep(v, "key", (cells,), 1, seed, max_iter=8)
+        v.unpersist()
+        self.centres = found[cells][0] if found else None
+        self.cells = cells if found else 1
+        self.shared = vectors.sparkSession.sparkContext.broadcast(self.centres)
+        self.rows = self._placed(self._unit(vectors), 1)
+
+    def _unit(self, df: DataFrame) -> DataFrame:
+        return df.select(F.col(self.key).alias("key"), S.l2_normalize(S.as_double(F.col(self.column))).alias("v"))
+
+    def _placed(self, v: DataFrame, probes: int) -> DataFrame:
+        """key, v and cell, a row for each of the nearest cells."""
+        shared, take = self.shared, min(probes, self.cells)
+
+        def run(batches):
+            for batch in batches:
+                c = shared.value
+                near = np.zeros((batch.num_rows, take), np.int32)
+                if c is not None and batch.num_rows:
+                    near = np.argsort((c**2).sum(1) - 2 * matrix(batch, "v") @ c.T, axis=1, kind="stable")[:, :take].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * take), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["key", "v", "cells"])
+
+        kind = dict(v.dtypes)["key"]
+        return v.mapInArrow(run, f"key {kind}, v array<double>, cells array<int>").select("key", "v", F.explode("cells").alias("cell"))
+
+    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """As nearest(), among the rows in the `probes` cells whose centres are nearest to a query."""
+        asked = self._placed(self._unit(queries), probes)
+        blocks = lambda df, c: df.groupBy("cell").agg(F.ceil(F.count("*") / self.block).cast("int").alias(c))
+        sizes = F.broadcast(blocks(self.rows, "data").join(blocks(asked, "asked"), "cell"))  # MAX_CELLS rows at most
+        part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = asked.join(sizes, "cell").withColumn("a", part("asked")).withColumn("b", every("data")).withColumn("side", F.lit(0))
+        right = self.rows.join(sizes, "cell").withColumn("b", part("data")).withColumn("a", every("asked")).withColumn("side", F.lit(1))
+        cols, kind = ["cell", "a", "b", "side", "key", "v"], dict(asked.dtypes)["key"]
+        best = left.select(cols).union(right.select(cols)).groupBy("cell", "a", "b").applyInPandas(_best_of_tile(k), f"key {kind}, neighbour {kind}, similarity double")
+        return _ranked(best, self.key, k)
+
+
+def near_graph(vectors: DataFrame, key: str, k: int, column: str = "embedding", goal: float = 0.93, cells: int | None = None, block: int = 2048, sample: int = 256, seed: int = 42) -> DataFrame:
+    """As nearest(), by an inverted file; the work is n * n * probes / cells and not n * n, and some neighbours are missed.
+
+    Half as many cells again are probed until the recall of `sample` drawn rows, held against all rows, reaches the goal: few
+    where vectors cluster, nearly all cells where they do not."""
+    index = InvertedFile(vectors, key, column, cells, block, seed)
+    drawn = vectors.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
+    exact = nearest(vectors, key, k, column, drawn).persist(StorageLevel.MEMORY_AND_DISK)
+    probes = min(index.cells, 4)
+    while probes < index.cells and (recall(index.search(drawn, k, probes), exact, key).first()["recall"] or 1.0) < goal:
+        probes = min(index.cells, probes + (probes + 1) // 2)
+    exact.unpersist()
+    return index.search(vectors, k, probes)
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """n and the share of the exact neighbours that were found."""
+    both = exact.select(key, "neighbour").join(found.select(key, "neighbour", F.lit(1).alias("_hit")), [key, "neighbour"], "left")
+    return both.agg(F.count("*").alias("n"), S.round_to(F.count("_hit") / F.count("*"), 4).alias("recall"))
+
+
 def neighbourhood_jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """key and the Jaccard similarity of its neighbours in two results of nearest()."""
     x, y = (d.groupBy(key).agg(F.collect_set("neighbour").alias(c)) for d, c in ((a, "_a"), (b, "_b")))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-from strandloom.operators import amplicon, cluster, kmer, metrics, qc, sampling, stats, taxonomy, train, variants, vectors
+from strandloom.operators import amplicon, cluster, kmer, layout, metrics, qc, sampling, stats, taxonomy, train, variants, vectors
 from strandloom.plans import reads as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,6 +386,23 @@ def knn_jaccard(spark, d):
     return vectors.neighbourhood_jaccard(vectors.nearest(e, "vec_id", 10), vectors.nearest(half, "vec_id", 10), "vec_id").select("vec_id", _r("jaccard").alias("jaccard"))
 
 
+@query
+def near_graph_recall(spark, d):
+    """The share of each vector's 20 exact neighbours that the inverted file finds."""
+    e = R.table(spark, d, "embeddings")
+    return vectors.recall(vectors.near_graph(e, "vec_id", 20), vectors.nearest(e, "vec_id", 20), "vec_id")
+
+
+@query
+def umap_2d(spark, d):
+    return layout.umap(R.table(spark, d, "embeddings"), "vec_id")
+
+
+@query
+def tsne_2d(spark, d):
+    return layout.tsne(R.table(spark, d, "embeddings"), "vec_id")
+
+
 def _retrieved(spark, d, column="left_vec", controlled=True) -> DataFrame:
     return vectors.retrieval(R.vector_pairs(spark, d), 20, controlled=controlled)
 
