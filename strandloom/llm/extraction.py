@@ -6,9 +6,12 @@ blocks near each other in the tree, are joined by smoothness edges. A maximum fl
 least total cost. Blocks whose own costs outweigh all their edges are settled beforehand, which changes no minimum cut. What
 open elements tell is summed as they open, so that the time grows with the page's length and not with its depth.
 
-Words of class and id count by element: those of html, body and main say nothing against what is in them, nor do those of an
-article that names itself content too (a comment may be an article); words after has-, no-, with- or without- say nothing at
-all, and weak words (legal, tags and the like) tell boilerplate only outside an article.
+Words of class and id count by element and by place: those of html, body and main say nothing against what is in them, nor do
+those of an article that names itself content too (a comment may be an article); words after has-, no-, with- or without- say
+nothing at all, and weak words (legal, tags and the like) tell boilerplate only outside an article. A name tells what it ends
+in, words of layout aside (sidebar-left, cookie-banner): a word that only describes another (share-price, promotion-review) is a
+hint, which an article's text outweighs. A header of something (news-header) belongs to it. The more of a page's text stands in
+article or main elements, the more a block outside them needs to be content; where there are none, plain text is content.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; broken, unclosed or cut-off markup is read as
 far as it goes; texts of any length are read whole; a null page_id or url passes through; repeated rows give equal rows; an
@@ -42,10 +45,15 @@ BAD_WORDS = frozenset(
 )
 WEAK_WORDS = frozenset("side rail foot discussion tags copyright legal disclaimer".split())
 MODIFIERS = frozenset("has no with without not".split())
+TAIL_WORDS = frozenset(  # words of layout, after which a name still means the word before
+    "left right top bottom upper lower inner outer wrapper wrap container box area block section column col row list item items bar link links button buttons icon icons logo main primary secondary site global page panel body content text title heading label slot unit zone space group module region holder results result articles stories posts news media count thread policy overlay this inline mobile desktop fixed sticky small large".split()
+)
+SITE_WORDS = frozenset("site page main top global web app".split())  # whose header is the site's
 PLAIN = frozenset("html body main".split())  # elements whose own words count for nothing bad
 GOOD_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
-BAD, WEAK, GOOD = -7.0, -2.5, 1.0
-BIAS = -0.6
+BAD, WEAK, HINT, GOOD = -7.0, -2.5, -1.0, 1.0
+BIAS, OUTSIDE = -0.2, -3.0  # of any block; of one outside article and main, times their share of the page's text
+OWN_HEADER = -0.5
 ADJACENT, SIBLING = 0.6, 0.8  # smoothness of neighbours in page order, and of blocks in one parent
 DECAY, FAR = 3.0, 64  # tree steps over which it falls, and beyond which it is nothing
 
@@ -55,20 +63,32 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _words(value: str) -> set[str]:
-    """The words of a class or id that count, lower-cased."""
-    out: set[str] = set()
+def _token(words: list[str]) -> float:
+    """What a name of class or id, split into words, says against what it stands for."""
+    cost = WEAK if WEAK_WORDS.intersection(words) else 0.0
+    for i, w in enumerate(words):
+        if w in BAD_WORDS:
+            ends = all(x in TAIL_WORDS or x in BAD_WORDS or x[0].isdigit() for x in words[i + 1 :])
+            own_header = w == "header" and i and words[0] not in SITE_WORDS and words[0] not in BAD_WORDS
+            cost = min(cost, OWN_HEADER if own_header else BAD if ends else HINT)
+    return cost
+
+
+def _names(value: str) -> tuple[float, bool, bool]:
+    """The worst that a class or id says, whether by a name of one word, and whether it names content."""
+    cost, alone, good = 0.0, False, False
     for token in value.split():
         own = [w for w in SPLIT.split(CAMEL.sub(" ", token).lower()) if w]
         if own and own[0] not in MODIFIERS:
-            out.update(own)
-    return out
+            c = _token(own)
+            cost, alone, good = min(cost, c), alone or (c == BAD and len(own) == 1), good or not GOOD_WORDS.isdisjoint(own)
+    return cost, alone, good
 
 
 class Element:
     """An open element. against and for_ are the sums of what it and all around it say; of equal tags only the innermost speaks for."""
 
-    __slots__ = ("tag", "parent", "depth", "odds", "hidden", "holder", "in_article", "against", "for_")
+    __slots__ = ("tag", "parent", "depth", "odds", "hidden", "holder", "in_article", "in_main", "against", "for_")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None, same: Element | None):
         """same: the innermost open element with this tag."""
@@ -76,6 +96,7 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
         self.hidden = bool(parent and parent.hidden)
         self.in_article = tag == "article" or bool(parent and parent.in_article)
+        self.in_main = tag in ("article", "main") or bool(parent and parent.in_main)
         self.holder = parent.holder if parent and tag in INLINE else self
         own = ELEMENT.get(tag, 0.0)
         if tag == "header" and self.in_article:
@@ -86,12 +107,13 @@ class Element:
             if name in ("class", "id"):
                 if tag in ("html", "body"):  # of the whole page, so they tell no block from another
                     continue
-                words = _words(value)
-                bad = BAD if words & BAD_WORDS else WEAK if words & WEAK_WORDS else 0.0
-                if tag not in PLAIN and not (tag == "article" and words & GOOD_WORDS):
+                bad, alone, good = _names(value)
+                if tag == "article" and bad == BAD and not alone:
+                    bad = HINT
+                if tag not in PLAIN and not (tag == "article" and good):
                     worst = min(worst, bad)
                     own -= max(0.0, ELEMENT.get(tag, 0.0)) if bad == BAD else 0.0
-                own += GOOD if words & GOOD_WORDS and not bad else 0.0
+                own += GOOD if good and not bad else 0.0
             elif name == "role":
                 own += ROLE.get(value.lower(), 0.0)
             elif name == "style":
@@ -342,7 +364,8 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    keep = min_cut([b.odds for b in found], edges(found))
+    outside = OUTSIDE * sum(len(b.text) for b in found if b.parent.in_main) / sum(len(b.text) for b in found)
+    keep = min_cut([b.odds + (0.0 if b.parent.in_main else outside) for b in found], edges(found))
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
