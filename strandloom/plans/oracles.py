@@ -170,7 +170,7 @@ def retrieved(width: int = 64, controlled: bool = True) -> str:
 mo AS (SELECT d, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM lo GROUP BY d), ar AS (SELECT list(m ORDER BY d) AS ms, list(s ORDER BY d) AS ss FROM mo),
 zz AS (SELECT pair_id, {'pool' if controlled else '0'} AS pool, list_transform(range(1, {width} + 1), lambda i: (lv[i] - ms[i]) / ss[i]) AS l, list_transform(range(1, {width} + 1), lambda i: (rv[i] - ms[i]) / ss[i]) AS r FROM pv, ar),
 xx AS (SELECT pair_id, pool, l, r, row_number() OVER (PARTITION BY pool ORDER BY pair_id) - 1 AS place, count(*) OVER (PARTITION BY pool) AS n FROM zz),
-dr AS (SELECT x.*, j, CAST(concat('0x', substring(md5(concat('42:', pair_id, ':', j)), 1, 15)) AS BIGINT) % n AS draw FROM xx x, range(20) AS g(j) WHERE n > {20 if controlled else 1}),
+dr AS (SELECT x.*, j, CAST(concat('0x', substring(md5(concat('42:', pair_id, ':', j)), 1, 15)) AS BIGINT) % n AS draw FROM xx x, range(99) AS g(j) WHERE n > {99 if controlled else 1}),
 rs AS (SELECT d.pair_id, d.j, {rnd('list_cosine_similarity(d.l, d.r)', 9)} AS mate, {rnd('list_cosine_similarity(d.l, o.r)', 9)} AS s FROM dr d JOIN xx o ON o.pool = d.pool AND o.place = CASE WHEN d.draw = d.place THEN (d.draw + 1) % d.n ELSE d.draw END),
 rq AS (SELECT pair_id, mate, CAST(count(*) FILTER (WHERE s > mate) + 1 AS BIGINT) AS rank FROM rs GROUP BY 1, 2)"""
 
@@ -178,7 +178,7 @@ rq AS (SELECT pair_id, mate, CAST(count(*) FILTER (WHERE s > mate) + 1 AS BIGINT
 def retrieval_row(width: int = 64, controlled: bool = True) -> str:
     return f"""WITH {retrieved(width, controlled)}, ng AS (SELECT avg(s) AS m, var_pop(s) AS v FROM rs)
       SELECT CAST(count(*) AS BIGINT) AS n_queries, {rnd('avg(CAST(rank <= 1 AS INTEGER))')} AS top1_accuracy, {rnd('avg(CAST(rank <= 5 AS INTEGER))')} AS top5_accuracy, {rnd('avg(CAST(rank <= 10 AS INTEGER))')} AS top10_accuracy,
-      {rnd('avg(CAST(1 AS DOUBLE) / rank)')} AS mean_reciprocal_rank, CAST(median(rank) AS DOUBLE) AS median_rank, {rnd('avg(CAST(rank <= 1 AS INTEGER)) * 21', 3)} AS lift_over_chance, {rnd('avg(mate)')} AS mean_cosine_true_mates,
+      {rnd('avg(CAST(1 AS DOUBLE) / rank)')} AS mean_reciprocal_rank, CAST(median(rank) AS DOUBLE) AS median_rank, {rnd('avg(CAST(rank <= 1 AS INTEGER)) * 100', 3)} AS lift_over_chance, {rnd('avg(mate)')} AS mean_cosine_true_mates,
       {rnd('max(ng.m)')} AS mean_cosine_random_pairs, {rnd('(avg(mate) - max(ng.m)) / sqrt((var_pop(mate) + max(ng.v)) / 2)')} AS cohens_d FROM rq, ng"""
 
 
@@ -296,7 +296,7 @@ SQL |= {
       r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p) SELECT vec_id, neighbour, {rnd('s', 5)} AS similarity, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5""",
     "knn_jaccard": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS o, list_cosine_similarity(a.e, b.e) AS s, list_cosine_similarity(a.e[1:32], b.e[1:32]) AS t FROM v a JOIN v b ON a.vec_id <> b.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, o) AS rs, row_number() OVER (PARTITION BY vec_id ORDER BY round(t, 12) DESC, o) AS rt FROM p)
-      SELECT vec_id, {rnd('CAST(count(*) FILTER (WHERE rs <= 10 AND rt <= 10) AS DOUBLE) / count(*) FILTER (WHERE rs <= 10 OR rt <= 10)')} AS jaccard FROM r GROUP BY vec_id""",
+      SELECT vec_id, {rnd('CAST(count(*) FILTER (WHERE rs <= 20 AND rt <= 20) AS DOUBLE) / count(*) FILTER (WHERE rs <= 20 OR rt <= 20)')} AS jaccard FROM r GROUP BY vec_id""",
     "mate_retrieval": f"WITH {retrieved()} SELECT pair_id, rank, {rnd('mate')} AS mate_similarity FROM rq",
     "retrieval_summary": retrieval_row(),
     "mate_retrieval_uncontrolled": retrieval_row(controlled=False),

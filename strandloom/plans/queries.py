@@ -13,6 +13,8 @@ from strandloom.functions import sequences as S
 from strandloom.operators import amplicon, cluster, kmer, layout, metrics, qc, sampling, stats, taxonomy, train, variants, vectors
 from strandloom.plans import reads as R
 
+DISTRACTORS = 99  # random right mates that a query's true mate is ranked among
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -41,8 +43,8 @@ def _spectrum(spark, d) -> DataFrame:
 
 
 def _variants(spark, d) -> DataFrame:
-    v = variants.variant_table(_counts(spark, d), top=100_000)
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)  # 100,000 rows at most, read up to five times; lost blocks are computed again
+    v = variants.variant_table(_counts(spark, d))
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)  # all variants, read up to five times; lost blocks are computed again
     ends = amplicon.end_groups(v.withColumn("record_index", F.col("variant_id")))
     return ends.drop("record_index")
 
@@ -383,7 +385,7 @@ def cosine_topk(spark, d):
 def knn_jaccard(spark, d):
     e = R.table(spark, d, "embeddings")
     half = e.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
-    return vectors.neighbourhood_jaccard(vectors.nearest(e, "vec_id", 10), vectors.nearest(half, "vec_id", 10), "vec_id").select("vec_id", _r("jaccard").alias("jaccard"))
+    return vectors.neighbourhood_jaccard(vectors.nearest(e, "vec_id", 20), vectors.nearest(half, "vec_id", 20), "vec_id").select("vec_id", _r("jaccard").alias("jaccard"))
 
 
 @query
@@ -404,7 +406,7 @@ def tsne_2d(spark, d):
 
 
 def _retrieved(spark, d, column="left_vec", controlled=True) -> DataFrame:
-    return vectors.retrieval(R.vector_pairs(spark, d), 20, controlled=controlled)
+    return vectors.retrieval(R.vector_pairs(spark, d), DISTRACTORS, controlled=controlled)
 
 
 @query
@@ -414,12 +416,12 @@ def mate_retrieval(spark, d):
 
 @query
 def mate_retrieval_uncontrolled(spark, d):
-    return vectors.retrieval_summary(_retrieved(spark, d, controlled=False), 20)
+    return vectors.retrieval_summary(_retrieved(spark, d, controlled=False), DISTRACTORS)
 
 
 @query
 def retrieval_summary(spark, d):
-    return vectors.retrieval_summary(_retrieved(spark, d), 20)
+    return vectors.retrieval_summary(_retrieved(spark, d), DISTRACTORS)
 
 
 @query
@@ -433,7 +435,7 @@ def retrieval_auroc(spark, d):
 def mcnemar(spark, d):
     a = _retrieved(spark, d).select("pair_id", (F.col("rank") <= 5).alias("hit"))
     pairs = R.vector_pairs(spark, d).withColumn("left_vec", F.slice("left_vec", 1, 32)).withColumn("right_vec", F.slice("right_vec", 1, 32))
-    b = vectors.retrieval(pairs, 20).select("pair_id", (F.col("rank") <= 5).alias("hit"))
+    b = vectors.retrieval(pairs, DISTRACTORS).select("pair_id", (F.col("rank") <= 5).alias("hit"))
     return vectors.mcnemar_counts(a, b, "pair_id", "hit")
 
 
@@ -676,7 +678,7 @@ def abundance_marker_size(spark, d):
 def mcnemar_exact(spark, d):
     a = _retrieved(spark, d).select("pair_id", (F.col("rank") <= 5).alias("hit"))
     pairs = R.vector_pairs(spark, d).withColumn("left_vec", F.slice("left_vec", 1, 32)).withColumn("right_vec", F.slice("right_vec", 1, 32))
-    r = vectors.mcnemar(a, vectors.retrieval(pairs, 20).select("pair_id", (F.col("rank") <= 5).alias("hit")), "pair_id", "hit")
+    r = vectors.mcnemar(a, vectors.retrieval(pairs, DISTRACTORS).select("pair_id", (F.col("rank") <= 5).alias("hit")), "pair_id", "hit")
     x = spark.createDataFrame([(r["only_a"], r["only_b"], r.get("p_value"), r["verdict"])], "only_a long, only_b long, p_value double, verdict string")
     return x.withColumn("p_value", _r("p_value"))
 
@@ -687,6 +689,6 @@ def encoder_comparison(spark, d):
     pairs = R.vector_pairs(spark, d)
     half = pairs.withColumn("left_vec", F.slice("left_vec", 1, 32)).withColumn("right_vec", F.slice("right_vec", 1, 32))
     names = ("top1_accuracy", "top5_accuracy", "mean_reciprocal_rank")
-    a, b = (vectors.retrieval_summary(vectors.retrieval(p, 20), 20).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("x")).select("x.metric", F.col("x.v").alias(n)) for p, n in ((half, "baseline"), (pairs, "foundation")))
+    a, b = (vectors.retrieval_summary(vectors.retrieval(p, DISTRACTORS), DISTRACTORS).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("x")).select("x.metric", F.col("x.v").alias(n)) for p, n in ((half, "baseline"), (pairs, "foundation")))
     x = a.join(b, "metric")
     return x.withColumn("winner", F.when(F.abs(F.col("baseline") - F.col("foundation")) <= 1e-6, "tie").when(F.col("baseline") > F.col("foundation"), "baseline").otherwise("foundation"))
