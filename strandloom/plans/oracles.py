@@ -175,6 +175,11 @@ rs AS (SELECT d.pair_id, d.j, {rnd('list_cosine_similarity(d.l, d.r)', 9)} AS ma
 rq AS (SELECT pair_id, mate, CAST(count(*) FILTER (WHERE s > mate) + 1 AS BIGINT) AS rank FROM rs GROUP BY 1, 2)"""
 
 
+def auroc_row(width: int = 64, controlled: bool = True) -> str:
+    return f"""WITH {retrieved(width, controlled)}, a AS (SELECT mate AS score, 1 AS pos FROM rq UNION ALL SELECT s, 0 FROM rs), k AS (SELECT pos, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / CAST(2 AS DOUBLE) AS ar FROM a),
+      t AS (SELECT CAST(sum(pos) AS BIGINT) AS p, CAST(sum(1 - pos) AS BIGINT) AS n, sum(ar) FILTER (WHERE pos = 1) AS s FROM k) SELECT p AS positives, n AS negatives, {rnd('(s - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE) * n)')} AS auroc FROM t"""
+
+
 def retrieval_row(width: int = 64, controlled: bool = True) -> str:
     return f"""WITH {retrieved(width, controlled)}, ng AS (SELECT avg(s) AS m, var_pop(s) AS v FROM rs)
       SELECT CAST(count(*) AS BIGINT) AS n_queries, {rnd('avg(CAST(rank <= 1 AS INTEGER))')} AS top1_accuracy, {rnd('avg(CAST(rank <= 5 AS INTEGER))')} AS top5_accuracy, {rnd('avg(CAST(rank <= 10 AS INTEGER))')} AS top10_accuracy,
@@ -182,6 +187,20 @@ def retrieval_row(width: int = 64, controlled: bool = True) -> str:
       {rnd('max(ng.m)')} AS mean_cosine_random_pairs, {rnd('(avg(mate) - max(ng.m)) / sqrt((var_pop(mate) + max(ng.v)) / 2)')} AS cohens_d FROM rq, ng"""
 
 
+def head_to_head() -> str:
+    """Every metric of both widths and protocols, unfolded."""
+    more = ("top1_accuracy", "top5_accuracy", "top10_accuracy", "mean_reciprocal_rank", "lift_over_chance", "cohens_d", "auroc")
+    plain = ("mean_cosine_true_mates", "mean_cosine_random_pairs", "dimension", "bytes_per_vector")
+    names = (*more, "median_rank", *plain)
+    values = lambda width: f"[{', '.join(f'CAST({width if m == 'dimension' else 4 * width if m == 'bytes_per_vector' else f'x{width}.{m}' if m != 'auroc' else f'y{width}.auroc'} AS DOUBLE)' for m in names)}]"
+    parts = []
+    for protocol, controlled in (("same_end", True), ("any_end", False)):
+        rows = ", ".join(f"({retrieval_row(w, controlled)}) x{w}, ({auroc_row(w, controlled)}) y{w}" for w in (32, 64))
+        parts.append(f"SELECT '{protocol}' AS protocol, unnest({list(names)}) AS metric, unnest({values(32)}) AS baseline, unnest({values(64)}) AS foundation FROM {rows}")
+    return f"""WITH m AS ({' UNION ALL '.join(parts)}), g AS (SELECT *, foundation - baseline AS gap FROM m)
+      SELECT protocol, metric, baseline, foundation, {rnd('gap')} AS difference, CASE WHEN metric IN {plain} THEN NULL WHEN abs(gap) <= 1e-6 THEN 'tie' WHEN (gap > 0) = (metric <> 'median_rank') THEN 'foundation' ELSE 'baseline' END AS winner FROM g"""
+
+
 WORDS = r"""
 dw AS (SELECT doc_id, lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: w <> ''))) AS word FROM documents),
 cl AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang), tn AS (SELECT sum(n) AS total FROM cl),
@@ -300,8 +319,7 @@ SQL |= {
     "mate_retrieval": f"WITH {retrieved()} SELECT pair_id, rank, {rnd('mate')} AS mate_similarity FROM rq",
     "retrieval_summary": retrieval_row(),
     "mate_retrieval_uncontrolled": retrieval_row(controlled=False),
-    "retrieval_auroc": f"""WITH {retrieved()}, a AS (SELECT mate AS score, 1 AS pos FROM rq UNION ALL SELECT s, 0 FROM rs), k AS (SELECT pos, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / CAST(2 AS DOUBLE) AS ar FROM a),
-      t AS (SELECT CAST(sum(pos) AS BIGINT) AS p, CAST(sum(1 - pos) AS BIGINT) AS n, sum(ar) FILTER (WHERE pos = 1) AS s FROM k) SELECT p AS positives, n AS negatives, {rnd('(s - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE) * n)')} AS auroc FROM t""",
+    "retrieval_auroc": auroc_row(),
     "mcnemar": f"""WITH fa AS (WITH {retrieved()} SELECT pair_id, rank <= 5 AS hit FROM rq), fb AS (WITH {retrieved(32)} SELECT pair_id, rank <= 5 AS hit FROM rq),
       t AS (SELECT count(*) AS n, count(*) FILTER (WHERE fa.hit AND NOT fb.hit) AS a, count(*) FILTER (WHERE NOT fa.hit AND fb.hit) AS b, count(*) FILTER (WHERE fa.hit IS NULL OR fb.hit IS NULL) AS u FROM fa FULL JOIN fb USING (pair_id)),
       x AS (SELECT *, CAST(a - b AS DOUBLE) / n AS d, 1.96 * sqrt(a + b) / n AS h FROM t)
@@ -312,6 +330,7 @@ SQL |= {
       SELECT a AS only_a, b AS only_b, CASE WHEN a + b > 0 THEN {rnd('p')} END AS p_value, CASE WHEN a + b = 0 THEN 'no discordant queries' WHEN p >= 0.05 THEN 'not significant' WHEN a > b THEN 'first better' ELSE 'second better' END AS verdict FROM t, p""",
     "encoder_comparison": f"""WITH fa AS ({retrieval_row(32)}), fb AS ({retrieval_row()}), m AS (SELECT unnest(['top1_accuracy', 'top5_accuracy', 'mean_reciprocal_rank']) AS metric, unnest([fa.top1_accuracy, fa.top5_accuracy, fa.mean_reciprocal_rank]) AS baseline,
       unnest([fb.top1_accuracy, fb.top5_accuracy, fb.mean_reciprocal_rank]) AS foundation FROM fa, fb) SELECT *, CASE WHEN abs(baseline - foundation) <= 1e-6 THEN 'tie' WHEN baseline > foundation THEN 'baseline' ELSE 'foundation' END AS winner FROM m""",
+    "encoder_head_to_head": head_to_head(),
     "nb_fit": f"WITH {WORDS} SELECT word, lang AS label, {rnd('log_prior')} AS log_prior, {rnd('gain')} AS gain FROM gw",
     "nb_class_sizes": f"WITH {WORDS} SELECT CAST(count(*) AS BIGINT) AS n_classes, CAST(sum(n) AS BIGINT) AS n_reference, min(n) AS smallest, max(n) AS largest, CAST(median(n) AS DOUBLE) AS median, CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS classes_with_one_reference FROM cl",
     "nb_classify": f"WITH {WORDS} SELECT doc_id, predicted FROM pd",

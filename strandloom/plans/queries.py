@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-from strandloom.operators import amplicon, cluster, kmer, layout, metrics, qc, sampling, stats, taxonomy, train, variants, vectors
+from strandloom.operators import amplicon, cluster, comparison, kmer, layout, metrics, qc, sampling, stats, taxonomy, train, variants, vectors
 from strandloom.plans import reads as R
 
 DISTRACTORS = 99  # random right mates that a query's true mate is ranked among
@@ -692,3 +692,11 @@ def encoder_comparison(spark, d):
     a, b = (vectors.retrieval_summary(vectors.retrieval(p, DISTRACTORS), DISTRACTORS).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("x")).select("x.metric", F.col("x.v").alias(n)) for p, n in ((half, "baseline"), (pairs, "foundation")))
     x = a.join(b, "metric")
     return x.withColumn("winner", F.when(F.abs(F.col("baseline") - F.col("foundation")) <= 1e-6, "tie").when(F.col("baseline") > F.col("foundation"), "baseline").otherwise("foundation"))
+
+
+@query
+def encoder_head_to_head(spark, d):
+    """All metrics of the full vectors against those of their first half."""
+    pairs = R.vector_pairs(spark, d)
+    half = pairs.withColumn("left_vec", F.slice("left_vec", 1, 32)).withColumn("right_vec", F.slice("right_vec", 1, 32))
+    return comparison.head_to_head(half, pairs, DISTRACTORS)
