@@ -20,14 +20,14 @@ def load_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, taxon of a JSON object or a two-column CSV or TSV. Blank lines, comments and a header line are skipped; the last
-    of repeated ids counts."""
-    if path.endswith(".json"):
+    """read_id, taxon of a JSON object or a file of two columns, separated by commas in a .csv and by tabs in any other, so that a
+    taxon may hold commas. Blank lines, comments and a header line are skipped; the last of repeated ids counts."""
+    if path.lower().endswith(".json"):
         text = spark.read.option("wholetext", True).text(path)
         pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("read_id", "taxon"))
         return pairs
     raw = spark.read.text(path).select(F.trim("value").alias("value"), "_metadata", F.monotonically_increasing_id().alias("_at"))
-    parts = F.split("value", r"\t|,")
+    parts = F.split("value", "," if path.lower().endswith(".csv") else "\t")
     x = raw.where((F.col("value") != "") & ~F.col("value").startswith("#") & (F.size(parts) >= 2))
     x = x.select(F.trim(parts[0]).alias("read_id"), F.trim(parts[1]).alias("taxon"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), "_at").alias("_o"))
     first = x.groupBy().agg(F.min("_o").alias("_first"))

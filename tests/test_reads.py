@@ -228,6 +228,8 @@ def test_label_and_taxonomy_files(spark, tmp_path):
     (tmp_path / "l.csv").write_text("read,taxon\n# no\n\nr1,A\nr2,B\nr1,C\nshort\n")
     assert {r["read_id"]: r["taxon"] for r in tables.load_labels(spark, str(tmp_path / "l.csv")).collect()} == {"r1": "C", "r2": "B"}
     (tmp_path / "l.json").write_text(json.dumps({"r1": "A"}))
+    (tmp_path / "l.tsv").write_text("read\ttaxon\nr1\tBacteria, uncultured\nr2,x\n")
+    assert {tuple(r) for r in tables.load_labels(spark, str(tmp_path / "l.tsv")).collect()} == {("r1", "Bacteria, uncultured")}
     assert [tuple(r) for r in tables.load_labels(spark, str(tmp_path / "l.json")).collect()] == [("r1", "A")]
 
 

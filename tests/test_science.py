@@ -244,7 +244,7 @@ def test_settings_have_the_interface_names(tmp_path):
 
     (tmp_path / "c.json").write_text(json.dumps({"subset": {"encode_size": 5, "pair_subset_pairs": 7}, "note": 1}))
     c = load_config(str(tmp_path / "c.json"), ["analysis.knn_k=3", "new.deep.key=x", "taxonomy.ranks.class=0.5"])
-    assert c["subset"] == {"test_run_size": 2000, "encode_size": 5, "pair_subset_pairs": 7} and c["analysis"]["knn_k"] == 3
+    assert c["subset"] == {"test_run_size": 2000, "encode_size": 5, "pair_subset_pairs": 7, "visualization_size": 20_000} and c["analysis"]["knn_k"] == 3
     assert c["new"] == {"deep": {"key": "x"}} and c["taxonomy"]["ranks"] == {"class": 0.5, "order": 0.7} and c["note"] == 1
 
 
