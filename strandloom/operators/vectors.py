@@ -95,7 +95,7 @@ def _best_of_tile(k: int):
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if x.empty or y.empty:
             return pd.DataFrame({"key": [], "neighbour": [], "similarity": []})
-        xk, yk, ym = x["key"].to_numpy(), y["key"].to_numpy(), np.array(y["v"].tolist())
+        xk, yk, ym = np.asarray(x["key"].tolist()), np.asarray(y["key"].tolist()), np.array(y["v"].tolist())
         out = []
         for at in range(0, len(x), 256):
             s = np.round(np.array(x["v"].iloc[at : at + 256].tolist()) @ ym.T, 12)
