@@ -7,6 +7,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ def fit(train: DataFrame, words: Column, label: str) -> tuple[DataFrame, DataFra
 # ---- scoring: counts by word, class and fold; everything else happens within the row
 
 
-#: Counts (word, class, fold) that are broadcast, at some 100 bytes each at most; beyond, words meet their counts in a join.
-TABLE = 2_000_000
-SALT = 16  # shares of a word's rows in that join
+#: Counts (word, class, fold) that are broadcast, at some 100 bytes each at most: those of the words with most rows. The other
+#: words, which are rare, meet their counts in a join.
+TABLE = 1_000_000
 
 
 @dataclass
@@ -86,7 +87,7 @@ class _Scorer:
         if not self.n_bootstrap:
             return best, 0
         k, head = max(1, n // 8), f"{self.seed}:{key}:"
-        draws = np.array([int(md5(f"{head}{b}:{j}".encode()).hexdigest()[:15], 16) % n for b in range(self.n_bootstrap) for j in range(k)]).reshape(self.n_bootstrap, k)
+        draws = np.array([(int.from_bytes(md5(f"{head}{b}:{j}".encode()).digest()[:8]) >> 4) % n for b in range(self.n_bootstrap) for j in range(k)]).reshape(self.n_bootstrap, k)
         scores = np.stack([gain[:, c][draws].sum(1) for c in range(len(size))], 1) - k * log_size
         return best, int((choose(scores) == best).sum())
 
@@ -99,34 +100,39 @@ def _result(parts: list, names: list, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in CARRIED), text, pa.array([v for _, v in parts], pa.int64())], [*CARRIED, "predicted", "votes"])
 
 
-def _in_place(shared, names: list, scorer: _Scorer, folded: bool):
-    """Scores rows (key, fold, words) by a broadcast table: the places of words and, one after the other, their counts."""
+def _scored(shared, names: list, scorer: _Scorer, folded: bool):
+    """Scores rows (key, fold, words, rare) by a broadcast table, the places of words and, one after the other, their counts; and by
+    rare, the counts (word, cells) of words that are not in it, null if there are none."""
 
     def run(batches):
         place, start, at, m = shared.value
         for batch in batches:
             out, folds = [], batch.column("fold").to_pylist()
-            for key, fold, own in zip(batch.column("key").to_pylist(), folds, batch.column("words").to_pylist()):
+            for key, fold, own, rare in zip(batch.column("key").to_pylist(), folds, batch.column("words").to_pylist(), batch.column("rare").to_pylist()):
                 p = np.array([place.get(w, -1) for w in own], np.int64)
                 hit = np.flatnonzero(p >= 0)
                 size = start[p[hit] + 1] - start[p[hit]]
                 cell = np.repeat(start[p[hit]] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(hit) else np.zeros(0, np.int64)
-                out.append(scorer.best(key, len(own), fold if folded else None, np.repeat(hit, size) if len(hit) else hit, at[cell], m[cell]))
+                found = (np.repeat(hit, size) if len(hit) else hit, at[cell], m[cell])
+                if rare:
+                    more = {r["word"]: r["cells"] for r in rare}
+                    more = [(i, c["at"], c["m"]) for i in np.flatnonzero(p < 0).tolist() for c in more.get(own[i], ())]
+                    found = tuple(np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(found, zip(*more))) if more else found
+                out.append(scorer.best(key, len(own), fold if folded else None, *found))
             yield _result(out, names, batch)
 
     return run
 
 
-def _gathered(names: list, scorer: _Scorer, folded: bool):
-    """Scores rows (key, fold, n, counts), where counts are (place of the word in the row, at, m)."""
+def _unknown(shared):
+    """(row, word) for the words of rows (row, words) that are not in the broadcast table."""
 
     def run(batches):
+        place = shared.value[0]
         for batch in batches:
-            out = []
-            for key, fold, n, found in zip(*(batch.column(c).to_pylist() for c in ("key", "fold", "n", "counts"))):
-                word, at, m = (np.array([f[c] for f in found], np.int64) for c in ("word", "at", "m"))
-                out.append(scorer.best(key, n, fold if folded else None, word, at, m))
-            yield _result(out, names, batch)
+            found = [[w for w in own if w not in place] for own in batch.column("words").to_pylist()]
+            at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), pa.array([w for f in found for w in f], pa.string())], ["row", "word"])
 
     return run
 
@@ -134,35 +140,42 @@ def _gathered(names: list, scorer: _Scorer, folded: bool):
 def evaluate(query: DataFrame, key: str, words: Column, counts: Counts, n_bootstrap: int = 0, seed: int = 42, fold: Column | None = None, truth: Column | None = None, weight: Column | None = None) -> DataFrame:
     """key, fold, truth (as text), weight, predicted, votes, a row for each row of query; predicted is empty for rows without words.
 
-    With fold, a row is scored by the counts of all other folds. A table of at most TABLE counts is broadcast, and a row is scored
-    where it lies; a larger one is joined to the rows' distinct words, salted by row, and a row's counts meet again in one row."""
+    With fold, a row is scored by the counts of all other folds. Up to TABLE counts, of the words with most rows, are broadcast and
+    cover nearly all of a row's words where it lies. Words beyond them are rare: only these are joined to their counts, which then
+    meet their rows again."""
     spark, folded = query.sparkSession, fold is not None
     own = F.coalesce(F.array_sort(F.array_distinct(words)), F.array().cast("array<string>"))
     q = query.select(F.col(key).alias("key"), (fold if folded else F.lit(0)).cast("int").alias("fold"), (F.lit(None) if truth is None else truth).cast("string").alias("truth"), (F.lit(None) if weight is None else weight).cast("long").alias("weight"), own.alias("words"))
     kind = dict(q.dtypes)["key"]
     schema, scorer = f"key {kind}, fold int, truth string, weight long, predicted string, votes long", _Scorer(counts.sizes, n_bootstrap, seed)
-    small = counts.cells.limit(TABLE + 1).toArrow()
-    if small.num_rows <= TABLE:
-        small = small.sort_by("word")
-        place, start = {}, []
-        for i, w in enumerate(small.column("word").to_pylist()):
-            if w not in place:
-                place[w] = len(place)
-                start.append(i)
-        start = np.array([*start, small.num_rows])
-        shared = spark.sparkContext.broadcast((place, start, small.column("at").to_numpy(), small.column("m").to_numpy()))
-        out = q.mapInArrow(_in_place(shared, counts.names, scorer, folded), schema)
+    by = counts.cells.groupBy("word").agg(F.floor(F.log2(F.sum("m")) * 4).cast("int").alias("level"), F.collect_list(F.struct("at", F.col("m").cast("int").alias("m"))).alias("cells"))  # classes x folds at most
+    by = by.persist(StorageLevel.MEMORY_AND_DISK)  # read up to three times; lost blocks are computed again
+    levels = by.groupBy("level").agg(F.sum(F.size("cells")).alias("n")).orderBy(F.desc("level")).collect()  # 4 for each doubling of a word's rows
+    least, total = None, 0
+    for r in levels:
+        total += r["n"]
+        if total > TABLE:
+            break
+        least = r["level"]
+    common = by.where(F.lit(False) if least is None else F.col("level") >= least).select("word", F.explode("cells").alias("c")).select("word", "c.at", "c.m").toArrow().sort_by("word")
+    place, start = {}, []
+    for i, w in enumerate(common.column("word").to_pylist()):
+        if w not in place:
+            place[w] = len(place)
+            start.append(i)
+    start = np.array([*start, common.num_rows])
+    shared = spark.sparkContext.broadcast((place, start, common.column("at").to_numpy(), common.column("m").to_numpy()))
+    rare = F.lit(None).cast("array<struct<word:string,cells:array<struct<at:int,m:int>>>>").alias("rare")
+    if total <= TABLE:
+        by.unpersist()
+        x = q.select(*CARRIED, "words", rare)
     else:
-        alike = q.groupBy(*CARRIED, "words").agg(F.count("*").alias("times")).withColumn("row", F.md5(F.to_json(F.struct(*CARRIED, "words"), {"ignoreNullFields": "false"})))
-        salt = F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt")
-        asked = alike.select("row", salt, F.posexplode("words").alias("place", "word"))
-        cells = counts.cells.groupBy("word").agg(F.collect_list(F.struct("at", "m")).alias("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # classes x folds at most
-        found = asked.join(cells, ["word", "salt"]).select("row", F.transform("cells", lambda c: F.struct(F.col("place").cast("long").alias("word"), c["at"].cast("long").alias("at"), c["m"].alias("m"))).alias("cells"))
-        found = found.groupBy("row").agg(F.flatten(F.collect_list("cells")).alias("counts"))
-        none = F.array().cast("array<struct<word:bigint,at:bigint,m:bigint>>")
-        x = alike.join(found, "row", "left").select(*CARRIED, F.size("words").alias("n"), F.coalesce("counts", none).alias("counts"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_"))
-        out = x.drop("_").mapInArrow(_gathered(counts.names, scorer, folded), schema)
-    return out.withColumnRenamed("key", key)
+        q = q.withColumn("row", F.unhex(F.md5(F.to_json(F.struct(*CARRIED, "words"), {"ignoreNullFields": "false"}))))
+        asked = q.select("row", "words").mapInArrow(_unknown(shared), "row binary, word string")
+        left = by if least is None else by.where(F.col("level") < least)
+        found = asked.join(left.select("word", "cells"), "word").groupBy("row").agg(F.collect_set(F.struct("word", "cells")).alias("rare"))  # a set, as rows that are alike in all have one digest
+        x = q.join(found, "row", "left").select(*CARRIED, "words", "rare")
+    return x.mapInArrow(_scored(shared, counts.names, scorer, folded), schema).withColumnRenamed("key", key)
 
 
 def classify(query: DataFrame, key: str, words: Column, counts: Counts) -> DataFrame:

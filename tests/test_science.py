@@ -321,3 +321,25 @@ def test_scores_by_join_equal_those_in_place(spark, monkeypatch):
     folds = sampling.kfold(spark.range(103), F.col("id"), 5).groupBy("fold").count().collect()
     assert sorted(r["count"] for r in folds) == [20, 20, 21, 21, 21]
     assert taxonomy.classify(df.limit(0), "id", F.col("ws"), counts).count() == 0 and taxonomy.count_words(df.limit(0), F.col("ws"), "label").names == []
+
+
+def test_only_rare_words_are_joined_to_their_counts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, "ab"[i % 2], [f"c{j}" for j in range(10)] + [f"own{i}"]) for i in range(200)], "id long, label string, ws array<string>")
+    asked, unknown = spark.sparkContext.accumulator(0), taxonomy._unknown
+
+    def counted(shared):
+        run = unknown(shared)
+
+        def work(batches):
+            for b in run(batches):
+                asked.add(b.num_rows)
+                yield b
+
+        return work
+
+    monkeypatch.setattr(taxonomy, "_unknown", counted)
+    monkeypatch.setattr(taxonomy, "TABLE", 50)
+    got = taxonomy.evaluate(df, "id", F.col("ws"), taxonomy.count_words(df, F.col("ws"), "label"), 5).collect()
+    assert asked.value == 200 and all(r["predicted"] == "ab"[r["id"] % 2] for r in got) and len(got) == 200
