@@ -343,3 +343,12 @@ def test_only_rare_words_are_joined_to_their_counts(spark, monkeypatch):
     monkeypatch.setattr(taxonomy, "TABLE", 50)
     got = taxonomy.evaluate(df, "id", F.col("ws"), taxonomy.count_words(df, F.col("ws"), "label"), 5).collect()
     assert asked.value == 200 and all(r["predicted"] == "ab"[r["id"] % 2] for r in got) and len(got) == 200
+
+
+def test_rank_abundance_without_a_bound_has_every_rank(spark, monkeypatch):
+    monkeypatch.setattr(variants, "RUN", 1000)
+    s = spark.createDataFrame([(9, 1), (2, 2500), (1, 3500)], "k long, f long")
+    got = variants.rank_abundance(s, None).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 6002)) and [r["abundance"] for r in got] == [9] + [2] * 2500 + [1] * 3500
+    total, run = 9 + 5000 + 3500, np.cumsum([9] + [2] * 2500 + [1] * 3500)
+    assert np.allclose([r["cumulative_read_fraction"] for r in got], run / total, atol=1e-8) and len(variants.rank_abundance(s, 5000).collect()) <= 5000
