@@ -282,3 +282,10 @@ def test_kmer_frequencies_by_read(spark):
             words = [min(w, w.translate(flip)[::-1]) for w in words] if canonical else words
             want |= {(key, w): words.count(w) / len(words) for w in set(words)}
         assert {tuple(r)[:2]: r["frequency"] for r in kmer.frequencies(df, "read", k, canonical).collect()} == pytest.approx(want)
+
+
+def test_reads_are_dealt_to_as_many_tasks_as_they_need(spark):
+    from strandloom.plans import reads
+
+    few = spark.range(0, 1000, 1, 2)
+    assert reads.spread(few, 50).rdd.getNumPartitions() == 20 and reads.spread(few, 10**6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
