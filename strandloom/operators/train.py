@@ -24,6 +24,7 @@ from strandloom.operators.vectors import standardize
 
 FAN = 32  # partial sums that meet in one task
 WIDEST = 16
+ROWS = 1024  # of a batch that are taken at once, so that what they read stays in the cache
 
 # ---------------------------------------------------------------- models
 
@@ -61,11 +62,14 @@ class Head:
     def parameter_counts(self) -> dict[str, int]:
         return {"trainable": sum(math.prod(s) for s in self.shapes()), "backbone": 0}
 
-    def logits(self, params: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def read(self, params: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """What the last layer reads, before dropout."""
         w = self.split(params)
-        h = np.maximum(x @ w[0] + w[1], 0) if self.hidden else x
-        k = 2 if self.hidden else 0
-        return h @ w[k] + w[k + 1]
+        return np.maximum(x @ w[0] + w[1], 0) if self.hidden else x
+
+    def logits(self, params: np.ndarray, x: np.ndarray, read: np.ndarray | None = None) -> np.ndarray:
+        w, k = self.split(params), 2 if self.hidden else 0
+        return (self.read(params, x) if read is None else read) @ w[k] + w[k + 1]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -78,14 +82,14 @@ def cross_entropy(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.log(np.exp(z - top[:, None]).sum(1)) + top - z[np.arange(len(z)), y]
 
 
-def gradient(head: Head, params: np.ndarray, x, y, mask=None, soft=None, alpha: float = 0.0, temperature: float = 1.0, parents=None, weight: float = 0.0) -> tuple[float, np.ndarray]:
+def gradient(head: Head, params: np.ndarray, x, y, mask=None, soft=None, alpha: float = 0.0, temperature: float = 1.0, parents=None, weight: float = 0.0, read=None) -> tuple[float, np.ndarray]:
     """Loss and gradient, summed over rows: (1 - alpha) * cross entropy + alpha * T^2 * KL(teacher || student), where soft has a
-    teacher's logits, + weight * cross entropy of the parents."""
+    teacher's logits, + weight * cross entropy of the parents. read: what Head.read() gives for x, if known."""
     w, rows = head.split(params), np.arange(len(x))
     h, on = x, None
     if head.hidden:
-        h = np.maximum(x @ w[0] + w[1], 0)
-        on = (h > 0) * (1.0 if mask is None else mask)
+        h = head.read(params, x) if read is None else read
+        on = h > 0 if mask is None else (h > 0) * mask
         h = h if mask is None else h * mask
     k = 2 if head.hidden else 0
     z = h @ w[k] + w[k + 1]
@@ -108,7 +112,8 @@ def gradient(head: Head, params: np.ndarray, x, y, mask=None, soft=None, alpha:
         gp *= weight
         own += [h.T @ gp, gp.sum(0)]
         back = back + gp @ w[k + 2].T
-    first = [x.T @ (back * on), (back * on).sum(0)] if head.hidden else []
+    back = back * on if head.hidden else back
+    first = [x.T @ back, back.sum(0)] if head.hidden else []
     return float(loss), np.concatenate([a.ravel() for a in (*first, *own)])
 
 
@@ -171,6 +176,25 @@ def _rows_of(sums: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], [x.split()[0] for x in _SUMS.split(", ")])
 
 
+def _take(models: list[Model], sums: list[list], name: str, epoch: int, at: np.ndarray, ids: np.ndarray, y: np.ndarray, parents: np.ndarray, x: dict[str, np.ndarray]) -> None:
+    """Adds the rows at to the sums of all models. Teachers' logits and dropout masks are made once, however many models use them."""
+    own, masks, taught = {c: v[at] for c, v in x.items()}, {}, {}
+    teachers = {m.teacher for m in models}
+    for i, m in enumerate(models):
+        v, s, k = own[m.reads], sums[i], 1 if name == "train" else 4
+        read = m.head.read(m.params, v)
+        z = m.head.logits(m.params, v, read)
+        if i in teachers:
+            taught[i] = z  # a teacher stands before its students
+        s[k], s[k + 1], s[k + 2] = s[k] + len(at), s[k + 1] + float(cross_entropy(z, y[at]).sum()), s[k + 2] + int((z.argmax(1) == y[at]).sum())
+        if name == "train":
+            drawn = (m.head.hidden, m.head.dropout, m.seed)
+            if drawn not in masks:
+                masks[drawn] = dropped(ids[at], m.head, epoch, m.seed)
+            soft = taught[m.teacher] if m.teacher is not None else None
+            s[7] += gradient(m.head, m.params, v, y[at], masks[drawn], soft, m.alpha, m.temperature, parents[at], m.weight, read)[1]
+
+
 def _pass(shared, epoch: int, batch: int, batches: int):
     def run(parts):
         models: list[Model] = shared.value
@@ -184,14 +208,8 @@ def _pass(shared, epoch: int, batch: int, batches: int):
                 at = np.flatnonzero(on)
                 if not len(at):
                     continue
-                for i, m in enumerate(models):
-                    z = m.head.logits(m.params, x[m.reads][at])
-                    s, k = sums[i], 1 if name == "train" else 4
-                    s[k], s[k + 1], s[k + 2] = s[k] + len(at), s[k + 1] + float(cross_entropy(z, y[at]).sum()), s[k + 2] + int((z.argmax(1) == y[at]).sum())
-                    if name == "train":
-                        t = models[m.teacher] if m.teacher is not None else None
-                        soft = t.head.logits(t.params, x[t.reads][at]) if t else None
-                        s[7] += gradient(m.head, m.params, x[m.reads][at], y[at], dropped(ids[at], m.head, epoch, m.seed), soft, m.alpha, m.temperature, parents[at], m.weight)[1]
+                for lo in range(0, len(at), ROWS):
+                    _take(models, sums, name, epoch, at[lo : lo + ROWS], ids, y, parents, x)
         yield _rows_of(sums)
 
     return run

@@ -101,3 +101,20 @@ def test_lone_and_taught_students_start_alike(spark, split):
     assert m2[2].head.parents == 2 and np.allclose(m2[2].head.start(m2[2].seed)[: len(m2[1].head.start(m2[1].seed))], m2[1].head.start(m2[1].seed))
     with pytest.raises(ValueError):
         train.distillation(df, "id", "embedding", "student", teacher_head="forest")
+
+
+def test_masks_and_teachers_logits_are_made_once_for_all_models(monkeypatch):
+    rng = np.random.default_rng(4)
+    made = [train.Model("teacher", train.Head(5, 3, 8), "_t", 5)] + [train.Model("taught", train.Head(2, 3, 8), "_s", 5, 0, a, 2.0) for a in (0.2, 0.5, 0.8)]
+    for m in made:
+        m.params = m.head.start(m.seed)
+    x, y, ids = {"_t": rng.normal(size=(40, 5)), "_s": rng.normal(size=(40, 2))}, rng.integers(0, 3, 40), np.arange(40).astype(np.uint64)
+    drawn, reads, one, two = [], [], train.dropped, train.Head.read
+    monkeypatch.setattr(train, "dropped", lambda *a: drawn.append(1) or one(*a))
+    monkeypatch.setattr(train.Head, "read", lambda *a: reads.append(1) or two(*a))
+    sums = [[i, 0, 0.0, 0, 0, 0.0, 0, np.zeros(len(m.params))] for i, m in enumerate(made)]
+    train._take(made, sums, "train", 2, np.arange(40), ids, y, np.zeros(40, int), x)
+    assert len(drawn) == 1 and len(reads) == 4
+    soft, mask = made[0].head.logits(made[0].params, x["_t"]), one(ids, made[0].head, 2, 5)
+    for m, s in zip(made, sums):
+        assert np.allclose(s[7], train.gradient(m.head, m.params, x[m.reads], y, mask, soft if m.teacher == 0 else None, m.alpha, m.temperature)[1])
