@@ -231,8 +231,8 @@ def _add(parts):
 
 
 def gathered(sums: DataFrame, parts: int) -> list[list]:
-    """One row a model: partial sums of FAN tasks meet in one task, those in turn, until FAN are left for the driver."""
-    while parts > FAN:
+    """One row a model: partial sums of FAN tasks meet in one task, those in turn, until one is left for the driver."""
+    while parts > 1:
         parts = -(-parts // FAN)
         sums = sums.repartition(parts, F.spark_partition_id() % parts).mapInArrow(_add, _SUMS)
     return _added(sums.collect())
