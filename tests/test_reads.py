@@ -289,3 +289,9 @@ def test_reads_are_dealt_to_as_many_tasks_as_they_need(spark):
 
     few = spark.range(0, 1000, 1, 2)
     assert reads.spread(few, 50).rdd.getNumPartitions() == 20 and reads.spread(few, 10**6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_vocabulary_counts_come_from_the_reads(spark):
+    got = {r["kmer"]: r["n"] for r in kmer.vocabulary_counts(frame(spark, ["AAC", "GTT", "ANAAC", ""]), 2).collect()}
+    assert len(got) == 10 and got["AA"] == 3 and got["AC"] == 3 and sum(got.values()) == 6
+    assert kmer.vocabulary_counts(frame(spark, ["AC"]).limit(0), 2).agg({"n": "sum"}).first()[0] == 0
