@@ -352,3 +352,33 @@ def test_rank_abundance_without_a_bound_has_every_rank(spark, monkeypatch):
     assert [r["rank"] for r in got] == list(range(1, 6002)) and [r["abundance"] for r in got] == [9] + [2] * 2500 + [1] * 3500
     total, run = 9 + 5000 + 3500, np.cumsum([9] + [2] * 2500 + [1] * 3500)
     assert np.allclose([r["cumulative_read_fraction"] for r in got], run / total, atol=1e-8) and len(variants.rank_abundance(s, 5000).collect()) <= 5000
+
+
+def test_tiles_keep_the_best_of_copies_and_ties(monkeypatch):
+    monkeypatch.setattr(vectors, "SCORES", 600)  # several products a tile
+    monkeypatch.setattr(vectors, "TILE", 50)
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=(1500, 8))
+    y[100:400] = y[7]  # a large group of copies
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    keys = rng.permutation(1500) * 3
+    x = y[::20]
+    best = vectors._Best(x, y, keys[::20], keys, 6)
+    best.show(np.arange(len(x)), np.arange(1500))
+    s = np.round(np.einsum("id,jd->ij", x, y), 12)
+    for i, own in enumerate(keys[::20]):
+        want = [j for j in np.lexsort((keys, -s[i])) if keys[j] != own][:6]
+        assert [keys[j] for j in best.at[i]] == [keys[j] for j in want] and np.array_equal(best.value[i], s[i][want])
+
+
+def test_vectors_move_as_they_are_and_a_tile_gives_a_row_a_query(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(90)], "id long, embedding array<float>").cache()
+    seen = []
+    kind = type(df)
+    before = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a: seen.append((self, before(self, f, schema, *a))) or seen[-1][1])
+    got = vectors.nearest(df, "id", 7, block=40)
+    tiles, found = seen[0]
+    assert got.count() == 630 and dict(tiles.dtypes)["v"] == "array<float>"
+    assert found.count() == 90 * 3  # one row a query and block of data
