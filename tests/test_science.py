@@ -382,3 +382,32 @@ def test_vectors_move_as_they_are_and_a_tile_gives_a_row_a_query(spark, monkeypa
     tiles, found = seen[0]
     assert got.count() == 630 and dict(tiles.dtypes)["v"] == "array<float>"
     assert found.count() == 90 * 3  # one row a query and block of data
+
+
+def test_a_query_goes_once_to_a_block_with_its_draws(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 5))
+    x[40:90] = x[3]
+    df = spark.createDataFrame([(i * 2, v.tolist(), w.tolist(), i % 2) for i, (v, w) in enumerate(zip(x, x + rng.normal(size=x.shape)))], "pair_id long, left_vec array<float>, right_vec array<float>, right_end int").cache()
+    rows = df.orderBy("pair_id").collect()
+    seen = []
+    kind = type(df)
+    before = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *c: (seen.append(self) if [str(x) for x in c] == ["pool", "a", "b"] else None, before(self, *c))[1])
+    got = {r["pair_id"]: r for r in vectors.retrieval(df, 20, controlled=True, standardized=False).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    import hashlib
+
+    for pool in (0, 1):
+        own = [r for r in rows if r["right_end"] == pool]
+        for place, r in enumerate(own):
+            at = [int(hashlib.md5(f"42:{r['pair_id']}:{j}".encode()).hexdigest()[:15], 16) % len(own) for j in range(20)]
+            at = [(a + 1) % len(own) if a == place else a for a in at]
+            want = [float(unit(r["left_vec"]) @ unit(own[a]["right_vec"])) for a in at]
+            mate = float(unit(r["left_vec"]) @ unit(r["right_vec"]))
+            g = got[r["pair_id"]]
+            assert g["distractors"] == pytest.approx(want, abs=2e-9) and g["mate_similarity"] == pytest.approx(mate, abs=2e-9)
+            assert g["rank"] == 1 + sum(d > g["mate_similarity"] for d in g["distractors"])
+    sent = seen[0].where("codes IS NOT NULL")
+    assert len(got) == 300 and sent.count() <= 300 * 3 and dict(sent.dtypes)["v"] == "array<float>"  # not 300 * 20
