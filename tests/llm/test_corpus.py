@@ -528,13 +528,13 @@ def test_repeats_equal_all_windows(spark, rows, none, group):
     assert repeats.repeated_spans(none).count() == 0
 
 
-def test_rows_of_a_very_common_anchor_stay_where_they_are(spark):
+def test_rows_of_a_very_common_key_stay_where_they_are(spark):
     key = F.when(F.col("id") < 3000, 5).when(F.col("id") < 3200, F.col("id") % 100 + 100).otherwise(F.col("id")).alias("key")
     found = spark.range(0, 3500, 1, 1).repartition(6).select(F.col("id").cast("string").cast("binary").alias("sha"), F.col("id").cast("int").alias("pos"), key)
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        got = repeats.shared_anchors(found, 50).select("sha", "pos", "key", F.spark_partition_id().alias("task")).collect()
+        got = repeats.shared_rows(found, ["key"], 50).select("sha", "pos", "key", F.spark_partition_id().alias("task")).collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert sorted((int(r["sha"]), r["pos"], r["key"]) for r in got) == [(i, i, 5 if i < 3000 else i % 100 + 100) for i in range(3200)]
