@@ -528,6 +528,20 @@ def test_repeats_equal_all_windows(spark, rows, none, group):
     assert repeats.repeated_spans(none).count() == 0
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    rng = random.Random(9)
+    texts = {}
+    for n, size in enumerate((399, 400, 401)):
+        cut = prose(rng, 80)[:size]
+        assert len(cut) == size and len(cut.split()) > 50
+        texts |= {10 * n + 1: f"{prose(rng, 9)}<{cut}>{prose(rng, 9)}", 10 * n + 2: f"{prose(rng, 30)}[{cut}]"}
+    texts |= {90: prose(rng, 400), 91: prose(rng, 9)}
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 1, 0.0, "") for i, t in texts.items()], DOCS)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.repeated_spans(df).collect()}
+    gone = {1: 0, 2: 0, 11: 400, 12: 400, 21: 401, 22: 401, 90: 0, 91: 0}
+    assert got == {i: (len(t.encode()), gone[i], int(gone[i] > 0)) for i, t in texts.items()}
+
+
 def test_rows_of_a_very_common_key_stay_where_they_are(spark):
     key = F.when(F.col("id") < 3000, 5).when(F.col("id") < 3200, F.col("id") % 100 + 100).otherwise(F.col("id")).alias("key")
     found = spark.range(0, 3500, 1, 1).repartition(6).select(F.col("id").cast("string").cast("binary").alias("sha"), F.col("id").cast("int").alias("pos"), key)
