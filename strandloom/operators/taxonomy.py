@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -62,21 +64,109 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e9 + 0.5) / 1e9
 
 
+# ---- draws: MD5 of many short texts at once
+
+_TURNS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).ravel().astype(np.uint32)
+_ADDED = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+_WORD = [*range(16), *((5 * i + 1) % 16 for i in range(16)), *((3 * i + 5) % 16 for i in range(16)), *(7 * i % 16 for i in range(16))]
+_START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+PLACES, HASHED = 64, 16_384  # draws of a row, and of all rows together, that are hashed at once
+_TAIL = 5  # words that the end of a text may touch
+
+
+def _digests(words: np.ndarray) -> np.ndarray:
+    """The first 8 bytes, as a number, of MD5 of texts of one block each. words: 16 x texts, padded."""
+    used = words.any(1)
+    a, b, c, d = (np.full(words.shape[1], x) for x in _START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, f), np.bitwise_and(f, b, f), np.bitwise_xor(f, d, f)
+        elif i < 32:
+            np.bitwise_xor(b, c, f), np.bitwise_and(f, d, f), np.bitwise_xor(f, c, f)
+        elif i < 48:
+            np.bitwise_xor(b, c, f), np.bitwise_xor(f, d, f)
+        else:
+            np.invert(d, f), np.bitwise_or(f, b, f), np.bitwise_xor(f, c, f)
+        np.add(a, f, a), np.add(a, _ADDED[i], a)
+        if used[_WORD[i]]:
+            np.add(a, words[_WORD[i]], a)
+        np.left_shift(a, _TURNS[i], g), np.right_shift(a, np.uint32(32) - _TURNS[i], a), np.bitwise_or(a, g, a), np.add(a, b, a)
+        a, b, c, d = d, a, b, c
+    first, second = ((x + y).byteswap().astype(np.uint64) for x, y in ((a, _START[0]), (b, _START[1])))
+    return first << np.uint64(32) | second
+
+
+@lru_cache(maxsize=256)
+def _ends(draws: int, start: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ends "b:j" of texts, b under draws, j in PLACES places from start: words (_TAIL x draws x PLACES) when they begin at byte `shift` of a word, and lengths."""
+    texts = [f"{b}:{j}".encode() for b in range(draws) for j in range(start, start + PLACES)]
+    words = np.frombuffer(b"".join((bytes(shift) + t + b"\x80").ljust(4 * _TAIL, b"\0") for t in texts), "<u4").reshape(draws, PLACES, _TAIL)
+    return np.ascontiguousarray(words.transpose(2, 0, 1)), np.array([len(t) for t in texts], np.uint32).reshape(draws, PLACES)
+
+
+def drawn(heads: list[bytes], sizes: list[int], draws: int) -> Iterator[np.ndarray]:
+    """For each row of n words, with its head: draws x k places in it, k = max(1, n // 8). A place is the upper 60 bits of
+    MD5 of head + "b:j", modulo n. Rows are hashed together, PLACES places and about HASHED texts at a time."""
+    whole, held, texts = [], [], 0
+
+    def hash_held():
+        words, at = np.zeros((16, texts), np.uint32), 0
+        for row, start, n_places in held:
+            head, (ends, lengths), to = heads[row], _ends(draws, start, len(heads[row]) % 4), at + draws * n_places
+            first, part = len(head) // 4, words[:, at:to]
+            part[:first] = np.frombuffer(head[: 4 * first], "<u4")[:, None]
+            part[first : first + _TAIL] = ends[:, :, :n_places].reshape(_TAIL, -1)
+            part[first] |= np.uint32(int.from_bytes(head[4 * first :], "little"))
+            part[14] = ((lengths[:, :n_places] + np.uint32(len(head))) * np.uint32(8)).ravel()
+            at = to
+        found, at = _digests(words) >> np.uint64(4), 0
+        for row, start, n_places in held:
+            to = at + draws * n_places
+            whole[row][:, start : start + n_places] = (found[at:to] % np.uint64(sizes[row])).reshape(draws, n_places)
+            at = to
+
+    done = 0
+    for row, (head, n) in enumerate(zip(heads, sizes)):
+        k = max(1, n // 8) if n else 0
+        whole.append(np.empty((draws, k), np.int32))
+        if len(head) // 4 + _TAIL > 14 or len(f"{draws}:{k}") > 4 * _TAIL - 4:  # more than one block
+            for b in range(draws):
+                whole[row][b] = [(int.from_bytes(md5(head + f"{b}:{j}".encode()).digest()[:8]) >> 4) % n for j in range(k)]
+            continue
+        for start in range(0, k, PLACES):
+            held.append((row, start, min(PLACES, k - start)))
+            texts += draws * held[-1][2]
+            if texts >= HASHED:
+                hash_held()
+                held, texts = [], 0
+                ready = row if start + PLACES < k else row + 1
+                for done in range(done, ready):
+                    yield whole[done]
+                    whole[done] = None
+                done = ready
+    if held:
+        hash_held()
+    yield from whole[done:]
+
+
 class _Scorer:
     def __init__(self, sizes: np.ndarray, n_bootstrap: int, seed: int):
         self.sizes, self.n_bootstrap, self.seed = sizes, n_bootstrap, seed
 
-    def best(self, key, n: int, fold: int | None, word: np.ndarray, at: np.ndarray, m: np.ndarray) -> tuple[int | None, int]:
+    def draws(self, keys: list, sizes: list[int]) -> Iterator[np.ndarray]:
+        """Of each row, by its key and number of words."""
+        return drawn([f"{self.seed}:{k}:".encode() for k in keys], sizes, self.n_bootstrap)
+
+    def best(self, n: int, draws: np.ndarray, fold: int | None, word: np.ndarray, at: np.ndarray, m: np.ndarray) -> tuple[int | None, int]:
         """The best class of a row of n words and how many draws of an eighth of them agree. word, at, m: the counts that they have.
 
         The counts of the row's own fold are taken away first. On a tie the first class wins."""
         size = self.sizes.sum(0)
-        count = np.zeros((n, len(size)))
-        np.add.at(count, (word, at % len(size)), m)
         if fold is not None:
             size = size - self.sizes[fold]
-            own = at // len(size) == fold
-            np.subtract.at(count, (word[own], at[own] % len(size)), m[own])
+            m = np.where(at // len(size) == fold, 0, m)
+        count = np.bincount(word * len(size) + at % len(size), m, n * len(size)).reshape(n, len(size))
         open_ = size > 0
         if not n or not open_.any():
             return None, 0
@@ -86,9 +176,7 @@ class _Scorer:
         best = int(choose(gain.sum(0) - n * log_size))
         if not self.n_bootstrap:
             return best, 0
-        k, head = max(1, n // 8), f"{self.seed}:{key}:"
-        draws = np.array([(int.from_bytes(md5(f"{head}{b}:{j}".encode()).digest()[:8]) >> 4) % n for b in range(self.n_bootstrap) for j in range(k)]).reshape(self.n_bootstrap, k)
-        scores = np.stack([gain[:, c][draws].sum(1) for c in range(len(size))], 1) - k * log_size
+        scores = np.stack([g[draws].sum(1) for g in np.ascontiguousarray(gain.T)], 1) - draws.shape[1] * log_size
         return best, int((choose(scores) == best).sum())
 
 
@@ -107,8 +195,9 @@ def _scored(shared, names: list, scorer: _Scorer, folded: bool):
     def run(batches):
         place, start, at, m = shared.value
         for batch in batches:
-            out, folds = [], batch.column("fold").to_pylist()
-            for key, fold, own, rare in zip(batch.column("key").to_pylist(), folds, batch.column("words").to_pylist(), batch.column("rare").to_pylist()):
+            out, folds, words = [], batch.column("fold").to_pylist(), batch.column("words").to_pylist()
+            draws = scorer.draws(batch.column("key").to_pylist(), [len(own) for own in words])
+            for fold, own, rare, places in zip(folds, words, batch.column("rare").to_pylist(), draws):
                 p = np.array([place.get(w, -1) for w in own], np.int64)
                 hit = np.flatnonzero(p >= 0)
                 size = start[p[hit] + 1] - start[p[hit]]
@@ -118,7 +207,7 @@ def _scored(shared, names: list, scorer: _Scorer, folded: bool):
                     more = {r["word"]: r["cells"] for r in rare}
                     more = [(i, c["at"], c["m"]) for i in np.flatnonzero(p < 0).tolist() for c in more.get(own[i], ())]
                     found = tuple(np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(found, zip(*more))) if more else found
-                out.append(scorer.best(key, len(own), fold if folded else None, *found))
+                out.append(scorer.best(len(own), places, fold if folded else None, *found))
             yield _result(out, names, batch)
 
     return run

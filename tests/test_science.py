@@ -411,3 +411,23 @@ def test_a_query_goes_once_to_a_block_with_its_draws(spark, monkeypatch):
             assert g["rank"] == 1 + sum(d > g["mate_similarity"] for d in g["distractors"])
     sent = seen[0].where("codes IS NOT NULL")
     assert len(got) == 300 and sent.count() <= 300 * 3 and dict(sent.dtypes)["v"] == "array<float>"  # not 300 * 20
+
+
+def test_draws_equal_hashlib_without_a_call_a_draw(monkeypatch):
+    from hashlib import md5
+
+    from strandloom.operators import taxonomy
+
+    heads = [h.encode() for h in ("42:7:", "42:123456789012:", "1:é:", "42::", "42:long:" + "x" * 31, "42:1:", "42:2:")]
+    sizes = [300, 9, 700, 1, 40, 0, 7]
+    want = [[[(int.from_bytes(md5(h + f"{b}:{j}".encode()).digest()[:8]) >> 4) % n for j in range(max(1, n // 8) if n else 0)] for b in range(12)] for h, n in zip(heads, sizes)]
+    long, calls = b"42:" + b"y" * 90 + b":", []
+    monkeypatch.setattr(taxonomy, "md5", lambda x: calls.append(x) or md5(x))
+    for texts in (50, 16_384):  # a few at a time, all at once
+        monkeypatch.setattr(taxonomy, "HASHED", texts)
+        assert [x.tolist() for x in taxonomy.drawn(heads, sizes, 12)] == want and not calls
+    got = list(taxonomy.drawn([heads[0], long, heads[1]], [300, 20, 9], 12))  # of more than one block
+    assert [got[0].tolist(), got[2].tolist()] == want[:2] and len(calls) == 24
+    assert got[1].tolist() == [[(int.from_bytes(md5(long + f"{b}:{j}".encode()).digest()[:8]) >> 4) % 20 for j in range(2)] for b in range(12)]
+    taxonomy._Scorer(np.array([[3.0, 4.0]]), 12, 42).best(300, got[0], None, np.arange(300), np.arange(300) % 2, np.ones(300))
+    assert len(calls) == 24
