@@ -188,6 +188,15 @@ def _result(parts: list, names: list, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in CARRIED), text, pa.array([v for _, v in parts], pa.int64())], [*CARRIED, "predicted", "votes"])
 
 
+def _looked_up(lists: pa.ListArray, place: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(ends of the rows, starting with 0; of each word its place, -1 if it has none; its number in the batch; the batch's distinct words).
+    A word is looked up once a batch."""
+    coded = lists.flatten().dictionary_encode()
+    distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    places = np.array([place.get(w, -1) for w in distinct], np.int64)
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), places[code], code, distinct
+
+
 def _scored(shared, names: list, scorer: _Scorer, folded: bool):
     """Scores rows (key, fold, words, rare) by a broadcast table, the places of words and, one after the other, their counts; and by
     rare, the counts (word, cells) of words that are not in it, null if there are none."""
@@ -195,19 +204,20 @@ def _scored(shared, names: list, scorer: _Scorer, folded: bool):
     def run(batches):
         place, start, at, m = shared.value
         for batch in batches:
-            out, folds, words = [], batch.column("fold").to_pylist(), batch.column("words").to_pylist()
-            draws = scorer.draws(batch.column("key").to_pylist(), [len(own) for own in words])
-            for fold, own, rare, places in zip(folds, words, batch.column("rare").to_pylist(), draws):
-                p = np.array([place.get(w, -1) for w in own], np.int64)
+            out, folds = [], batch.column("fold").to_pylist()
+            ends, every, code, distinct = _looked_up(batch.column("words"), place)
+            draws = scorer.draws(batch.column("key").to_pylist(), np.diff(ends).tolist())
+            for fold, lo, hi, rare, places in zip(folds, ends, ends[1:], batch.column("rare").to_pylist(), draws):
+                p = every[lo:hi]
                 hit = np.flatnonzero(p >= 0)
                 size = start[p[hit] + 1] - start[p[hit]]
                 cell = np.repeat(start[p[hit]] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(hit) else np.zeros(0, np.int64)
                 found = (np.repeat(hit, size) if len(hit) else hit, at[cell], m[cell])
                 if rare:
                     more = {r["word"]: r["cells"] for r in rare}
-                    more = [(i, c["at"], c["m"]) for i in np.flatnonzero(p < 0).tolist() for c in more.get(own[i], ())]
+                    more = [(i, c["at"], c["m"]) for i in np.flatnonzero(p < 0).tolist() for c in more.get(distinct[code[lo + i]], ())]
                     found = tuple(np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(found, zip(*more))) if more else found
-                out.append(scorer.best(len(own), places, fold if folded else None, *found))
+                out.append(scorer.best(len(p), places, fold if folded else None, *found))
             yield _result(out, names, batch)
 
     return run
@@ -219,9 +229,10 @@ def _unknown(shared):
     def run(batches):
         place = shared.value[0]
         for batch in batches:
-            found = [[w for w in own if w not in place] for own in batch.column("words").to_pylist()]
-            at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), pa.array([w for f in found for w in f], pa.string())], ["row", "word"])
+            ends, every, code, distinct = _looked_up(batch.column("words"), place)
+            new = np.flatnonzero(every < 0)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(ends))[new]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), pa.array(distinct, pa.string()).take(pa.array(code[new]))], ["row", "word"])
 
     return run
 

@@ -431,3 +431,25 @@ def test_draws_equal_hashlib_without_a_call_a_draw(monkeypatch):
     assert got[1].tolist() == [[(int.from_bytes(md5(long + f"{b}:{j}".encode()).digest()[:8]) >> 4) % 20 for j in range(2)] for b in range(12)]
     taxonomy._Scorer(np.array([[3.0, 4.0]]), 12, 42).best(300, got[0], None, np.arange(300), np.arange(300) % 2, np.ones(300))
     assert len(calls) == 24
+
+
+def test_words_of_a_batch_are_looked_up_once():
+    import pyarrow as pa
+
+    from strandloom.operators import taxonomy
+
+    asked = []
+
+    class Places(dict):
+        def get(self, w, other=None):
+            asked.append(w)
+            return super().get(w, other)
+
+    lists = pa.array([["a", "b"], [], ["b", "c", "a"], ["a"]], pa.list_(pa.string()))
+    for part, first in ((lists, 0), (lists.slice(2), 2)):
+        asked.clear()
+        ends, place, code, distinct = taxonomy._looked_up(part, Places(a=5, b=7))
+        words = [w for r in lists.to_pylist()[first:] for w in r]
+        assert [distinct[c] for c in code] == words and place.tolist() == [{"a": 5, "b": 7}.get(w, -1) for w in words]
+        assert len(asked) == 3 and np.diff(ends).tolist() == [len(r) for r in lists.to_pylist()[first:]]
+    assert taxonomy._looked_up(lists.slice(0, 0), {})[0].tolist() == [0]
