@@ -335,7 +335,7 @@ def cross_validate(df: DataFrame, key: str, words: Column, label: str, k: int =
     """fold, n, accuracy, mean confidence when right and when wrong. Folds are equal, by ranks of draws.
 
     All folds share one count of words: a row is scored by it less what its own fold has, so no model is fitted anew."""
-    folds = kfold(df.select(F.col(key).alias("_key"), F.col(label).alias("_truth"), words.alias("_words")), F.col("_key"), k, seed)
+    folds = kfold(df.select(F.col(key).alias("_key"), F.col(label).alias("_truth"), F.array_sort(F.array_distinct(words)).alias("_words")), F.col("_key"), k, seed)  # each word once, as these are shuffled
     counts = count_words(folds, F.col("_words"), "_truth", F.col("fold"), k)
     x = evaluate(folds, "_key", F.col("_words"), counts, n_bootstrap, seed, F.col("fold"), F.col("_truth"))
     x = x.select("fold", (F.col("predicted") == F.col("truth")).alias("correct"), (F.col("votes") / n_bootstrap).alias("confidence"))
